@@ -95,7 +95,7 @@ def percent_text(value: Column) -> Column:
 
 
 def tenth_text(value: Column) -> Column:
-    return F.format_string("%.1f", tenth(value))
+    return F.when(value.isNotNull(), F.format_string("%.1f", tenth(value)))
 
 
 def bar_value(value: Column) -> Column:
@@ -161,7 +161,7 @@ def split_outside_parentheses(text: Column) -> Column:
 
 def text_items(text: Column) -> Column:
     """Comma list to array, blanks dropped."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def clean_subjects(text: Column) -> Column:

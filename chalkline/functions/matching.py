@@ -92,7 +92,7 @@ def achievement_signals(text: Column) -> Column:
     """Array of (title, category, signal): each item takes the first word of an unseen category."""
     rules = literal_rows(fv.ACHIEVEMENT_CATEGORIES, ["word", "category", "signal"])
     items = F.filter(
-        F.transform(F.split(text, r",(?=\s*\d{4}[-]|\s*[A-Z])"), F.trim),
+        F.transform(F.split(text, r",(?=\s*\d{4}[-]|\s*[A-Z])"), lambda x: F.trim(x)),
         lambda x: x != "",
     )
     titles = F.transform(items, lambda x: F.trim(F.regexp_replace(x, r"^\d{4}-\d{4}\s*:\s*", "")))

@@ -114,7 +114,7 @@ def subject_list_rows(profile: DataFrame) -> DataFrame:
     listed = F.coalesce(
         not_null_like(F.col("strong_subjects_ai"), F.lit(None)), not_null_like(F.col("strong_subjects"), F.lit(None)), F.lit("")
     )
-    items = F.filter(F.transform(split_outside_parentheses(listed), F.trim), lambda x: x != "")
+    items = F.filter(F.transform(split_outside_parentheses(listed), lambda x: F.trim(x)), lambda x: x != "")
     rows = profile.select(*KEY, F.posexplode(items).alias("i", "subject_name"))
     core = mt.is_core_subject(F.col("subject_name"))
     place = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("is_core"), "i"))
