@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,25 +13,38 @@ from chalkline.functions import fixed_values as fv
 KEY = ["school_id", "student_id", "academic_yr"]
 
 PERCENT = "decimal(11,2)"
-_WIDE = "decimal(20,2)"
 
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _literal(value) -> str:
+    if isinstance(value, int):
+        return str(value)
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def literal_map(pairs: Mapping) -> Column:
     """A constant map column; Catalyst folds it to one literal."""
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+    return F.expr("map(" + ", ".join(_literal(x) for kv in pairs.items() for x in kv) + ")")
 
 
 def lookup(pairs: Mapping, key: Column) -> Column:
     return F.try_element_at(literal_map(pairs), key)
 
 
+def literal_array(items: Iterable) -> Column:
+    return F.expr("array(" + ", ".join(_literal(x) for x in items) + ")")
+
+
 def literal_rows(rows: Iterable[tuple], names: list[str]) -> Column:
     """A constant array of structs, used where a small rule table is matched in the row."""
-    return F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names)]) for r in rows])
+
+    def row(r: tuple) -> str:
+        return "named_struct(" + ", ".join(f"'{n}', {_literal(v)}" for n, v in zip(names, r)) + ")"
+
+    return F.expr("array(" + ", ".join(row(r) for r in rows) + ")")
 
 
 def norm(text: Column) -> Column:
@@ -40,23 +54,35 @@ def norm(text: Column) -> Column:
 # --- numbers ---------------------------------------------------------------------
 
 
+def hundredths(value: Column) -> Column:
+    """A two-decimal amount as a whole number, so sums stay in long arithmetic."""
+    return (value * 100).cast("bigint")
+
+
+def from_hundredths(value: Column) -> Column:
+    return (value.cast("decimal(11,0)") * F.lit(Decimal("0.01"))).cast(PERCENT)
+
+
+def _half_up(part: Column, whole: Column) -> Column:
+    """Whole-number part / whole, halves away from zero; NULL when whole is 0."""
+    size = F.call_function("div", F.abs(part) * 2 + F.abs(whole), F.abs(F.nullif(whole, F.lit(0))) * 2)
+    return F.when((part < 0) != (whole < 0), -size).otherwise(size)
+
+
 def percent(part: Column, whole: Column) -> Column:
-    """part / whole * 100 to two decimals, half up; NULL when whole is 0."""
-    whole = whole.cast(_WIDE)
-    ratio = part.cast(_WIDE) * 100 / F.nullif(whole, F.lit(0).cast(_WIDE))
-    return F.round(ratio, 2).cast(PERCENT)
+    """part / whole * 100 to two decimals of two whole numbers in the same unit, half up."""
+    return from_hundredths(_half_up(part * 10000, whole))
 
 
 def mean2(value: Column) -> Column:
-    """Aggregate: average to two decimals, half up, on exact decimals."""
-    total, n = F.sum(value.cast(_WIDE)), F.count(value).cast("decimal(20,0)")
-    return F.round(total / F.nullif(n, F.lit(0).cast("decimal(20,0)")), 2).cast(PERCENT)
+    """Aggregate: average of a two-decimal amount to two decimals, half up."""
+    return from_hundredths(_half_up(F.sum(hundredths(value)), F.count(value)))
 
 
 def mean_double(value: Column) -> Column:
-    """Aggregate: exact decimal sum divided by the count, as a double."""
+    """Aggregate: exact sum of a two-decimal amount divided by the count, as a double."""
     n = F.count(value)
-    return F.when(n > 0, F.sum(value).cast("double") / n)
+    return F.when(n > 0, F.sum(hundredths(value)).cast("double") / 100 / n)
 
 
 def tenth(value: Column) -> Column:
@@ -200,7 +226,7 @@ def in_science(class_name: Column, subject_id: Column) -> Column:
 
 def class_rank(class_name: Column) -> Column:
     bare = F.trim(F.regexp_replace(norm(class_name), "^(class |grade |std |standard )", ""))
-    place = F.array_position(F.array(*[F.lit(c) for c in fv.CLASS_SEQUENCE]), bare).cast("int")
+    place = F.array_position(literal_array(fv.CLASS_SEQUENCE), bare).cast("int")
     return F.when(place > 0, place - 1).otherwise(len(fv.CLASS_SEQUENCE))
 
 

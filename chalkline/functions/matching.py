@@ -10,12 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from chalkline.functions import fixed_values as fv
-from chalkline.functions.columns import literal_rows, lookup, norm, without_parentheses
+from chalkline.functions.columns import literal_array, literal_rows, lookup, norm, without_parentheses
 
 
 def _words(rows: list[tuple]) -> Column:
-    seen = dict.fromkeys(r[0] for r in rows)
-    return F.array(*[F.lit(w) for w in seen])
+    return literal_array(dict.fromkeys(r[0] for r in rows))
 
 
 def either_contains(text: Column, word: Column) -> Column:
@@ -117,5 +116,4 @@ def achievement_signals(text: Column) -> Column:
 
 def is_core_subject(subject: Column) -> Column:
     base = F.lower(without_parentheses(subject))
-    words = F.array(*[F.lit(w.lower()) for w in fv.CORE_SUBJECT_WORDS])
-    return F.exists(words, lambda w: base.contains(w))
+    return F.exists(literal_array(w.lower() for w in fv.CORE_SUBJECT_WORDS), lambda w: base.contains(w))

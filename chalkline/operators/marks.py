@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chalkline.functions import fixed_values as fv
-from chalkline.functions.columns import KEY, effective_subject, in_science, lookup, percent
+from chalkline.functions.columns import KEY, effective_subject, hundredths, in_science, lookup, percent
 from chalkline.operators.writes import missing_rows
 
 REVISION_KEY = ["school_id", "student_id", "subject_id", "exam_id", "academic_yr"]
@@ -60,14 +60,14 @@ def with_headings(rows: DataFrame, headings: DataFrame) -> DataFrame:
 
 
 def exam_sums(rows: DataFrame) -> DataFrame:
-    """Sums per revision key over present headings.
+    """Sums in hundredths per revision key over present headings.
 
     The key equals the one ``latest_marks`` shuffles by, so this adds no shuffle, and everything
     after it works on one row per exam instead of one per heading.
     """
     written = F.col("marks_headings_id").isin(fv.WRITTEN_HEADINGS)
     internal = F.col("marks_headings_id").isin(fv.INTERNAL_HEADINGS)
-    m, top = F.col("marks_obtained"), F.col("max_marks")
+    m, top = hundredths(F.col("marks_obtained")), hundredths(F.col("max_marks"))
     return rows.filter(F.col("is_present") == "Y").groupBy(*REVISION_KEY).agg(
         F.sum(m).alias("m"), F.sum(top).alias("top"),
         F.sum(F.when(written, m)).alias("written_m"), F.sum(F.when(written, top)).alias("written_top"),
@@ -150,7 +150,7 @@ def ratio_of_sums_by_name(master: DataFrame, detail: DataFrame, headings: DataFr
         .join(master, ["school_id", "mark_id"])
         .join(headings.select("school_id", "marks_headings_id", F.col("name").alias("heading")), ["school_id", "marks_headings_id"])
     )
-    m, top = F.col("marks_obtained"), F.col("highest_marks")
+    m, top = hundredths(F.col("marks_obtained")), hundredths(F.col("highest_marks"))
     written, other = F.col("heading") == "Written", F.col("heading") != "Written"
     return rows.groupBy(*keys).agg(
         percent(F.sum(m), F.sum(top)).alias("avg_percent"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from chalkline.functions import fixed_values as fv
 from chalkline.functions import matching as mt
 from chalkline.functions.columns import KEY, heading_group, is_principal, subject_category
 from chalkline.operators import careers, class_view, dims, facts, marks, profile, quality, student_view, writes
-from chalkline.plans.star import Star
+from chalkline.plans.star import Star, StagedStar
 from chalkline.sources.order_school import OrderSchool
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,8 +36,14 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*[cell(f) for f in df.schema.fields])
 
 
+@lru_cache(maxsize=4)
+def _star(spark: SparkSession, folder: str) -> Star:
+    """One star per session and folder; its shared tables are written when first needed."""
+    return StagedStar(spark, OrderSchool(spark, folder))
+
+
 def query(build: Callable[[Star], DataFrame]) -> Callable[[Star], DataFrame]:
-    _QUERIES[build.__name__] = lambda spark, folder: plain(build(Star(OrderSchool(spark, folder))))
+    _QUERIES[build.__name__] = lambda spark, folder: plain(build(_star(spark, folder)))
     return build
 
 

@@ -7,16 +7,18 @@ of an earlier load; without it every table is built from scratch.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chalkline.functions import fixed_values as fv
 from chalkline.functions.columns import KEY
 from chalkline.operators import careers, class_view, dims, facts, marks, profile, student_view
 from chalkline.operators.writes import small_side, upsert, write_rows
+from chalkline.session import shared_folder
 
 
 class Star:
@@ -249,3 +251,40 @@ class Star:
     @cached_property
     def subject_list_rows(self) -> DataFrame:
         return careers.subject_list_rows(self.student_profile)
+
+
+# Tables many others are built from, in the order they depend on each other.
+STAGED = (
+    "heading_rows", "exam_sums", "fact_student_subject_performance", "fact_science_components",
+    "student_master_profile", "student_profile",
+)
+
+
+class StagedStar(Star):
+    """A star that writes its shared tables once to the shared folder and reads them back.
+
+    Lazy branches push different filters below the latest-revision shuffle, so Spark could not
+    share it and would read all marks once per branch.  A written table is read by every branch
+    and outlives a lost executor.
+    """
+
+    def __init__(self, spark: SparkSession, source: Mapping[str, DataFrame], **options):
+        super().__init__(source, **options)
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/star-{uuid.uuid4().hex}"
+
+    def _stage(self, table: str, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{table}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+
+def _staged(table: str) -> cached_property:
+    build = Star.__dict__[table].func
+    prop = cached_property(lambda self: self._stage(table, build(self)))
+    prop.__set_name__(StagedStar, table)
+    return prop
+
+
+for _table in STAGED:
+    setattr(StagedStar, _table, _staged(_table))

@@ -16,6 +16,8 @@ def local_session(cpus: int | None = None, app: str = "chalkline") -> SparkSessi
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Parquet grows when decoded; without this Spark broadcasts files that only look small.
+        .config("spark.sql.sources.fileCompressionFactor", "4.0")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
@@ -24,10 +26,15 @@ def local_session(cpus: int | None = None, app: str = "chalkline") -> SparkSessi
     return spark
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is set."""
+_own_folders: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names; a local one of our own only where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="chalkline-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own_folders:
+        _own_folders[app] = tempfile.mkdtemp(prefix="chalkline-")
+    return _own_folders[app]
