@@ -125,7 +125,7 @@ def tenth_text(value: Column) -> Column:
 
 
 def bar_value(value: Column) -> Column:
-    return F.coalesce(F.least(F.floor(value.cast("double")), F.lit(100)), F.lit(0)).cast("int")
+    return F.least(F.floor(F.coalesce(value.cast("double"), F.lit(0.0))), F.lit(100)).cast("int")
 
 
 # --- text ------------------------------------------------------------------------

@@ -7,15 +7,18 @@ Raw marks are kept in one growing folder, one sub-folder per run.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from chalkline.operators import quality
 from chalkline.plans.star import Star
+from chalkline.schemas import INPUT_TABLES
 from chalkline.sources.readers import write_table
 
 # Written in this order; each later table is built from the written earlier ones.
@@ -26,6 +29,8 @@ STAGES = [
     "fact_homework_engagement", "student_master_profile", "student_behavior_signals",
 ]
 LOG = "run_log"
+# Table schemas of a run; a partitioned table without rows has no file to take one from.
+SCHEMAS = "_table_schemas"
 
 
 class Warehouse(Mapping[str, DataFrame]):
@@ -34,10 +39,15 @@ class Warehouse(Mapping[str, DataFrame]):
     def __init__(self, spark: SparkSession, root: str, run_id: str):
         self.spark, self.root, self.run_id = spark, root.rstrip("/"), run_id
 
+    @cached_property
+    def _schemas(self) -> dict[str, T.StructType]:
+        rows = self.spark.read.parquet(f"{self.root}/{self.run_id}/{SCHEMAS}").collect()
+        return {r.table: T.StructType.fromJson(json.loads(r.schema)) for r in rows}
+
     def __getitem__(self, table: str) -> DataFrame:
         if table not in STAGES:
             raise KeyError(table)
-        return self.spark.read.parquet(f"{self.root}/{self.run_id}/{table}")
+        return self.spark.read.schema(self._schemas[table]).parquet(f"{self.root}/{self.run_id}/{table}")
 
     def __iter__(self):
         return iter(STAGES)
@@ -69,8 +79,8 @@ def loaded_marks(spark: SparkSession, root: str, runs: list[str]) -> DataFrame |
     if not runs:
         return None
     folder = f"{root.rstrip('/')}/student_marks_raw"
-    parts = [spark.read.option("basePath", f"{folder}/load_run={r}").parquet(f"{folder}/load_run={r}") for r in runs]
-    return reduce(DataFrame.unionByName, parts)
+    reader = spark.read.schema(INPUT_TABLES["student_marks"])
+    return reduce(DataFrame.unionByName, [reader.parquet(f"{folder}/load_run={r}") for r in runs])
 
 
 class _Written(Star):
@@ -107,9 +117,14 @@ def run_load(
             fresh = fresh.join(raw_before.select("school_id", "marks_id"), ["school_id", "marks_id"], "left_anti")
         write_table(fresh, f"{root}/student_marks_raw/load_run={run_id}")
         star.__dict__["marks_raw"] = loaded_marks(spark, root, [*runs, run_id])
+        schemas = []
         for table in STAGES:
-            write_table(getattr(star, table), f"{root}/{run_id}/{table}")
-            star.use(table, spark.read.parquet(f"{root}/{run_id}/{table}"))
+            df, path = getattr(star, table), f"{root}/{run_id}/{table}"
+            write_table(df, path)
+            schemas.append((table, df.schema.json()))
+            star.use(table, spark.read.schema(df.schema).parquet(path))
+        written = spark.createDataFrame(schemas, "table string, schema string").coalesce(1)
+        written.write.mode("overwrite").parquet(f"{root}/{run_id}/{SCHEMAS}")
     except Exception as error:
         _log(spark, source, root, run_id, started, "ERROR", str(error)[:2000], None)
         raise

@@ -208,7 +208,7 @@ add("trend_first_last", f"SELECT school_id, parent_id, student_name, points, {nu
 _tier = "CASE WHEN avg_c IS NULL THEN NULL " + " ".join(f"WHEN avg_c >= {t * 100} THEN {quoted(label)}" for t, label in fv.TIERS) + f" ELSE {quoted(fv.TIER_ELSE)} END"
 add("performance_tier", (
     f"SELECT {K}, upper(student_name) AS name, upper(substr(student_name, 1, 1) || CASE WHEN contains(student_name, ' ') THEN substr(list_extract(string_split(student_name, ' '), -1), 1, 1) ELSE '' END) AS avatar, class_name, section_name, "
-    f"{percent_text('avg_c')} AS overall_disp, {big('coalesce(least(avg_c // 100, 100), 0)')} AS overall_pct, {percent_text('att_c')} AS att_disp, {big('coalesce(least(att_c // 100, 100), 0)')} AS att_pct, {_tier} AS tier, "
+    f"{percent_text('avg_c')} AS overall_disp, {big('least(coalesce(avg_c, 0) // 100, 100)')} AS overall_pct, {percent_text('att_c')} AS att_disp, {big('least(coalesce(att_c, 0) // 100, 100)')} AS att_pct, {_tier} AS tier, "
     f"CASE WHEN class_name IN {in_list(fv.SENIOR_CLASSES)} THEN 1 ELSE 0 END::BIGINT AS is_senior, {big('ever_n')} AS achievement_count, {big('coalesce(hw, 0)')} AS hw_count, CASE WHEN ever_list = '' THEN 0 ELSE len(string_split(ever_list, ',')) END::BIGINT AS achievement_items FROM t_sp"))
 add("selectors", f"SELECT DISTINCT school_id, academic_yr, class_name, section_name, student_name, {big('class_id + 2')} AS class_rank FROM t_sp")
 add("years_classes_lists", (
