@@ -67,16 +67,24 @@ def insight_careers(subject: Column) -> Column:
     return rows_matching(subject_text(subject), fv.INSIGHT_CAREERS, ["word", "career", "reason"])
 
 
+# Each achievement word with the careers of its skills, in word, skill and career order.
+_WORD_CAREERS = [
+    (word, skill, career, reason)
+    for word, skill in fv.ACHIEVEMENT_SKILLS
+    for owner, career, reason in fv.SKILL_CAREERS
+    if owner == skill
+]
+
+
 def achievement_careers(text: Column) -> Column:
-    """Array of (ord, skill, career, reason) from achievement words through skills.
+    """Array of (word, skill, career, reason) from achievement words through skills.
 
     Skills follow the order of the word table; each career is kept once, at its first skill.
     """
     lowered = F.lower(text)
-    words = literal_rows(fv.ACHIEVEMENT_SKILLS, ["word", "skill"])
-    skills = F.array_distinct(F.transform(F.filter(words, lambda r: lowered.contains(r["word"])), lambda r: r["skill"]))
-    table = literal_rows([(i, *r) for i, r in enumerate(fv.SKILL_CAREERS)], ["ord", "skill", "career", "reason"])
-    options = F.flatten(F.transform(skills, lambda s: F.filter(table, lambda r: r["skill"] == s)))
+    options = F.filter(
+        literal_rows(_WORD_CAREERS, ["word", "skill", "career", "reason"]), lambda r: lowered.contains(r["word"])
+    )
     careers = F.transform(options, lambda r: r["career"])
     return F.filter(options, lambda r, i: F.array_position(careers, r["career"]) == i + 1)
 

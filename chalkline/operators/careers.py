@@ -87,17 +87,24 @@ def insight_subject_careers(core: DataFrame) -> DataFrame:
     return _first_of_each_career(rows, ["list_place", "rule_ord"]).select(*KEY, "place", "career", "reason", "subject")
 
 
+def _once_per_text(profile: DataFrame, matched) -> DataFrame:
+    """Match each student's achievement text once and give the result to all of the student's years."""
+    text = ["school_id", "student_id", "achievement_list"]
+    found = profile.select(*text).distinct().withColumn("found", matched(F.col("achievement_list")))
+    return profile.select(*KEY, "achievement_list").join(found.filter(F.size("found") > 0), text)
+
+
 def achievement_career_rows(profile: DataFrame) -> DataFrame:
-    options = mt.achievement_careers(F.col("achievement_list"))
-    return profile.select(*KEY, F.posexplode(options).alias("i", "option")).select(
+    rows = _once_per_text(profile, mt.achievement_careers).select(*KEY, F.posexplode("found").alias("i", "option"))
+    return rows.select(
         *KEY, (F.col("i") + 1).alias("place"), F.col("option.career").alias("career"),
         F.col("option.reason").alias("reason"), F.col("option.skill").alias("skill"),
     )
 
 
 def achievement_category_rows(profile: DataFrame) -> DataFrame:
-    signals = mt.achievement_signals(F.col("achievement_list"))
-    return profile.select(*KEY, F.posexplode(signals).alias("i", "s")).select(
+    rows = _once_per_text(profile, mt.achievement_signals).select(*KEY, F.posexplode("found").alias("i", "s"))
+    return rows.select(
         *KEY, (F.col("i") + 1).alias("place"), F.col("s.title").alias("title"),
         F.col("s.category").alias("category"), F.col("s.signal").alias("career_signal"),
     )

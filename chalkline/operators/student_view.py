@@ -319,15 +319,20 @@ def rows_for_teacher(profile: DataFrame, access: DataFrame, user_id: str) -> Dat
 def child_years(children: DataFrame, profile: DataFrame) -> DataFrame:
     """Years of each child: profile rows of the parent whose name starts with the child's first name.
 
-    The parent is an equality key; the prefix only filters inside it.
+    A first name has no space, so only beginnings of the row's first word can equal it.  Joining on
+    those keeps an equality join: a parent with very many rows costs rows times word length, not
+    rows times children.
     """
     names = children.select(
         "school_id", "parent_id", "latest_student_id",
         F.upper(F.substring_index("display_name", " ", 1)).alias("first_name"),
     )
-    rows = profile.select("school_id", "parent_id", "student_id", "student_name", "academic_yr")
-    joined = rows.join(names, ["school_id", "parent_id"])
-    return joined.filter(F.upper("student_name").startswith(F.col("first_name"))).select(
+    word = F.substring_index(F.upper("student_name"), " ", 1)
+    starts = F.transform(F.sequence(F.lit(1), F.length(word)), lambda n: word.substr(F.lit(1), n))
+    rows = profile.filter(F.length(word) > 0).select(
+        "school_id", "parent_id", "student_id", "academic_yr", F.explode(starts).alias("first_name")
+    )
+    return rows.join(names, ["school_id", "parent_id", "first_name"]).select(
         "school_id", "parent_id", "latest_student_id", "academic_yr", "student_id"
     )
 

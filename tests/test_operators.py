@@ -217,3 +217,24 @@ def test_structure_checks(spark):
     got = {(r.check, r.subject) for r in quality.structure_checks(spark, tables, {}).collect()}
     assert ("Missing column", "dim_class.class_name") in got and ("Missing table", "dim_subject") in got
     assert ("Missing view", "child_selector") in got
+
+
+def test_child_years_match_by_prefix(spark):
+    children = spark.createDataFrame([(1, 5, 10, "Asha Rao"), (1, 5, 11, "Ravi Rao"), (1, 6, 12, "Asha X")], "school_id int, parent_id bigint, latest_student_id bigint, display_name string")
+    rows = spark.createDataFrame(
+        [(1, 5, 10, "ASHA Rao", "y1"), (1, 5, 9, "Ashalata R", "y0"), (1, 5, 11, "Ravi", "y1"), (1, 5, 8, "As", "y0"), (2, 5, 7, "Asha", "y0")],
+        "school_id int, parent_id bigint, student_id bigint, student_name string, academic_yr string",
+    )
+    got = {(r.latest_student_id, r.student_id) for r in student_view.child_years(children, rows).collect()}
+    assert got == {(10, 10), (10, 9), (11, 11)}
+
+
+def test_one_hot_key_keeps_all_its_rows(spark):
+    hot = spark.range(20000).select(
+        F.lit(1).alias("school_id"), F.lit(1).cast("bigint").alias("student_id"), F.lit("5").alias("subject_id"), F.lit(1).alias("exam_id"),
+        F.lit("2023-2024").alias("academic_yr"), F.col("id").alias("marks_id"), F.lit("Y").alias("publish"), F.lit('{"1":"Y"}').alias("present"),
+        F.concat(F.lit('{"1":"'), (F.col("id") % 20).cast("string"), F.lit('"}')).alias("mark_obtained"), F.lit('{"1":"20"}').alias("highest_marks"),
+    )
+    assert [r.marks_id for r in marks.latest_marks(hot).collect()] == [19999]
+    every = marks.ratio_of_sums(marks.exam_sums(marks.heading_rows(hot)), ["school_id", "student_id", "academic_yr"]).first()
+    assert every.avg_percent == Decimal("47.50")

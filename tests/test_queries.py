@@ -33,3 +33,23 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert {"school_id", "student_id", "academic_yr", "avg_percent"} <= set(entry.entry(spark).columns)
+
+
+def test_latest_revision_is_limited_before_the_shuffle(spark, small):
+    plan = queries()["marks_latest"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"WindowGroupLimit.*Final[\s\S]*Exchange hashpartitioning[\s\S]*WindowGroupLimit.*Partial", plan)
+
+
+def test_scans_read_only_what_they_need(spark, small):
+    plan = queries()["attendance_present"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<l_orderkey:bigint,l_discount:double>" in plan
+
+
+def test_shared_tables_go_to_the_named_folder(spark, small, tmp_path):
+    from chalkline.plans.star import StagedStar
+    from chalkline.sources.order_school import OrderSchool
+
+    star = StagedStar(spark, OrderSchool(spark, small))
+    star.folder = str(tmp_path)
+    assert star.exam_sums.count() > 0
+    assert {p.name for p in tmp_path.iterdir()} == {"heading_rows", "exam_sums"}
