@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -47,6 +47,11 @@ def literal_rows(rows: Iterable[tuple], names: list[str]) -> Column:
     return F.expr("array(" + ", ".join(row(r) for r in rows) + ")")
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once; inside a lambda Spark would repeat it per element."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def norm(text: Column) -> Column:
     return F.lower(F.trim(text))
 
@@ -192,10 +197,14 @@ def text_items(text: Column) -> Column:
 
 def clean_subjects(text: Column) -> Column:
     """Array of aliased subject names, case-insensitive first occurrence kept."""
+    empty = F.array().cast("array<string>")
     aliased = F.transform(text_items(text), lambda s: F.coalesce(lookup(fv.SUBJECT_ALIASES, F.lower(s)), s))
-    lowered = F.transform(aliased, F.lower)
-    kept = F.filter(aliased, lambda s, i: F.array_position(lowered, F.lower(s)) == i + 1)
-    return F.when(text.isNull() | norm(text).isin("", "none", "nan", "—"), F.array().cast("array<string>")).otherwise(kept)
+    kept = F.aggregate(
+        aliased,
+        empty,
+        lambda found, s: F.when(F.exists(found, lambda f: F.lower(f) == F.lower(s)), found).otherwise(F.concat(found, F.array(s))),
+    )
+    return F.when(text.isNull() | norm(text).isin("", "none", "nan", "—"), empty).otherwise(kept)
 
 
 # --- subjects, classes, exams -------------------------------------------------------

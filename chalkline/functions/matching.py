@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from chalkline.functions import fixed_values as fv
-from chalkline.functions.columns import literal_array, literal_rows, lookup, norm, without_parentheses
+from chalkline.functions.columns import bind, literal_array, literal_rows, lookup, norm, without_parentheses
 
 
 def _words(rows: list[tuple]) -> Column:
@@ -23,12 +23,12 @@ def either_contains(text: Column, word: Column) -> Column:
 
 def first_word_match(text: Column, rows: list[tuple]) -> Column:
     """First rule word that contains the text or is contained in it."""
-    return F.get(F.filter(_words(rows), lambda w: either_contains(text, w)), F.lit(0))
+    return bind(text, lambda t: F.get(F.filter(_words(rows), lambda w: either_contains(t, w)), F.lit(0)))
 
 
 def longest_word_match(text: Column, rows: list[tuple]) -> Column:
     """The most specific matching rule word; the earlier word wins a tie."""
-    hits = F.filter(_words(rows), lambda w: either_contains(text, w))
+    hits = bind(text, lambda t: F.filter(_words(rows), lambda w: either_contains(t, w)))
     return F.aggregate(
         hits,
         F.lit(None).cast("string"),
@@ -43,13 +43,13 @@ def word_match(text: Column, rows: list[tuple], match: str) -> Column:
 def rows_of_word(word: Column, rows: list[tuple], names: list[str]) -> Column:
     """Rule rows of one word, with their place in the table as ``ord``."""
     table = literal_rows([(i, *r) for i, r in enumerate(rows)], ["ord", *names])
-    return F.filter(table, lambda r: r[names[0]] == word)
+    return bind(word, lambda chosen: F.filter(table, lambda r: r[names[0]] == chosen))
 
 
 def rows_matching(text: Column, rows: list[tuple], names: list[str]) -> Column:
     """All rule rows whose word contains the text or is contained in it."""
     table = literal_rows([(i, *r) for i, r in enumerate(rows)], ["ord", *names])
-    return F.filter(table, lambda r: either_contains(text, r[names[0]]))
+    return bind(text, lambda t: F.filter(table, lambda r: either_contains(t, r[names[0]])))
 
 
 def subject_text(subject: Column) -> Column:
@@ -81,12 +81,15 @@ def achievement_careers(text: Column) -> Column:
 
     Skills follow the order of the word table; each career is kept once, at its first skill.
     """
-    lowered = F.lower(text)
-    options = F.filter(
-        literal_rows(_WORD_CAREERS, ["word", "skill", "career", "reason"]), lambda r: lowered.contains(r["word"])
+    table = literal_rows(_WORD_CAREERS, ["word", "skill", "career", "reason"])
+    options = bind(F.lower(text), lambda t: F.filter(table, lambda r: t.contains(r["word"])))
+    return F.aggregate(
+        options,
+        F.array().cast("array<struct<word:string,skill:string,career:string,reason:string>>"),
+        lambda found, r: F.when(F.exists(found, lambda f: f["career"] == r["career"]), found).otherwise(
+            F.concat(found, F.array(r))
+        ),
     )
-    careers = F.transform(options, lambda r: r["career"])
-    return F.filter(options, lambda r, i: F.array_position(careers, r["career"]) == i + 1)
 
 
 def required_subjects(goal: Column, match: str = "first") -> Column:
@@ -105,17 +108,22 @@ def achievement_signals(text: Column) -> Column:
     titles = F.transform(items, lambda x: F.trim(F.regexp_replace(x, r"^\d{4}-\d{4}\s*:\s*", "")))
     found_type = "array<struct<title:string,category:string,signal:string>>"
 
-    def take(found: Column, title: Column) -> Column:
+    def first_hit(found: Column, title: Column) -> Column:
         seen = F.transform(found, lambda r: r["category"])
-        hit = F.get(
-            F.filter(
-                rules,
-                lambda r: F.lower(title).contains(r["word"]) & ~F.array_contains(seen, r["category"]),
+        return bind(
+            F.struct(F.lower(title).alias("title"), seen.alias("seen")),
+            lambda b: F.get(
+                F.filter(rules, lambda r: b["title"].contains(r["word"]) & ~F.array_contains(b["seen"], r["category"])),
+                F.lit(0),
             ),
-            F.lit(0),
         )
-        row = F.struct(title.alias("title"), hit["category"].alias("category"), hit["signal"].alias("signal"))
-        return F.when(hit.isNull(), found).otherwise(F.concat(found, F.array(row)))
+
+    def take(found: Column, title: Column) -> Column:
+        def added(hit: Column) -> Column:
+            row = F.struct(title.alias("title"), hit["category"].alias("category"), hit["signal"].alias("signal"))
+            return F.when(hit.isNull(), found).otherwise(F.concat(found, F.array(row)))
+
+        return bind(first_hit(found, title), added)
 
     found = F.aggregate(titles, F.array().cast(found_type), take)
     blank = text.isNull() | F.trim(text).isin("", "nan", "None")
@@ -123,5 +131,5 @@ def achievement_signals(text: Column) -> Column:
 
 
 def is_core_subject(subject: Column) -> Column:
-    base = F.lower(without_parentheses(subject))
-    return F.exists(literal_array(w.lower() for w in fv.CORE_SUBJECT_WORDS), lambda w: base.contains(w))
+    words = literal_array(w.lower() for w in fv.CORE_SUBJECT_WORDS)
+    return bind(F.lower(without_parentheses(subject)), lambda base: F.exists(words, lambda w: base.contains(w)))
