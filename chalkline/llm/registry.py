@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chalkline.llm import exact_dedup, mixing, sharding
+from chalkline.llm import exact_dedup, mixing, sharding, token_counts, token_files
 from chalkline.llm.common import documents
 
 DEDUP_SQL = r"""
@@ -17,6 +18,10 @@ FROM t
 """
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(documents(spark, sf_dir)).drop("bucket")
 
@@ -25,12 +30,16 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), shards=24)
 
 
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), weights=(3, 1, 2), share=1.5, epochs=2)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op5_sharding, op8_mixing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op5_sharding, op6_token_ids, op8_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
