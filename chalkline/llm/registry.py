@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chalkline.llm import exact_dedup, mixing, sharding, token_counts, token_files
+from chalkline.llm import exact_dedup, language, mixing, quality, sharding, token_counts, token_files
 from chalkline.llm.common import documents
 
 DEDUP_SQL = r"""
@@ -34,12 +34,21 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), weights=(3, 1, 2), share=1.5, epochs=2)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.score(docs, quality.train(docs, labels), threshold=0.7)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op5_sharding, op6_token_ids, op8_mixing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op5_sharding, op6_token_ids, op7_language_id, op8_mixing, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

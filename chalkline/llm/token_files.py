@@ -19,12 +19,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chalkline.llm.batches import slices
 from chalkline.llm.common import new_folder, staged, text_of
 
 #: Words remembered by one worker, and bytes above which a word is encoded without being remembered.
@@ -96,18 +96,6 @@ def _files(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
 
 
-def slices(texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about `most` bytes of text."""
-    start = size = 0
-    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
-        size += n
-        if size >= most:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def write_ids(docs: DataFrame, file: str, folder: str, end_id: int = 1, dtype: str = "<u2", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the files below `folder` and return the manifest, one row per file: path, n_docs, n_tokens, first_doc, base."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
