@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chalkline.llm import exact_dedup, language, mixing, quality, sharding, token_counts, token_files
+from chalkline.llm import exact_dedup, language, mixing, ngram_join, quality, sharding, token_counts, token_files
 from chalkline.llm.common import documents
 
 DEDUP_SQL = r"""
@@ -26,6 +26,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(documents(spark, sf_dir)).drop("bucket")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, sf_dir)).drop("row_no", "text64")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), shards=24)
 
@@ -48,7 +52,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op5_sharding, op6_token_ids, op7_language_id, op8_mixing, op9_quality)}
+    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_ngram_join, op5_sharding, op6_token_ids, op7_language_id, op8_mixing, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
