@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chalkline.llm import exact_dedup, language, mixing, ngram_join, quality, sharding, token_counts, token_files
+from chalkline.llm import exact_dedup, language, mixing, ngram_join, quality, sharding, substring_dedup, token_counts, token_files
 from chalkline.llm.common import documents
 
 DEDUP_SQL = r"""
@@ -18,6 +18,21 @@ FROM t
 """
 
 
+SUBSTRING_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h
+      FROM d, LATERAL (SELECT unnest(generate_series(1, len(w) - 49)) AS i) WHERE len(w) >= 50),
+f AS (SELECT h, min(doc_id) AS first_id FROM p GROUP BY h),
+hit AS (SELECT p.doc_id, p.i FROM p JOIN f USING (h) WHERE f.first_id < p.doc_id),
+gone AS (SELECT doc_id, list_distinct(list(k)) AS ks FROM (SELECT doc_id, unnest(generate_series(i, i + 49)) AS k FROM hit) GROUP BY doc_id),
+kept AS (SELECT d.doc_id, len(w) AS n_words, coalesce(len(ks), 0) AS n_removed,
+                CASE WHEN ks IS NULL THEN array_to_string(w, ' ')
+                     ELSE array_to_string(list_transform(list_filter(generate_series(1, len(w)), k -> NOT list_contains(ks, k)), k -> w[k]), ' ') END AS t
+         FROM d LEFT JOIN gone USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM kept
+"""
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
@@ -30,6 +45,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(documents(spark, sf_dir)).drop("row_no", "text64")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(documents(spark, sf_dir)).drop("kept_text", "intervals")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), shards=24)
 
@@ -52,8 +71,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_ngram_join, op5_sharding, op6_token_ids, op7_language_id, op8_mixing, op9_quality)}
+    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_ngram_join, op4_substring_dedup, op5_sharding, op6_token_ids, op7_language_id, op8_mixing, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": DEDUP_SQL, "op8_mixing": mixing.MIX_SQL}
+    return {"op2_exact_dedup": DEDUP_SQL, "op4_substring_dedup": SUBSTRING_SQL, "op8_mixing": mixing.MIX_SQL}
