@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chalkline.llm import exact_dedup, language, mixing, ngram_join, quality, sharding, substring_dedup, token_counts, token_files
+from chalkline.llm import decontamination, exact_dedup, language, mixing, ngram_join, quality, sharding, substring_dedup, token_counts, token_files
 from chalkline.llm.common import documents
 
 DEDUP_SQL = r"""
@@ -70,8 +70,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, labels), threshold=0.7)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text64")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_ngram_join, op4_substring_dedup, op5_sharding, op6_token_ids, op7_language_id, op8_mixing, op9_quality)}
+    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_ngram_join, op4_substring_dedup, op5_sharding, op6_token_ids, op7_language_id, op8_mixing, op9_quality, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
