@@ -24,9 +24,9 @@ RANGE_ROWS = 4096
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size in words, and the hash-random key (hex, so that any engine can make it)."""
+    """doc_id, source, text64 (hash of the text), size in words, and the hash-random key (hex, so that any engine can make it)."""
     return docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(text_of(text_col)).alias("text64"),
         F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("key"),
     )
@@ -60,7 +60,7 @@ def mix(
     docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, epochs: int = 2,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
-    """Per row: doc_id, size, source_size, target, taken (words the mix takes, repeats counted), source, key."""
+    """Per row: doc_id, size, source_size, target, taken (words the mix takes, repeats counted), source, key, text64."""
     rows = staged(sized(docs, id_col, text_col, source_col), "mix-sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     plan = staged(
@@ -79,7 +79,7 @@ def mix(
     at = join_on(ranked, bases, ["source", "range_no"], "inner")
     cut = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("base") - F.col("inside")))
     return at.select(
-        "doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + cut).cast("long").alias("taken"), "source", "key")
+        "doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + cut).cast("long").alias("taken"), "source", "key", "text64")
 
 
 #: The same rows in plain SQL.

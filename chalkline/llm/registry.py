@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,7 +63,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir), weights=(3, 1, 2), share=1.5, epochs=2)
+    return mixing.mix(documents(spark, sf_dir), weights=(3, 1, 2), share=1.5, epochs=2).drop("text64")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,9 +75,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text64")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_ngram_join, op4_substring_dedup, op5_sharding, op6_token_ids, op7_language_id, op8_mixing, op9_quality, op10_decontamination)}
+    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_ngram_join, op4_substring_dedup, op5_sharding, op6_token_ids, op7_language_id, op8_mixing, op9_quality, op10_decontamination, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": DEDUP_SQL, "op4_substring_dedup": SUBSTRING_SQL, "op8_mixing": mixing.MIX_SQL}
+    own = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return own | {"op2_exact_dedup": DEDUP_SQL, "op4_substring_dedup": SUBSTRING_SQL, "op8_mixing": mixing.MIX_SQL}
