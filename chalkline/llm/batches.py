@@ -1,8 +1,11 @@
-"""Batches of texts inside tasks: runs of bounded size, and rows for a bounded training sample."""
+"""Batches of texts inside tasks: Python on executors, runs of bounded size, and rows for a bounded training sample."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+import shutil
+import tempfile
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,6 +15,20 @@ from pyspark.sql import functions as F
 from chalkline.llm.common import random_key
 
 
+_shipped: set[str] = set()
+
+
+def map_arrow(rows: DataFrame, function: Callable, schema) -> DataFrame:
+    """`mapInArrow`, with this package sent to the executors once per application (Spark's own file server deals it out)."""
+    context = rows.sparkSession.sparkContext
+    if context.applicationId not in _shipped:
+        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        archive = os.path.join(tempfile.mkdtemp(prefix="package-"), os.path.basename(package))
+        context.addPyFile(shutil.make_archive(archive, "zip", os.path.dirname(package), os.path.basename(package)))
+        _shipped.add(context.applicationId)
+    return rows.mapInArrow(function, schema)
+
+
 def slices(texts: pa.Array, most: int = 8 << 20, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
     """Runs of rows of about `most` bytes of text and no more than `rows` rows."""
     start = size = 0

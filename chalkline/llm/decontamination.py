@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.batches import slices
+from chalkline.llm.batches import map_arrow, slices
 from chalkline.llm.common import text_of
 
 PASSAGE, BLOCK_PASSAGES, RANK, ROUNDS = 64, 20_000, 256, 3
@@ -122,7 +122,7 @@ def weigh(p: Passages, docs: DataFrame, text_col: str) -> None:
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], n))], names=["term", "n"])
 
-    parts = docs.select(text_of(text_col).cast("binary").alias("body")).mapInArrow(count, "term long, n long")
+    parts = map_arrow(docs.select(text_of(text_col).cast("binary").alias("body")), count, "term long, n long")
     totals = {r["term"]: r["n"] for r in parts.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # one row a term of the block
     n = totals.get(-1, 0)
     df = np.array([totals.get(i, 0) for i in range(len(p.vocab))])
@@ -147,7 +147,7 @@ def decompose(p: Passages, docs: DataFrame) -> None:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
     def summed(z: np.ndarray, gram: bool) -> np.ndarray:
-        parts = rows.mapInArrow(lambda it: product(it, z, gram), "part binary").collect()  # at most 32 matrices of the block's terms by rank
+        parts = map_arrow(rows, lambda it: product(it, z, gram), "part binary").collect()  # at most 32 matrices of the block's terms by rank
         return sum(np.frombuffer(bytes(r["part"])) for r in parts).reshape((rank, rank) if gram else (v, rank))
 
     for _ in range(ROUNDS):
@@ -290,6 +290,6 @@ def leaks(
                         yield pa.RecordBatch.from_arrays(
                             [b.column("doc_id").take(pick), b.column("text64").take(pick), *(pa.array(c, k) for c, k in zip(cols[1:], kinds))], names=["doc_id", "text64", *names])
 
-        part = rows.mapInArrow(search, f"doc_id {kind}, text64 long, {RESULT}")
+        part = map_arrow(rows, search, f"doc_id {kind}, text64 long, {RESULT}")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], f"doc_id {kind}, text64 long, {RESULT}")

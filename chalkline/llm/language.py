@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from chalkline.llm.batches import held_out, labelled_sample, slices
+from chalkline.llm.batches import held_out, labelled_sample, map_arrow, slices
 from chalkline.llm.common import text_of
 
 #: Hashed n-grams, longest n-gram, landmarks of a language, and training rows of a language (the bound of the sample).
@@ -102,7 +103,7 @@ def _bits_of(rows: DataFrame, label: str) -> DataFrame:
                 bits = np.packbits(presence(b.column("body")[a:z].to_pylist()), axis=1)
                 yield pa.RecordBatch.from_arrays([b.column(label)[a:z], b.column("place")[a:z], pa.array([x.tobytes() for x in bits], pa.binary())], names=[label, "place", "bits"])
 
-    return rows.mapInArrow(packed, f"{label} string, place long, bits binary")
+    return map_arrow(rows, packed, f"{label} string, place long, bits binary")
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = TRAIN_PER_LANG) -> Model | None:
@@ -143,8 +144,8 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
                 share += [0.0 if t is None else float(x) for t, x in zip(texts, p.max(axis=1))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(share, pa.float64())], names=[*fields, "__lang", "__score"])
 
-    schema = docs.schema.add("__lang", "string").add("__score", "double")
-    return rows.mapInArrow(score, schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
+    return map_arrow(rows, score, schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

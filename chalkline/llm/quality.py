@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.batches import held_out, labelled_sample, slices
+from chalkline.llm.batches import held_out, labelled_sample, map_arrow, slices
 from chalkline.llm.common import text_of
 
 #: Hashed words, rank of the interactions, quantile bins of a statistic, training rows of a label (the bound of the sample).
@@ -146,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     names=["doc_id", "y", "bucket", "value", "stats"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = sorted(rows.mapInArrow(extract, f"doc_id {kind}, y int, bucket binary, value binary, stats binary").collect(), key=lambda r: (r["doc_id"], bytes(r["stats"])))
+    found = sorted(map_arrow(rows, extract, f"doc_id {kind}, y int, bucket binary, value binary, stats binary").collect(), key=lambda r: (r["doc_id"], bytes(r["stats"])))
     y = np.array([r["y"] for r in found])
     if not len(y) or counts.get(1, 0) == 0 or counts.get(0, 0) == 0 or len(set(y.tolist())) < 2:
         return None
@@ -167,4 +167,4 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.7, id_col:
             p = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(scores, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return map_arrow(rows, scores, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")

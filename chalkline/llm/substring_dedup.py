@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.batches import slices
+from chalkline.llm.batches import map_arrow, slices
 from chalkline.llm.common import join_on, staged, text_of
 from chalkline.llm.fm_index import FMIndex
 from chalkline.llm.shingles import GOLDEN, mixed, word_hashes
@@ -94,7 +94,7 @@ def described(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataF
                     names=["doc_id", "text64", "tid", "n_words", "whole_sha256", "names"])
 
     kind = base.schema["doc_id"].dataType.simpleString()
-    return base.mapInArrow(describe, f"doc_id {kind}, text64 long, tid binary, n_words long, whole_sha256 string, names array<long>")
+    return map_arrow(base, describe, f"doc_id {kind}, text64 long, tid binary, n_words long, whole_sha256 string, names array<long>")
 
 
 def segments(texts: DataFrame, window: int) -> DataFrame:
@@ -127,7 +127,7 @@ def segments(texts: DataFrame, window: int) -> DataFrame:
                      b.column("owner")[a:z].take(pick), b.column("tid")[a:z].take(pick), words],
                     names=["name", "digest", "sub", "start", "owner", "tid", "words"])
 
-    return texts.select("tid", "owner", "shared", "body").mapInArrow(cut, SEGMENT)
+    return map_arrow(texts.select("tid", "owner", "shared", "body"), cut, SEGMENT)
 
 
 def _by_window(rows: DataFrame, window: int) -> DataFrame:
@@ -151,7 +151,7 @@ def _by_window(rows: DataFrame, window: int) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["place", "name", "digest", "sub", "owner", "words"])
 
-    return rows.select("name", "digest", "owner", "words").mapInArrow(cut, "place long, name long, digest binary, sub int, owner long, words binary")
+    return map_arrow(rows.select("name", "digest", "owner", "words"), cut, "place long, name long, digest binary, sub int, owner long, words binary")
 
 
 def searched(rows: DataFrame, window: int, shards: int, shard_words: int) -> DataFrame:
@@ -171,7 +171,7 @@ def searched(rows: DataFrame, window: int, shards: int, shard_words: int) -> Dat
                 names=["name", "digest", "sub", "least"])
 
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(shards)))
-    return dealt.repartition(shards, "shard").sortWithinPartitions("shard", "place").mapInArrow(search, "name long, digest binary, sub int, least array<long>")
+    return map_arrow(dealt.repartition(shards, "shard").sortWithinPartitions("shard", "place"), search, "name long, digest binary, sub int, least array<long>")
 
 
 def _by_shard(batches: Iterator[pa.RecordBatch], shard_words: int) -> Iterator[dict[str, list]]:
@@ -239,7 +239,7 @@ def dedup_substrings(
                 [pa.array(c, k) for c, k in zip(cols, [pa.binary(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.list_(pa.int32()))])],
                 names=["tid", "removed", "sha", "kept_text", "intervals"])
 
-    changed = candidates.select("tid", "body").join(starts, "tid").mapInArrow(remove, "tid binary, removed long, sha string, kept_text string, intervals array<array<int>>")
+    changed = map_arrow(candidates.select("tid", "body").join(starts, "tid"), remove, "tid binary, removed long, sha string, kept_text string, intervals array<array<int>>")
     heads = texts.select("tid", F.col("owner").alias("head")).join(changed, "tid", "left")
     joined = rows.drop("names").join(heads, "tid", "left")
     # A row that only repeats a smaller id's words loses them all; a row of the head's own id is treated as the head.

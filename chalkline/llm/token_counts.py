@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chalkline.llm.batches import map_arrow
 from chalkline.llm.common import text_of
 
 #: The split pattern of byte-level vocabularies.
@@ -220,7 +221,7 @@ def token_counts(docs: DataFrame, file: str, limit: int = 512, id_col: str = "do
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text_of(text_col)).cast("long").alias("n_bytes"), text_of(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, limit_chars long")
+    return map_arrow(rows, count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, limit_chars long")
 
 
 def prefix_table(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,7 +236,7 @@ def prefix_table(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: s
                 names=["doc_id", "n_tokens", "steps"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(table, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, steps binary")
+    return map_arrow(rows, table, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, steps binary")
 
 
 def longest_prefix(steps: bytes, budget: int) -> int:
