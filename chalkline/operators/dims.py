@@ -10,9 +10,15 @@ from chalkline.functions.columns import KEY, effective_subject
 from chalkline.operators.writes import first_rows, insert_first, missing_rows, pin_row
 
 
-def years_in_range(students: DataFrame, first: str = fv.FIRST_YEAR, last: str = fv.LAST_YEAR) -> DataFrame:
-    """Years of each school inside the range; text order is time order."""
-    return students.filter(F.col("academic_yr").between(first, last)).select("school_id", "academic_yr").distinct()
+def in_range(df: DataFrame, first: str | None = fv.FIRST_YEAR, last: str | None = fv.LAST_YEAR) -> DataFrame:
+    """Rows of the years from first to last; None leaves that end open. Text order is time order, and the filter reaches the scan."""
+    kept = df if first is None else df.filter(F.col("academic_yr") >= first)
+    return kept if last is None else kept.filter(F.col("academic_yr") <= last)
+
+
+def years_in_range(students: DataFrame, first: str | None = fv.FIRST_YEAR, last: str | None = fv.LAST_YEAR) -> DataFrame:
+    """Years of each school inside the range."""
+    return in_range(students, first, last).select("school_id", "academic_yr").distinct()
 
 
 def years_after_target(students: DataFrame, target: DataFrame) -> DataFrame:
@@ -71,9 +77,9 @@ def new_parents(source: DataFrame, loaded: DataFrame | None, drop_deleted: bool
     return insert_first(rows, loaded, ["school_id", "parent_id"], order)
 
 
-def new_classes(classes: DataFrame, students: DataFrame, loaded: DataFrame | None) -> DataFrame:
+def new_classes(classes: DataFrame, students: DataFrame, loaded: DataFrame | None, years: DataFrame) -> DataFrame:
     """Classes with current students; a class id recurs every year, the latest name wins."""
-    used = current_students(students).filter(F.col("academic_yr").between(fv.FIRST_YEAR, fv.LAST_YEAR))
+    used = in_years(current_students(students), years)
     used = used.select("school_id", "class_id").distinct()
     named = first_rows(classes, ["school_id", "class_id"], [F.desc("academic_yr"), F.asc("name")]).select(
         "school_id", "class_id", F.col("name").alias("class_name")
@@ -81,8 +87,8 @@ def new_classes(classes: DataFrame, students: DataFrame, loaded: DataFrame | Non
     return missing_rows(named.join(used, ["school_id", "class_id"], "left_semi"), loaded, ["school_id", "class_id"])
 
 
-def new_sections(sections: DataFrame, students: DataFrame, loaded: DataFrame | None) -> DataFrame:
-    used = current_students(students).filter(F.col("academic_yr").between(fv.FIRST_YEAR, fv.LAST_YEAR))
+def new_sections(sections: DataFrame, students: DataFrame, loaded: DataFrame | None, years: DataFrame) -> DataFrame:
+    used = in_years(current_students(students), years)
     used = used.select("school_id", "section_id").distinct()
     named = first_rows(sections, ["school_id", "section_id"], [F.asc("name")]).select(
         "school_id", "section_id", F.col("name").alias("section_name")
@@ -116,11 +122,11 @@ def dim_subject(master: DataFrame, loaded: DataFrame | None = None) -> DataFrame
     return pin_row(fresh, F.col("subject_id") == fv.SCIENCE_ID, science_row(schools))
 
 
-def class_subject_map(subjects: DataFrame, classes: DataFrame, master: DataFrame) -> DataFrame:
+def class_subject_map(subjects: DataFrame, classes: DataFrame, master: DataFrame, years: DataFrame) -> DataFrame:
     """Subjects of a class name by year; the three sciences count as Science in the science classes."""
     named = classes.select("school_id", "class_id", "academic_yr", F.col("name").alias("class_name"))
     return (
-        subjects.filter(F.col("academic_yr").between(fv.FIRST_YEAR, fv.LAST_YEAR))
+        in_years(subjects, years)
         .join(named, ["school_id", "class_id", "academic_yr"])
         .join(real_subjects(master).select("school_id", "sm_id"), ["school_id", "sm_id"], "left_semi")
         .select(

@@ -10,21 +10,23 @@ from pyspark.sql import functions as F
 
 from chalkline.functions import fixed_values as fv
 from chalkline.functions.columns import KEY, role_label
+from chalkline.operators.dims import in_range
 
 SCHOOL_YEAR = ["school_id", "academic_yr"]
 
 
-def _wanted(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("academic_yr").between(fv.FIRST_YEAR, fv.LAST_YEAR))
+YEAR_RANGE = (fv.FIRST_YEAR, fv.LAST_YEAR)
 
 
-def verify_by_year(students: DataFrame, profile: DataFrame, attendance: DataFrame, performance: DataFrame) -> DataFrame:
+def verify_by_year(
+    students: DataFrame, profile: DataFrame, attendance: DataFrame, performance: DataFrame, years: tuple = YEAR_RANGE
+) -> DataFrame:
     """Distinct students per school and year in the source and in each target, with a status."""
 
     def counted(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(*SCHOOL_YEAR).agg(F.count_distinct("student_id").alias(name))
 
-    source = counted(_wanted(students).filter(F.col("is_delete") == "N"), "source_students")
+    source = counted(in_range(students, *years).filter(F.col("is_delete") == "N"), "source_students")
     joined = reduce(
         lambda left, right: left.join(right, SCHOOL_YEAR, "left"),
         [counted(profile, "in_master"), counted(attendance, "have_attendance"), counted(performance, "have_marks")],
@@ -39,16 +41,16 @@ def verify_by_year(students: DataFrame, profile: DataFrame, attendance: DataFram
     return joined.withColumn("missing_from_master", total - master).withColumn("etl_status", status)
 
 
-def missing_from_master(students: DataFrame, profile: DataFrame) -> DataFrame:
-    current = _wanted(students).filter(F.col("is_delete") == "N").select(*KEY, "student_name", "parent_id")
+def missing_from_master(students: DataFrame, profile: DataFrame, years: tuple = YEAR_RANGE) -> DataFrame:
+    current = in_range(students, *years).filter(F.col("is_delete") == "N").select(*KEY, "student_name", "parent_id")
     return current.join(profile.select(*KEY), KEY, "left_anti")
 
 
-def ghost_students(profile: DataFrame, demographics: DataFrame, students: DataFrame) -> DataFrame:
+def ghost_students(profile: DataFrame, demographics: DataFrame, students: DataFrame, years: tuple = YEAR_RANGE) -> DataFrame:
     """Profile rows whose source row is gone or deleted."""
     source = students.select(*KEY, "is_delete")
     return (
-        _wanted(profile).select(*KEY)
+        in_range(profile, *years).select(*KEY)
         .join(source, KEY, "left")
         .filter(F.col("is_delete").isNull() | (F.col("is_delete") == "Y"))
         .join(demographics.select(*KEY, "student_name"), KEY, "left")
@@ -56,12 +58,12 @@ def ghost_students(profile: DataFrame, demographics: DataFrame, students: DataFr
     )
 
 
-def without_parent(demographics: DataFrame) -> DataFrame:
-    return _wanted(demographics).filter(F.col("parent_id").isNull()).select(*KEY, "student_name")
+def without_parent(demographics: DataFrame, years: tuple = YEAR_RANGE) -> DataFrame:
+    return in_range(demographics, *years).filter(F.col("parent_id").isNull()).select(*KEY, "student_name")
 
 
-def rows_per_year(profile: DataFrame) -> DataFrame:
-    return _wanted(profile).groupBy(*SCHOOL_YEAR).agg(F.count("*").alias("student_count"))
+def rows_per_year(profile: DataFrame, years: tuple = YEAR_RANGE) -> DataFrame:
+    return in_range(profile, *years).groupBy(*SCHOOL_YEAR).agg(F.count("*").alias("student_count"))
 
 
 def staff_counts(teachers: DataFrame) -> DataFrame:
@@ -160,10 +162,10 @@ def content_checks(schools: DataFrame, tables: Mapping[str, DataFrame]) -> DataF
     return reduce(DataFrame.unionByName, checks)
 
 
-def log_checks(log: DataFrame) -> DataFrame:
-    """The last successful run of each school in the log, an error row where none succeeded."""
+def log_checks(log: DataFrame, tie_break: str = "notes") -> DataFrame:
+    """The last successful run of each school in the log, an error row where none succeeded; ``tie_break`` orders runs that ended together."""
     return log.groupBy("school_id").agg(
-        F.max_by("notes", F.when(F.col("status") == "SUCCESS", F.struct("run_end", "notes"))).alias("subject"),
+        F.max_by("notes", F.when(F.col("status") == "SUCCESS", F.struct("run_end", tie_break))).alias("subject"),
         F.count_if(F.col("status") == "SUCCESS").alias("value"),
     ).select(
         "school_id", F.when(F.col("value") == 0, "error").otherwise("info").alias("level"),
@@ -179,13 +181,13 @@ RUN_LOG = (
 )
 
 
-def years_note(years: DataFrame) -> DataFrame:
-    """Years processed per school, as the log's count and note."""
+def years_note(years: DataFrame, first: str | None = fv.FIRST_YEAR, last: str | None = fv.LAST_YEAR) -> DataFrame:
+    """Years processed per school, as the log's count and note; an open end of the range is left blank."""
     listed = F.array_join(F.array_sort(F.collect_set("academic_yr")), ", ")
     return years.groupBy("school_id").agg(
         F.count_distinct("academic_yr").alias("new_years"),
         F.concat(
-            F.lit(f"Backfill range {fv.FIRST_YEAR} to {fv.LAST_YEAR}. Years processed: "), listed
+            F.lit(f"Backfill range {first or ''} to {last or ''}. Years processed: " if first or last else "New years only. Years processed: "), listed
         ).alias("notes"),
     )
 

@@ -9,21 +9,6 @@ from pyspark.sql import functions as F
 
 from chalkline.functions.columns import has_name
 
-SMALL_ROWS = 50_000
-
-
-def small_side(df: DataFrame, most_rows: int = SMALL_ROWS) -> DataFrame:
-    """A list of at most ``most_rows`` rows, fetched once and broadcast from then on.
-
-    One row more than the bound is asked for; if it comes, the frame is returned as it is and
-    Spark's own join choice stands.
-    """
-    rows = df.limit(most_rows + 1).collect()
-    if len(rows) > most_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
 def missing_rows(source: DataFrame, target: DataFrame | None, keys: Sequence[str]) -> DataFrame:
     """Source rows whose key the target does not hold."""
     if target is None:

@@ -9,14 +9,16 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
-from functools import cached_property, reduce
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from chalkline.functions import fixed_values as fv
 from chalkline.operators import quality
+from chalkline.operators.writes import duplicate_keys
 from chalkline.plans.star import Star
 from chalkline.schemas import INPUT_TABLES
 from chalkline.sources.readers import write_table
@@ -29,6 +31,17 @@ STAGES = [
     "fact_homework_engagement", "student_master_profile", "student_behavior_signals",
 ]
 LOG = "run_log"
+# Unique keys of the written tables; a run with a repeated key does not count as successful.
+YEAR_KEY = ("school_id", "student_id", "academic_yr")
+UNIQUE = {
+    "student_clean": YEAR_KEY, "dim_student_demographics": YEAR_KEY, "dim_teachers": ("school_id", "teacher_id"),
+    "dim_parent": ("school_id", "parent_id"), "dim_subject": ("school_id", "subject_id"),
+    "dim_class_subject_map": ("school_id", "class_name", "subject_id", "academic_yr"),
+    "dim_class": ("school_id", "class_id"), "dim_section": ("school_id", "section_id"),
+    "fact_attendance": YEAR_KEY, "fact_academics": YEAR_KEY, "fact_science_components": (*YEAR_KEY, "component"),
+    "fact_student_subject_performance": (*YEAR_KEY, "subject_id"), "fact_achievements": YEAR_KEY,
+    "fact_homework_engagement": YEAR_KEY, "student_master_profile": YEAR_KEY, "student_behavior_signals": YEAR_KEY,
+}
 # Table schemas of a run; a partitioned table without rows has no file to take one from.
 SCHEMAS = "_table_schemas"
 
@@ -59,7 +72,9 @@ class Warehouse(Mapping[str, DataFrame]):
 def read_log(spark: SparkSession, root: str) -> DataFrame:
     try:
         return spark.read.schema(quality.RUN_LOG).parquet(f"{root.rstrip('/')}/{LOG}")
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], quality.RUN_LOG)
 
 
@@ -79,8 +94,9 @@ def loaded_marks(spark: SparkSession, root: str, runs: list[str]) -> DataFrame |
     if not runs:
         return None
     folder = f"{root.rstrip('/')}/student_marks_raw"
-    reader = spark.read.schema(INPUT_TABLES["student_marks"])
-    return reduce(DataFrame.unionByName, [reader.parquet(f"{folder}/load_run={r}") for r in runs])
+    # One scan however many runs there are; the run list prunes folders.
+    rows = spark.read.schema(INPUT_TABLES["student_marks"] + ", load_run string").parquet(folder)
+    return rows.filter(F.col("load_run").isin(list(runs))).drop("load_run")
 
 
 class _Written(Star):
@@ -97,6 +113,7 @@ class _Written(Star):
 def run_load(
     spark: SparkSession, source: Mapping[str, DataFrame], root: str, run_id: str, on_existing: str = "keep",
     attendance_mode: str = "present", only_new_years: bool = False,
+    first_year: str | None = fv.FIRST_YEAR, last_year: str | None = fv.LAST_YEAR,
 ) -> Warehouse:
     root = root.rstrip("/")
     runs = finished_runs(spark, root)
@@ -108,7 +125,8 @@ def run_load(
     if raw_before is not None:
         earlier["student_marks_raw"] = raw_before
     star = _Written(
-        source, earlier, on_existing=on_existing, attendance_mode=attendance_mode, only_new_years=only_new_years
+        source, earlier, on_existing=on_existing, attendance_mode=attendance_mode, only_new_years=only_new_years,
+        first_year=first_year, last_year=last_year,
     )
     started = spark.range(1).select(F.current_timestamp().alias("t")).first().t
     try:
@@ -122,14 +140,17 @@ def run_load(
             df, path = getattr(star, table), f"{root}/{run_id}/{table}"
             write_table(df, path)
             schemas.append((table, df.schema.json()))
-            star.use(table, spark.read.schema(df.schema).parquet(path))
+            written = spark.read.schema(df.schema).parquet(path)
+            if table in UNIQUE and not duplicate_keys(written, UNIQUE[table]).isEmpty():
+                raise ValueError(f"{table} holds a key twice: {', '.join(UNIQUE[table])}")
+            star.use(table, written)
         written = spark.createDataFrame(schemas, "table string, schema string").coalesce(1)
         written.write.mode("overwrite").parquet(f"{root}/{run_id}/{SCHEMAS}")
     except Exception as error:
-        _log(spark, source, root, run_id, started, "ERROR", str(error)[:2000], None)
+        _log(spark, source, root, run_id, started, "ERROR", str(error), None)
         raise
     counts = quality.row_counts(star.marks_raw, star.student_marks_components, star.fact_student_subject_performance)
-    counts = counts.join(quality.years_note(star.years), "school_id", "full")
+    counts = counts.join(quality.years_note(star.years, star.first_year, star.last_year), "school_id", "full")
     _log(spark, source, root, run_id, started, "SUCCESS", None, counts)
     return Warehouse(spark, root, run_id)
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,10 +35,20 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*[cell(f) for f in df.schema.fields])
 
 
-@lru_cache(maxsize=4)
+_stars: dict[tuple, Star] = {}
+
+
 def _star(spark: SparkSession, folder: str) -> Star:
-    """One star per session and folder; its shared tables are written when first needed."""
-    return StagedStar(spark, OrderSchool(spark, folder))
+    """One star per session and state of the folder; its shared tables are written when first needed.
+
+    The state is the folder's file list with sizes and times, so a changed folder is read anew.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(folder)
+    state = files.agg(F.count("*"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first()
+    key = (spark.sparkContext.applicationId, folder, *state)
+    if key not in _stars:
+        _stars[key] = StagedStar(spark, OrderSchool(spark, folder))
+    return _stars[key]
 
 
 def query(build: Callable[[Star], DataFrame]) -> Callable[[Star], DataFrame]:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from chalkline.functions import fixed_values as fv
 from chalkline.functions.columns import KEY
 from chalkline.operators import careers, class_view, dims, facts, marks, profile, student_view
-from chalkline.operators.writes import small_side, upsert, write_rows
+from chalkline.operators.writes import upsert, write_rows
 from chalkline.session import shared_folder
 
 
@@ -31,10 +31,15 @@ class Star:
         need_active: bool = False,
         all_schools: bool = False,
         only_new_years: bool = False,
+        first_year: str | None = fv.FIRST_YEAR,
+        last_year: str | None = fv.LAST_YEAR,
     ):
         self.source, self.loaded = source, loaded or {}
         self.on_existing, self.attendance_mode, self.need_active = on_existing, attendance_mode, need_active
         self.all_schools, self.only_new_years = all_schools, only_new_years
+        # Years later than a school's loaded ones have no upper end; the range is for full loads.
+        newer = only_new_years and "student_master_profile" in self.loaded
+        self.first_year, self.last_year = (None, None) if newer else (first_year, last_year)
 
     # --- input scope --------------------------------------------------------------------------
 
@@ -43,30 +48,22 @@ class Star:
         return self.source["school"].filter("is_active").select("school_id")
 
     def of_schools(self, table: str) -> DataFrame:
-        """Source rows of active schools; the registry is counted before it is broadcast."""
+        """Source rows of active schools; adaptive execution broadcasts the registry from its measured size."""
         rows = self.source[table]
-        return rows if self.all_schools else rows.join(self._school_filter, "school_id", "left_semi")
-
-    @cached_property
-    def _school_filter(self) -> DataFrame:
-        return small_side(self.active_schools)
+        return rows if self.all_schools else rows.join(self.active_schools, "school_id", "left_semi")
 
     @cached_property
     def years(self) -> DataFrame:
         if self.only_new_years and "student_master_profile" in self.loaded:
             return dims.years_after_target(self.of_schools("student"), self.loaded["student_master_profile"])
-        return dims.years_in_range(self.of_schools("student"))
-
-    @cached_property
-    def _years_filter(self) -> DataFrame:
-        return small_side(self.years)
+        return dims.years_in_range(self.of_schools("student"), self.first_year, self.last_year)
 
     def in_years(self, df: DataFrame) -> DataFrame:
         """The plain range reaches the scan; the year list decides.
 
         Used on grouped rows: the filter is on a grouping column, so it selects the same groups.
         """
-        return dims.in_years(df.filter(F.col("academic_yr").between(fv.FIRST_YEAR, fv.LAST_YEAR)), self._years_filter)
+        return dims.in_years(dims.in_range(df, self.first_year, self.last_year), self.years)
 
     def _after_load(self, table: str, rows: DataFrame, keys: list[str], on_existing: str | None = None) -> DataFrame:
         return write_rows(rows, self.loaded.get(table), keys, on_existing or self.on_existing)
@@ -127,19 +124,19 @@ class Star:
 
     @cached_property
     def dim_class_subject_map(self) -> DataFrame:
-        rows = dims.class_subject_map(self.of_schools("subject"), self.source["class"], self.source["subject_master"])
+        rows = dims.class_subject_map(self.of_schools("subject"), self.source["class"], self.source["subject_master"], self.years)
         return upsert(rows, self.loaded.get("dim_class_subject_map"), ["school_id", "class_name", "subject_id", "academic_yr"])
 
     @cached_property
     def dim_class(self) -> DataFrame:
         loaded = self.loaded.get("dim_class")
-        fresh = dims.new_classes(self.of_schools("class"), self.source["student"], loaded)
+        fresh = dims.new_classes(self.of_schools("class"), self.source["student"], loaded, self.years)
         return fresh if loaded is None else loaded.unionByName(fresh)
 
     @cached_property
     def dim_section(self) -> DataFrame:
         loaded = self.loaded.get("dim_section")
-        fresh = dims.new_sections(self.of_schools("section"), self.source["student"], loaded)
+        fresh = dims.new_sections(self.of_schools("section"), self.source["student"], loaded, self.years)
         return fresh if loaded is None else loaded.unionByName(fresh)
 
     # --- facts -----------------------------------------------------------------------------------------

@@ -11,10 +11,21 @@ from pyspark.sql import types as T
 from chalkline.schemas import INPUT_TABLES, PARTITION_COLUMNS
 
 
-def conform(df: DataFrame, table: str) -> DataFrame:
-    """Give a frame the declared columns: bad values become NULL, absent columns NULL, extras go."""
+#: Tables that grow with every exam, day and comment.
+LARGE_TABLES = ("student_marks", "mark_detail", "attendance_clean", "homework_comments")
+
+
+def conform(df: DataFrame, table: str, optional: Iterable[str] = ()) -> DataFrame:
+    """Give a frame the declared columns; extras go, and a value that does not fit its type becomes NULL.
+
+    An absent column is an error, since a NULL in its place would silently change filters and joins; columns
+    named in ``optional`` may be absent and are NULL then. ``bad_values`` counts what did not fit.
+    """
     wanted = T.StructType.fromDDL(INPUT_TABLES[table])
     have = {c.lower(): c for c in df.columns}
+    absent = [f.name for f in wanted.fields if f.name.lower() not in have and f.name not in set(optional)]
+    if absent:
+        raise ValueError(f"table {table} lacks columns: {', '.join(absent)}")
     return df.select(
         *[
             (F.col(have[f.name.lower()]).try_cast(f.dataType) if f.name.lower() in have else F.lit(None).cast(f.dataType)).alias(f.name)
@@ -23,21 +34,33 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     )
 
 
+def bad_values(df: DataFrame, table: str) -> DataFrame:
+    """(table_name, column_name, bad): values of each column that do not fit its declared type, in one aggregate."""
+    wanted = [f for f in T.StructType.fromDDL(INPUT_TABLES[table]).fields if f.name.lower() in {c.lower() for c in df.columns}]
+    counts = df.agg(*[F.count_if(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull()).alias(f.name) for f in wanted])
+    pairs = F.array(*[F.struct(F.lit(f.name).alias("column_name"), F.col(f.name).alias("bad")) for f in wanted])
+    return counts.select(F.lit(table).alias("table_name"), F.inline(pairs))
+
+
 class TableFolder(Mapping[str, DataFrame]):
     """Operational tables kept as ``<root>/<table>`` in one file format."""
 
-    def __init__(self, spark: SparkSession, root: str, fmt: str = "parquet", **options: str):
-        self.spark, self.root, self.fmt, self.options = spark, root.rstrip("/"), fmt, options
+    def __init__(self, spark: SparkSession, root: str, fmt: str = "parquet", optional: Iterable[str] = (), **options: str):
+        self.spark, self.root, self.fmt, self.options, self.optional = spark, root.rstrip("/"), fmt, options, tuple(optional)
 
     def __getitem__(self, table: str) -> DataFrame:
         if table not in INPUT_TABLES:
             raise KeyError(table)
+        return conform(self.raw(table), table, self.optional)
+
+    def raw(self, table: str) -> DataFrame:
+        """The table as it is stored, before types are given."""
         reader = self.spark.read.format(self.fmt).options(**self.options)
         if self.fmt in ("csv", "json"):
             # Text formats are read as strings and cast by name, so a bad value is a NULL and not a lost row.
             names = T.StructType.fromDDL(INPUT_TABLES[table]).fieldNames()
             reader = reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
-        return conform(reader.load(f"{self.root}/{table}"), table)
+        return reader.load(f"{self.root}/{table}")
 
     def __iter__(self) -> Iterator[str]:
         return iter(INPUT_TABLES)
@@ -50,8 +73,8 @@ class JdbcTables(Mapping[str, DataFrame]):
     """Operational tables in a relational database.
 
     ``split`` names, per table, a numeric column with its bounds; Spark then reads the table
-    in that many range queries at once.  Tables without a split are read in one query, which is
-    right for dimensions only.
+    in that many range queries at once.  Other tables are read in one query, which is right for
+    dimensions only; the large ones are refused without a split.
     """
 
     def __init__(self, spark: SparkSession, url: str, split: Mapping[str, tuple[str, int, int, int]], **options: str):
@@ -60,6 +83,8 @@ class JdbcTables(Mapping[str, DataFrame]):
     def __getitem__(self, table: str) -> DataFrame:
         if table not in INPUT_TABLES:
             raise KeyError(table)
+        if table in LARGE_TABLES and table not in self.split:
+            raise ValueError(f"table {table} needs a split: one query would read it in a single task")
         reader = self.spark.read.format("jdbc").options(url=self.url, dbtable=table, **self.options)
         if table in self.split:
             column, low, high, parts = self.split[table]

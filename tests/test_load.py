@@ -69,6 +69,25 @@ def test_two_part_load_with_replace_equals_one_load(spark, source, whole, tmp_pa
         assert same(done[table], whole[1][table]), table
 
 
+def test_new_years_are_loaded_and_logged(spark, source, tmp_path):
+    run_load(spark, source, str(tmp_path), "a")
+    late = F.when(F.col("academic_yr") == "2025-2026", "2026-2027").otherwise(F.col("academic_yr"))
+    tables = {t: source[t].withColumn("academic_yr", late) for t in ("student", "attendance_clean", "class", "subject", "exam", "homework", "achievements_clean")}
+    done = run_load(spark, Changed(source, **tables), str(tmp_path), "b", only_new_years=True)
+    expected = tables["student"].filter("academic_yr = '2026-2027' AND is_delete = 'N'").count()
+    assert expected and done["student_clean"].filter("academic_yr = '2026-2027'").count() == expected
+    assert done["fact_attendance"].filter("academic_yr = '2026-2027'").count() > 0
+    notes = {r.notes for r in read_log(spark, str(tmp_path)).filter("run_id = 'b'").collect()}
+    assert notes == {"New years only. Years processed: 2026-2027"}
+
+
+def test_duplicate_keys_fail_a_run(spark, source, tmp_path):
+    twice = Changed(source, teacher=source["teacher"].unionByName(source["teacher"]))
+    with pytest.raises(ValueError, match="dim_teachers"):
+        run_load(spark, twice, str(tmp_path), "a")
+    assert finished_runs(spark, str(tmp_path)) == []
+
+
 def test_keep_leaves_old_facts(spark, source, tmp_path):
     half = Changed(source, student_marks=source["student_marks"].filter(F.col("exam_id") == 1))
     first = run_load(spark, half, str(tmp_path), "a")

@@ -5,9 +5,13 @@ from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chalkline.functions import matching as mt
-from chalkline.operators import careers, class_view, facts, marks, profile, quality, student_view, writes
+from chalkline.operators import careers, class_view, dims, facts, marks, profile, quality, student_view, writes
+from chalkline.schemas import INPUT_TABLES
+from chalkline.session import shared_folder
+from chalkline.sources.readers import bad_values, conform
 
 MARKS = (
     "school_id int, student_id bigint, subject_id string, exam_id int, academic_yr string, marks_id bigint, publish string, "
@@ -99,10 +103,32 @@ def test_writes_are_idempotent(spark):
     assert (rows(with_owner), rows(orphans)) == ([(2, "old")], [(1, "old")])
 
 
-def test_small_side_beyond_its_bound_is_left_alone(spark):
-    df = spark.range(10)
-    assert writes.small_side(df, 9) is df
-    assert writes.small_side(df, 10).count() == 10
+def test_absent_column_is_an_error_and_bad_values_are_counted(spark):
+    whole = spark.createDataFrame([("1", "School A", "A", "true"), ("x", "School B", "B", "perhaps")], "school_id string, name string, code string, is_active string")
+    names = T.StructType.fromDDL(INPUT_TABLES["school"]).fieldNames()
+    given = whole.toDF(*names)
+    assert conform(given, "school").count() == 2
+    assert {r.column_name: r.bad for r in bad_values(given, "school").collect()} == {names[0]: 1, names[1]: 0, names[2]: 0, names[3]: 1}
+    with pytest.raises(ValueError, match=names[3]):
+        conform(given.drop(names[3]), "school")
+    assert conform(given.drop(names[3]), "school", optional=[names[3]]).filter(F.col(names[3]).isNull()).count() == 2
+
+
+def test_year_range_is_open_where_asked(spark):
+    rows = spark.createDataFrame([(1, y) for y in ("2018-2019", "2019-2020", "2025-2026", "2026-2027")], "school_id int, academic_yr string")
+    years = lambda df: {r.academic_yr for r in df.collect()}
+    assert years(dims.years_in_range(rows)) == {"2019-2020", "2025-2026"}
+    assert years(dims.in_range(rows, "2025-2026", None)) == {"2025-2026", "2026-2027"}
+    assert years(dims.in_range(rows, None, None)) == years(rows)
+
+
+def test_own_folder_only_for_a_local_master(spark):
+    class Remote:
+        conf = type("C", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("S", (), {"master": "yarn", "applicationId": "a"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Remote)
 
 
 RECORD = (
