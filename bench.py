@@ -13,7 +13,9 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from chalkline.plans import registry  # noqa: E402
 from chalkline.plans.registry import queries  # noqa: E402
+from chalkline.plans.star import STAGED  # noqa: E402
 from chalkline.session import local_session  # noqa: E402
 
 HEADLINE = [
@@ -32,6 +34,11 @@ def main() -> None:
     spark = local_session(cpus, "bench")
     known = queries()
     known["attendance_present"](spark, folder).write.format("noop").mode("overwrite").save()  # start-up, not counted
+    # Shared tables are written first and timed apart, so that each query's time is its own.
+    star, start = registry._star(spark, folder), time.time()
+    for table in STAGED:
+        getattr(star, table)
+    staging = round(time.time() - start, 3)
     seconds = {}
     for name in HEADLINE:
         start = time.time()
@@ -39,9 +46,10 @@ def main() -> None:
         known[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.time() - start, 3)
     print(json.dumps({
-        "metric": "school_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
+        "metric": "school_queries_total", "value": round(staging + sum(seconds.values()), 3), "unit": "sec", "staging": staging,
         "queries": seconds, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
     }))
+    star.drop()
     spark.stop()
 
 

@@ -192,7 +192,7 @@ def student_profile(
     demographics: DataFrame, classes: DataFrame, sections: DataFrame, parents: DataFrame, profile: DataFrame,
     strengths: DataFrame, signals: DataFrame, achievements: DataFrame,
 ) -> DataFrame:
-    """The dashboard's profile: every student-year with a real name.
+    """The student page's profile: every student-year with a real name.
 
     Carries class, section and registration ids, which row-level visibility needs.
     """

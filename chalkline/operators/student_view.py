@@ -106,19 +106,11 @@ def exam_breakdown(
     )
 
 
-def _exam_order(breakdown: DataFrame) -> DataFrame:
-    """Place of each shown exam: the first row in (heading, exam, subject) order decides."""
-    first = F.min(F.struct("exam_type", "exam_name", "subject_name", "exam_id")).alias("first")
-    shown = breakdown.groupBy(*KEY, exam_title(F.col("exam_name")).alias("exam")).agg(first)
-    # A student-year has few exams, so this window is over a handful of rows.
-    place = F.row_number().over(Window.partitionBy(*KEY).orderBy("first", "exam"))
-    return shown.select(*KEY, "exam", place.alias("exam_place"))
-
-
 def exam_report(breakdown: DataFrame) -> DataFrame:
     """One row per shown exam and subject with totals, percent and order columns.
 
-    Exams whose shown names agree are merged.
+    Exams whose shown names agree are merged.  An exam's place is that of its first row in (heading,
+    exam, subject) order; it comes with the totals, so the breakdown is evaluated once.
     """
     own = breakdown.withColumn("exam", exam_title(F.col("exam_name")))
     total, top = F.sum("marks_obtained").cast("double"), F.sum("max_marks").cast("double")
@@ -126,8 +118,12 @@ def exam_report(breakdown: DataFrame) -> DataFrame:
     totals = own.groupBy(*KEY, "exam", "subject_name").agg(
         F.coalesce(total, F.lit(0.0)).alias("o"), F.coalesce(top, F.lit(0.0)).alias("m"),
         F.count("*").alias("component_count"),
+        F.min(F.struct("exam_type", "exam_name", "subject_name", "exam_id")).alias("first"),
     )
-    return totals.join(_exam_order(breakdown), [*KEY, "exam"]).select(
+    # A student-year has few exams and subjects, so both windows are over a handful of rows of one shuffle.
+    placed = totals.repartition(*KEY).withColumn("exam_first", F.min("first").over(Window.partitionBy(*KEY, "exam")))
+    placed = placed.withColumn("exam_place", F.dense_rank().over(Window.partitionBy(*KEY).orderBy("exam_first", "exam")))
+    return placed.select(
         *KEY, "exam", "exam_place", "subject_name",
         category.alias("category"),
         lookup(fv.CATEGORY_ABBREVIATIONS, category).alias("category_abbr"),
@@ -310,6 +306,25 @@ def visible_classes(users: DataFrame, teachers: DataFrame) -> DataFrame:
     )
 
 
+def visible_to_teachers(profile: DataFrame, access: DataFrame) -> DataFrame:
+    """(user, student-year) rows of the classes and sections each teacher account may see."""
+    return profile.select(*KEY, "class_id", "section_id").join(access, ["school_id", "class_id", "section_id"]).select(*KEY, "user_id")
+
+
+def default_selection(profile: DataFrame) -> DataFrame:
+    """What each choice of year, class and section falls back to: its first student in name order; the latest year is marked."""
+    place = ["school_id", "academic_yr", "class_name", "section_name"]
+    first = profile.groupBy(*place).agg(F.min("student_name").alias("student_name"))
+    latest = profile.groupBy("school_id").agg(F.max("academic_yr").alias("latest"))
+    return first.join(latest, "school_id").select(*place, "student_name", (F.col("academic_yr") == F.col("latest")).alias("is_latest_year"))
+
+
+def achievement_items(profile: DataFrame) -> DataFrame:
+    """The lifetime achievement text as rows, one per item in order."""
+    rows = profile.select(*KEY, F.posexplode(text_items(F.col("achievement_list"))).alias("i", "item"))
+    return rows.select(*KEY, (F.col("i") + 1).alias("place"), "item")
+
+
 def rows_for_teacher(profile: DataFrame, access: DataFrame, user_id: str) -> DataFrame:
     """Profile rows of one teacher's class and section."""
     mine = access.filter(F.col("user_id") == user_id).select("school_id", "class_id", "section_id")

@@ -172,8 +172,7 @@ def upsert_class_subject_map(s: Star) -> DataFrame:
 @query
 def pin_science_row(s: Star) -> DataFrame:
     part = s.source.given("part")
-    key = (F.col("p_partkey") % 30).cast("int")
-    used = part.filter(key % 4 == 0).select(key.alias("subject_id")).distinct()
+    used = part.select((F.col("p_partkey") % 7 * 4).cast("int").alias("subject_id")).distinct()
     loaded = used.select(F.explode(F.array(F.lit(1), F.lit(7))).alias("school_id"), "subject_id").select(
         "school_id", "subject_id", F.concat(F.lit("Loaded "), F.col("subject_id").cast("string")).alias("subject_name"),
         F.lit("Scholastic").alias("subject_type"),
@@ -426,10 +425,8 @@ def _event_log(s: Star) -> DataFrame:
 
 @query
 def run_report(s: Star) -> DataFrame:
-    first_day = s.source.given("events").select(F.min(F.to_date("ts")).alias("d"))
-    log = _event_log(s)
-    days = log.withColumn("day", F.to_date("run_start")).join(F.broadcast(first_day), F.col("day") == F.col("d"), "left_semi")
-    report = quality.run_report(days, today=F.col("day"))
+    """Each run as its own day's report shows it."""
+    report = quality.run_report(_event_log(s), today=F.to_date("run_start"))
     return report.select("run_id", "school_id", "status", "duration_sec", "notes")
 
 
@@ -533,6 +530,36 @@ def visible_classes(s: Star) -> DataFrame:
     return student_view.visible_classes(s.dim_users, s.dim_teachers)
 
 
+@query
+def teacher_students(s: Star) -> DataFrame:
+    return student_view.visible_to_teachers(s.student_profile, student_view.visible_classes(s.dim_users, s.dim_teachers))
+
+
+@query
+def student_selection(s: Star) -> DataFrame:
+    return student_view.default_selection(s.student_profile)
+
+
+@query
+def classmates_of(s: Star) -> DataFrame:
+    """Asked for the student with the smallest id of every class and section."""
+    points = student_view.classmates(s.student_profile)
+    asked = points.groupBy("school_id", "academic_yr", "class_name", "section_name").agg(F.min("student_id").alias("student_id"))
+    return student_view.classmates_of(points, asked)
+
+
+@query
+def orphans(s: Star) -> DataFrame:
+    """Demographics rows that are left when only active students are kept."""
+    active = s.in_years(dims.student_clean(s.of_schools("student"), need_active=True))
+    return writes.split_orphans(s.dim_student_demographics, active, KEY)[1].select(*KEY, "student_name")
+
+
+@query
+def achievement_items(s: Star) -> DataFrame:
+    return student_view.achievement_items(s.student_profile)
+
+
 @query
 def child_years(s: Star) -> DataFrame:
     return student_view.child_years(s.child_selector, s.student_profile)

@@ -19,6 +19,7 @@ from chalkline.functions.columns import KEY
 from chalkline.operators import careers, class_view, dims, facts, marks, profile, student_view
 from chalkline.operators.writes import upsert, write_rows
 from chalkline.session import shared_folder
+from chalkline.sources.readers import write_table
 
 
 class Star:
@@ -252,7 +253,7 @@ class Star:
 
 # Tables many others are built from, in the order they depend on each other.
 STAGED = (
-    "heading_rows", "exam_sums", "fact_student_subject_performance", "fact_science_components",
+    "marks_raw", "heading_rows", "exam_sums", "fact_student_subject_performance", "fact_science_components",
     "student_master_profile", "student_profile",
 )
 
@@ -272,8 +273,13 @@ class StagedStar(Star):
 
     def _stage(self, table: str, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{table}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+        write_table(df, path)
+        return self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+    def drop(self) -> None:
+        """Remove the staged tables; the star is of no use afterwards."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _staged(table: str) -> cached_property:

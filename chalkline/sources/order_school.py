@@ -3,7 +3,8 @@
 The given data has no school records, so customers stand for students, orders for student
 years, line items for marks, attendance days and homework comments, suppliers for teachers and
 parts for subjects in use.  ``y + 24`` moves the order years 1995-2001 onto 2019-2020 … 2025-2026.
-Every row of every given table takes part; nothing is sampled.
+Every row of every given table takes part; nothing is sampled. Of records, those of unspecified
+priority are left alone by the change batch, and new ones are not stored yet.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterator, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chalkline.functions import fixed_values as fv
 from chalkline.schemas import INPUT_TABLES
 
 SCHOOLS = [(1, "School A", "A", True), (7, "School B", "B", True), (9, "School C", "C", False)]
@@ -25,6 +27,8 @@ HEADINGS = ["Written", "Oral", "Practical", "Activity", "Term", "Portfolio", "Re
 EXAMS = ["Term 1", "Periodic Test 2 (IX n X)", "Periodic Test 2"]
 SECTIONS = ["A", "B", "C", "D"]
 GOALS = ["Doctor", "Software Engineer", "Unknown goal", "Lawyer", "Architecture", "Pilot", "law & governance"]
+# Every other event word of the rules, so that most categories and skills occur, and one that no rule knows.
+EVENTS = [rule[0].title() for rule in fv.ACHIEVEMENT_CATEGORIES[::2]] + ["Yoga"]
 FIRST_ORDER_YEAR, LAST_ORDER_YEAR = 1995, 2001
 
 
@@ -309,8 +313,8 @@ class OrderSchool(Mapping[str, DataFrame]):
 
     def _achievements_clean(self) -> DataFrame:
         k = F.col("o_orderkey")
-        event = F.when(F.col("o_orderstatus") == "P", "Cricket").when(F.col("o_orderstatus") == "F", "Drawing").otherwise("Quiz")
-        return self._get("owned_orders").filter(F.col("o_orderpriority") == "1-URGENT").select(
+        event = _pick(EVENTS, (k % len(EVENTS) + 1).cast("int"))
+        return self._get("owned_orders").select(
             "school_id", F.col("o_custkey").alias("student_id"), "academic_yr", event.alias("event"),
             F.when(k % 2 != 0, F.concat(event, F.lit(" Cup"))).alias("achievement"),
             F.when(k % 3 == 0, F.lit(None).cast("string")).when(k % 3 == 1, "").otherwise("First").alias("position"),
@@ -321,7 +325,7 @@ class OrderSchool(Mapping[str, DataFrame]):
         return self._get("owned_orders").select("school_id", F.col("o_orderkey").alias("homework_id"), "academic_yr")
 
     def _homework_comments(self) -> DataFrame:
-        return self._get("lines").filter(F.col("l_returnflag") == "N").select(
+        return self._get("lines").select(
             "school_id", F.col("l_orderkey").alias("homework_id"), "student_id"
         )
 
@@ -341,13 +345,14 @@ class OrderSchool(Mapping[str, DataFrame]):
         )
 
     def _extracurricular_achievements(self) -> DataFrame:
-        kept = (F.col("o_orderstatus") == "F") & (F.col("o_orderkey") % 10 != 0)
+        kept = (F.col("o_orderstatus") != "O") & (F.col("o_orderpriority") != "5-LOW")
         return self._records(self._get("owned_orders").filter(kept))
 
     def _eca_changes(self) -> DataFrame:
-        k = F.col("o_orderkey")
-        op = F.when(k % 10 == 0, "insert").when(k % 10 == 1, "update").otherwise("delete")
-        first = self._records(self._get("owned_orders").filter(k % 10 < 3), F.lit(1).alias("seq"), op.alias("op"))
+        orders = self._get("owned_orders").filter(F.col("o_orderpriority") != "4-NOT SPECIFIED")
+        priority = F.col("o_orderpriority")
+        op = F.when(F.col("o_orderstatus") == "O", "insert").when(priority == "2-HIGH", "delete").otherwise("update")
+        first = self._records(orders, F.lit(1).alias("seq"), op.alias("op"))
         i = F.col("id")
         first = first.withColumns({
             "title": F.when(i % 7 != 0, F.concat(F.lit("New "), F.col("title"))),
@@ -355,7 +360,7 @@ class OrderSchool(Mapping[str, DataFrame]):
             "certificate_data": F.when(i % 3 != 0, "REVG"),
             "certificate_mime": F.when(i % 3 != 0, "image/png"),
         })
-        later = self._records(self._get("owned_orders").filter(k % 20 == 1), F.lit(2).alias("seq"), F.lit("delete").alias("op"))
+        later = self._records(orders.filter(priority == "1-URGENT"), F.lit(2).alias("seq"), F.lit("delete").alias("op"))
         return first.unionByName(later)
 
     # --- career goals: one per customer, for the analysis queries -------------------------------------

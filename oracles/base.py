@@ -197,8 +197,8 @@ CTES: dict[str, str] = {
     "t_att": f"SELECT {K}, total, p, {pct_c('p', 'total')} AS att_c FROM t_day",
     "t_achsrc": (
         "SELECT school_id, o_custkey AS student_id, academic_yr, o_orderkey, o_orderdate AS d, "
-        "CASE o_orderstatus WHEN 'P' THEN 'Cricket' WHEN 'F' THEN 'Drawing' ELSE 'Quiz' END AS event, "
-        "CASE WHEN o_orderkey % 3 = 2 THEN 'First' END AS place FROM t_ord WHERE o_orderpriority = '1-URGENT'"
+        "list_extract([" + ", ".join(quoted(e) for e in src.EVENTS) + f"], CAST(o_orderkey % {len(src.EVENTS)} + 1 AS BIGINT)) AS event, "
+        "CASE WHEN o_orderkey % 3 = 2 THEN 'First' END AS place FROM t_ord"
     ),
     "t_ach": (
         f"SELECT {K}, count(*) AS n, string_agg(CASE WHEN o_orderkey % 2 = 0 THEN event ELSE event || ' Cup' END, ', ' ORDER BY d, o_orderkey) AS list "
@@ -214,7 +214,7 @@ CTES: dict[str, str] = {
         "SELECT school_id, student_id, sum(n) AS n, string_agg(list, ', ' ORDER BY first_yr, list) AS list FROM ("
         "SELECT school_id, student_id, list, sum(n) AS n, min(academic_yr) AS first_yr FROM t_ach GROUP BY school_id, student_id, list) GROUP BY school_id, student_id"
     ),
-    "t_hw": f"SELECT {K}, count(DISTINCT l_orderkey) AS hw FROM t_line WHERE l_returnflag = 'N' AND {YEARS} GROUP BY {K}",
+    "t_hw": f"SELECT {K}, count(DISTINCT l_orderkey) AS hw FROM t_line WHERE {YEARS} GROUP BY {K}",
     "t_clean": f"SELECT {K}, reg_no, class_id, section_id FROM t_student WHERE is_delete = 'N' AND {YEARS}",
     "t_demo": f"SELECT * REPLACE (trim(student_name) AS student_name) FROM t_student WHERE is_delete = 'N' AND {YEARS}",
     "t_profile": (
@@ -394,13 +394,14 @@ CTES: dict[str, str] = {
         "SELECT school_id, o_orderkey AS id, o_custkey AS student_id, o_orderpriority AS title, 'Sports' AS category, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS achievement_date, "
         "'School' AS level, CASE WHEN o_orderkey % 3 = 2 THEN 'First' END AS position, CASE WHEN o_orderkey % 2 = 0 THEN 'a.png' END AS certificate_filename, "
         "CASE WHEN o_orderkey % 2 = 0 THEN 'QUJD' END AS certificate_data, CASE WHEN o_orderkey % 2 = 0 THEN 'image/png' END AS certificate_mime, "
-        "o_custkey - o_custkey % 2 AS submitted_by_parent_id, o_orderstatus = 'F' AND o_orderkey % 10 <> 0 AS known FROM t_ord"
+        "o_custkey - o_custkey % 2 AS submitted_by_parent_id, o_orderstatus = 'O' AS fresh, o_orderstatus <> 'O' AND o_orderpriority <> '5-LOW' AS known FROM t_ord"
     ),
     "t_judged": (
-        "SELECT *, CASE WHEN id % 20 = 1 THEN 2 ELSE 1 END AS seq, CASE WHEN id % 10 = 0 THEN 'insert' WHEN id % 20 = 1 THEN 'delete' WHEN id % 10 = 1 THEN 'update' ELSE 'delete' END AS op, "
-        "CASE WHEN id <= 0 THEN 'invalid id' WHEN id % 10 = 0 AND id % 7 = 0 AND coalesce(student_id, 0) = 0 THEN 'missing fields: student_id, title' "
-        "WHEN id % 10 = 0 AND id % 7 = 0 THEN 'missing fields: title' WHEN id % 10 = 0 AND coalesce(student_id, 0) = 0 THEN 'missing fields: student_id' "
-        "WHEN id % 10 <> 0 AND NOT known THEN 'not found' END AS reject_reason FROM t_eca WHERE id % 10 < 3"
+        "SELECT *, CASE WHEN id <= 0 THEN 'invalid id' WHEN op = 'insert' AND id % 7 = 0 AND coalesce(student_id, 0) = 0 THEN 'missing fields: student_id, title' "
+        "WHEN op = 'insert' AND id % 7 = 0 THEN 'missing fields: title' WHEN op = 'insert' AND coalesce(student_id, 0) = 0 THEN 'missing fields: student_id' "
+        "WHEN op <> 'insert' AND NOT known THEN 'not found' END AS reject_reason FROM ("
+        "SELECT *, CASE WHEN title = '1-URGENT' THEN 2 ELSE 1 END AS seq, CASE WHEN title = '1-URGENT' THEN 'delete' WHEN fresh THEN 'insert' WHEN title = '2-HIGH' THEN 'delete' ELSE 'update' END AS op "
+        "FROM t_eca WHERE title <> '4-NOT SPECIFIED')"
     ),
 }
 

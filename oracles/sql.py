@@ -62,9 +62,9 @@ add("upsert_class_subject_map", (
 add("pin_science_row", (
     "SELECT school_id, subject_id, subject_name, subject_type FROM ("
     "SELECT school_id, subject_id::BIGINT AS subject_id, 'Loaded ' || CAST(subject_id AS VARCHAR) AS subject_name, 'Scholastic' AS subject_type FROM "
-    "(SELECT DISTINCT p_partkey % 30 AS subject_id FROM part WHERE (p_partkey % 30) % 4 = 0) CROSS JOIN t_school WHERE subject_id <> 24 "
+    "(SELECT DISTINCT p_partkey % 7 * 4 AS subject_id FROM part) CROSS JOIN t_school WHERE subject_id <> 24 "
     "UNION ALL SELECT school_id, subject_id::BIGINT, subject_name, subject_type FROM t_dimsub WHERE subject_id = 24 OR subject_id NOT IN "
-    "(SELECT p_partkey % 30 FROM part WHERE (p_partkey % 30) % 4 = 0))"))
+    "(SELECT p_partkey % 7 * 4 FROM part))"))
 add("target_years_range", "SELECT school_id, academic_yr FROM t_years")
 add("target_years_highwater", (
     "SELECT DISTINCT s.school_id, s.academic_yr FROM t_student s LEFT JOIN (SELECT school_id, max(academic_yr) AS newest FROM t_student "
@@ -159,7 +159,7 @@ add("run_log", (
 _tenant = "CASE WHEN user_id % 2 = 0 THEN 1 ELSE 7 END"
 add("run_report", (
     f"SELECT CAST(event_id AS VARCHAR) AS run_id, {big(_tenant)} AS school_id, CASE WHEN event_id % 3 = 0 THEN 'ERROR' ELSE 'SUCCESS' END AS status, "
-    "event_id % 500 AS duration_sec, 'run ' || CAST(event_id AS VARCHAR) AS notes FROM events WHERE CAST(ts AS DATE) = (SELECT min(CAST(ts AS DATE)) FROM events)"))
+    "event_id % 500 AS duration_sec, 'run ' || CAST(event_id AS VARCHAR) AS notes FROM events"))
 add("run_log_checks", (
     f"SELECT {big(_tenant)} AS school_id, CASE WHEN count(CASE WHEN event_id % 3 <> 0 THEN 1 END) = 0 THEN 'error' ELSE 'info' END AS level, 'last successful run' AS check, "
     "max_by('run ' || CAST(event_id AS VARCHAR), (floor(epoch(ts))::BIGINT + event_id % 500) * 1000000000 + event_id) FILTER (event_id % 3 <> 0) AS subject, count(CASE WHEN event_id % 3 <> 0 THEN 1 END) AS value FROM events GROUP BY 1"))
@@ -216,6 +216,17 @@ add("years_classes_lists", (
 add("visible_students", f"SELECT p.school_id, p.student_id, p.academic_yr, u.user_id FROM t_sp p JOIN t_users u ON u.school_id = p.school_id AND u.reg_id = p.parent_id AND u.role_id = 'P'")
 _staff = "FROM t_users u JOIN t_teacher t ON t.school_id = u.school_id AND t.teacher_id = u.reg_id"
 add("visible_classes", f"SELECT u.school_id, u.user_id, {big('t.class_id')} AS class_id, {big('t.section_id')} AS section_id {_staff} WHERE u.role_id = 'T'")
+add("teacher_students", f"SELECT p.school_id, p.student_id, p.academic_yr, u.user_id FROM t_sp p JOIN (SELECT u.school_id, u.user_id, t.class_id, t.section_id {_staff} WHERE u.role_id = 'T') u USING (school_id, class_id, section_id)")
+add("student_selection", (
+    "SELECT school_id, academic_yr, class_name, section_name, min(student_name) AS student_name, "
+    "CASE WHEN academic_yr = max(academic_yr) OVER (PARTITION BY school_id) THEN 1 ELSE 0 END::BIGINT AS is_latest_year FROM t_sp GROUP BY school_id, academic_yr, class_name, section_name"))
+_class_of = "school_id, academic_yr, class_name, section_name"
+add("classmates_of", (
+    f"WITH me AS (SELECT {_class_of}, min(student_id) AS me FROM t_sp GROUP BY ALL) SELECT {_class_of}, p.student_id, p.student_name, "
+    f"coalesce({tenth(num('avg_c'))}, 0) AS score, coalesce({tenth(num('att_c'))}, 0) AS attendance, me.me, CASE WHEN p.student_id = me.me THEN 1 ELSE 0 END::BIGINT AS is_me FROM t_sp p JOIN me USING ({_class_of})"))
+add("orphans", f"SELECT {K}, student_name FROM t_demo WHERE is_active <> 'Y'")
+add("achievement_items", (
+    f"SELECT {K}, i AS place, trim(list_extract(items, i)) AS item FROM (SELECT {K}, string_split(ever_list, ',') AS items FROM t_sp WHERE ever_list <> ''), LATERAL (SELECT unnest(generate_series(1, len(items))) AS i)"))
 add("staff_access", (
     f"SELECT u.school_id, u.user_id, t.teacher_id, t.designation, {big('t.class_id')} AS class_id, {big('t.section_id')} AS section_id, CASE WHEN lower(t.designation) LIKE '%principal%' THEN 1 ELSE 0 END::BIGINT AS is_principal {_staff} WHERE u.role_id IN ('T', 'M')"))
 add("child_years", (
@@ -346,7 +357,7 @@ _touched = _record.format(
     title=_new_title, f="CASE WHEN id % 3 <> 0 THEN 'b.png' ELSE certificate_filename END",
     d="CASE WHEN id % 3 <> 0 THEN 'REVG' ELSE certificate_data END", m="CASE WHEN id % 3 <> 0 THEN 'image/png' ELSE certificate_mime END")
 add("eca_apply_changes", (
-    f"SELECT {_old} FROM t_eca WHERE known AND id % 10 >= 3 UNION ALL SELECT {_touched} FROM t_judged WHERE op = 'update' AND reject_reason IS NULL "
+    f"SELECT {_old} FROM t_eca WHERE known AND (title = '4-NOT SPECIFIED' OR id <= 0) UNION ALL SELECT {_touched} FROM t_judged WHERE op = 'update' AND reject_reason IS NULL "
     f"UNION ALL SELECT {_fresh} FROM t_judged WHERE op = 'insert' AND reject_reason IS NULL"))
 add("eca_rejected", f"SELECT school_id, id, op, {big('seq')} AS seq, reject_reason FROM t_judged WHERE reject_reason IS NOT NULL")
 

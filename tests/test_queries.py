@@ -52,4 +52,25 @@ def test_shared_tables_go_to_the_named_folder(spark, small, tmp_path):
     star = StagedStar(spark, OrderSchool(spark, small))
     star.folder = str(tmp_path)
     assert star.exam_sums.count() > 0
-    assert {p.name for p in tmp_path.iterdir()} == {"heading_rows", "exam_sums"}
+    assert {p.name for p in tmp_path.iterdir()} == {"marks_raw", "heading_rows", "exam_sums"}
+    assert any(p.name.startswith("school_id=") for p in (tmp_path / "marks_raw").iterdir())
+    star.drop()
+    assert not tmp_path.exists()
+
+
+def test_a_changed_folder_is_read_anew(spark, small, tmp_path):
+    import shutil
+
+    from chalkline.plans import registry
+
+    folder = tmp_path / "data"
+    shutil.copytree(small, folder)
+    first = registry._star(spark, str(folder))
+    assert registry._star(spark, str(folder)) is first
+    shutil.copy(f"{small}/nation.parquet", folder / "more.parquet")
+    assert registry._star(spark, str(folder)) is not first
+
+
+def test_exam_report_evaluates_the_breakdown_once(spark, small):
+    plan = queries()["exam_report"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("heading_rows") == 1
