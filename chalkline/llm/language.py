@@ -72,6 +72,9 @@ class Model:
         x = bits.astype(np.float32)
         return (x @ self._unpacked) * self._norm / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
 
+    def __getstate__(self) -> dict:
+        return {k: self.__dict__[k] for k in ("languages", "landmarks", "weights")}  # each task unpacks the landmarks itself
+
     def scores(self, bits: np.ndarray) -> np.ndarray:
         """[text, language] shares that sum to 1."""
         s = SHARPNESS * (self.kernel(bits) @ self.weights)
