@@ -13,9 +13,11 @@ other; an empty table gives no rows; other columns are ignored; texts of any len
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +26,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chalkline.llm.batches import slices
+from chalkline.llm.batches import map_arrow, slices
 from chalkline.llm.common import new_folder, staged, text_of
+from chalkline.llm.token_counts import LATIN_LETTER, LATIN_NUMBER, LATIN_SPACE
 
-#: Words remembered by one worker, and bytes above which a word is encoded without being remembered.
-REMEMBERED, LONG_WORD = 400_000, 100
+#: Pieces remembered by one worker, and bytes above which a piece is encoded without being remembered.
+REMEMBERED, LONG_PIECE = 700_000, 100
+#: The split pattern of the vocabulary for Latin text (below U+0180, where composing changes nothing); a test holds it against the library.
+PIECES = re.compile("'(?:[stmd]|re|ve|ll)|[{L}]+|[{N}]|[^{S}{L}{N}]+".format(L=LATIN_LETTER, N=LATIN_NUMBER, S=LATIN_SPACE))
+BEYOND = re.compile("[^\x00-\u017f]|<\\|")
+#: Stands before words that the library splits itself; no piece of Latin text holds it together with letters.
+WHOLE, WORD_END, JOINED = "\ufdd0", "</w>", 256
 
 
 class WordEncoder:
-    """Encodes texts word by word with the library; a vocabulary that drops white space gives the same ids as whole texts."""
+    """Encodes texts piece by piece with the library; a vocabulary that drops white space gives the same ids as whole texts.
+
+    New pieces go to the library many in one text, where the tokens that end a word show which piece they belong to.
+    Texts with other than Latin letters, or with special tokens, are cut at ASCII white space only and their words are
+    encoded one by one.
+    """
 
     def __init__(self, file: str, end_id: int):
         import os
@@ -41,48 +54,67 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(file), end_id
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self.slots: dict[bytes | None, int] = {None: 0}  # None stands for the end of a document
-        self.starts, self.lengths, self.ids, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 20, np.uint32), 1
+        self.slots: dict[str | None, int] = {None: 0}  # None stands for the end of a document
+        self.starts, self.lengths, self.ids, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 20, np.uint16 if len(self.ends) <= 1 << 16 else np.uint32), 1
         self.ids[0], self.lengths[0] = self.end_id, 1
 
-    def _learn(self, words: list[bytes]) -> None:
-        encoded = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        lists = [e.ids for e in encoded]
-        n, first = sum(map(len, lists)), len(self.slots)
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, ids of each)."""
+        joined = [" ".join(pieces[k : k + JOINED]) for k in range(0, len(pieces), JOINED)]
+        ids = [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+        lengths = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+        if len(lengths) != len(pieces):
+            raise ValueError("the vocabulary does not mark the ends of words")
+        return ids, lengths
+
+    def _learn(self, keys: list[str]) -> None:
+        latin = [k for k in keys if not k.startswith(WHOLE)]
+        ids, lengths = self._encoded(latin)
+        whole = [k for k in keys if k.startswith(WHOLE)]
+        if whole:
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast([k[1:] for k in whole], add_special_tokens=False)]
+            ids = np.concatenate([ids, np.fromiter((x for v in lists for x in v), np.int64)])
+            lengths = np.concatenate([lengths, np.fromiter(map(len, lists), np.int64, len(lists))])
+        n, first = len(ids), len(self.slots)
         while self.used + n > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while first + len(words) > len(self.starts):
+        while first + len(keys) > len(self.starts):
             self.starts, self.lengths = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.lengths))
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        self.lengths[first : first + len(words)] = lengths
-        self.starts[first : first + len(words)] = self.used + np.cumsum(lengths) - lengths
-        self.ids[self.used : self.used + n] = np.fromiter((x for ids in lists for x in ids), np.uint32, n)
+        self.lengths[first : first + len(keys)] = lengths
+        self.starts[first : first + len(keys)] = self.used + np.cumsum(lengths) - lengths
+        self.ids[self.used : self.used + n] = ids
         self.used += n
-        for w in words:
-            self.slots[w] = len(self.slots)
+        self.slots.update(zip([*latin, *whole], range(first, first + len(keys))))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each closed by the end id; number of ids of each text)."""
-        words: list[bytes | None] = []
+        pieces: list[str | None] = []
         ends = np.empty(len(texts), np.int64)
         for i, t in enumerate(texts):
-            words += t.split()  # bytes split at the six ASCII white-space characters only
-            words.append(None)
-            ends[i] = len(words)
+            text = t.decode()
+            pieces += [WHOLE + w.decode() for w in t.split()] if BEYOND.search(text) else PIECES.findall(text.lower())
+            pieces.append(None)
+            ends[i] = len(pieces)
         if len(self.slots) > REMEMBERED:
             self._forget()
-        new = [w for w in dict.fromkeys(words) if w not in self.slots]
-        for at in range(0, len(new), 20_000):
-            self._learn(new[at : at + 20_000])
-        slots = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+        slots = np.fromiter(map(self.slots.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
+            new = list(dict.fromkeys(pieces[k] for k in missing))
+            self._learn(new)
+            slots[missing] = np.fromiter((self.slots[pieces[k]] for k in missing), np.int64, len(missing))
         lengths = self.lengths[slots]
         before = np.cumsum(lengths) - lengths
         ids = self.ids[np.arange(lengths.sum()) + np.repeat(self.starts[slots] - before, lengths)]
         upto = np.concatenate([[0], np.cumsum(lengths)])[ends]
-        if any(len(w) > LONG_WORD for w in new if w):
+        if len(missing) and max(map(len, new)) > LONG_PIECE:
             self._forget()
         return ids, np.diff(upto, prepend=0)
 
@@ -133,7 +165,7 @@ def write_ids(docs: DataFrame, file: str, folder: str, end_id: int = 1, dtype: s
             names=["file_no", "file", "n_docs", "n_tokens", "first_doc"])
 
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    found = staged(ordered.mapInArrow(write, f"file_no long, file string, n_docs long, n_tokens long, first_doc {kind}"), "token-manifest")
+    found = staged(map_arrow(ordered, write, f"file_no long, file string, n_docs long, n_tokens long, first_doc {kind}"), "token-manifest")
     before = W.orderBy("file_no").rowsBetween(W.unboundedPreceding, -1)  # one row per file
     return found.select("*", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long").alias("base"))
 
@@ -175,7 +207,7 @@ def read_back(manifest: DataFrame, folder: str, dtype: str = "<u2") -> DataFrame
                         names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = manifest.select("file", "base", "first_doc").repartition(F.col("file"))
-    return files.select("file", "base").mapInArrow(read, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(files.select("file", "base"), read, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, file: str, folder: str | None = None, end_id: int = 1, dtype: str = "<u2", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
