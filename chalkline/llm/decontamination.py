@@ -25,6 +25,7 @@ import math
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,16 @@ def term(word: bytes) -> str:
     return word.decode(errors="replace").lower().strip(STRIP)
 
 
+def split(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """(words of all texts one after the other, words of each)."""
+    words: list[bytes] = []
+    ends = np.empty(len(texts), np.int64)
+    for i, t in enumerate(texts):
+        words += t.split()
+        ends[i] = len(words)
+    return words, np.diff(ends, prepend=0)
+
+
 @dataclass
 class Passages:
     """One block of benchmark passages: terms, weights and latent vectors."""
@@ -66,10 +77,15 @@ class Passages:
         memo = self.memo
         if len(memo) > 500_000:
             memo.clear()
-        for w in set(words).difference(memo):
-            t = term(w)
-            memo[w] = self.vocab.get(t, -1) if t else -2
-        return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+        out = np.fromiter(map(memo.get, words, repeat(-3)), np.int64, len(words))
+        new = np.flatnonzero(out == -3)
+        for k in new:
+            w = words[k]
+            if w not in memo:
+                t = term(w)
+                memo[w] = self.vocab.get(t, -1) if t else -2
+            out[k] = memo[w]
+        return out
 
     def __getstate__(self):
         return self.__dict__ | {"memo": {}}
@@ -114,11 +130,16 @@ def weigh(p: Passages, docs: DataFrame, text_col: str) -> None:
         for b in batches:
             n += b.num_rows
             for a, z in slices(b.column("body"), most=1 << 20):
-                words = [t.split() for t in b.column("body")[a:z].to_pylist()]
-                ids = p.numbers([w for ws in words for w in ws])
-                row = np.repeat(np.arange(z - a), np.fromiter(map(len, words), np.int64, z - a))
-                once = np.unique(row[ids >= 0] * len(p.vocab) + ids[ids >= 0]) % len(p.vocab)
-                seen += np.bincount(once, minlength=len(p.vocab))
+                words, sizes = split(b.column("body")[a:z].to_pylist())
+                ids = p.numbers(words)
+                row = np.repeat(np.arange(z - a), sizes)[ids >= 0]
+                ids = ids[ids >= 0]
+                if (z - a) * len(p.vocab) <= 1 << 24:  # a small table of marks, else sorting
+                    marks = np.zeros((z - a, len(p.vocab)), bool)
+                    marks[row, ids] = True
+                    seen += marks.sum(axis=0)
+                else:
+                    seen += np.bincount(np.unique(row * len(p.vocab) + ids) % len(p.vocab), minlength=len(p.vocab))
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], n))], names=["term", "n"])
 
@@ -198,9 +219,8 @@ def verdict(p: Passages, j: int, ids: list[int], a: int, z: int) -> tuple[int, b
 
 def matches(p: Passages, texts: list[bytes]) -> list[tuple]:
     """(text number, item, cosine, lcs, passage words, answer, first word, last word) of every leak."""
-    words = [t.split() for t in texts]
-    sizes = np.fromiter(map(len, words), np.int64, len(texts))
-    ids = p.numbers([w for ws in words for w in ws])
+    words, sizes = split(texts)
+    ids = p.numbers(words)
     row, plain = np.repeat(np.arange(len(texts)), sizes), ids != -2
     ids, row = ids[plain], row[plain]
     n = len(ids)
