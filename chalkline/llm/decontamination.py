@@ -5,14 +5,17 @@ passages become TF-IDF rows of a matrix. Its leading right singular vectors come
 iteration: each round, tasks multiply their rows by the current basis and back, and the products are added up. Documents
 are read in windows of several widths. A window whose weight lies mostly outside the benchmark's terms cannot be
 close to a passage (its projection is no longer than its part inside) and is passed over; the others are projected,
-and passages within the cosine bound are candidates. For those the longest common subsequence of words decides, with a
-check for the passage's answer where the subsequence alone leaves doubt. All of it happens in the pass that reads the
-documents; no text is shuffled.
+and passages within the cosine bound are candidates. The rank follows the block: it grows until every passage keeps
+KEEP of its norm, and cosines are taken with the projected passage. Passages that share three words in a row with a
+document, and enough of their words for a leak, are candidates whatever their cosine, so no verbatim passage is missed.
+For candidates the longest common subsequence of words decides, with a check for the passage's answer where the
+subsequence alone leaves doubt. All of it happens in the pass that reads the documents; no text is shuffled.
 
 Terms are lower-case words without outer punctuation. A document is a leak of an item if, for one of the item's
 passages, the subsequence covers LCS_SURE of its words, or LCS_DOUBT and the answer stands there in one piece (the
 answer column's words, else the passage's last words). The benchmark is the query set: its terms and passages go to
-the tasks, BLOCK_PASSAGES at a time, so that what a task receives is bounded.
+the tasks in blocks of about BLOCK_PASSAGES passages, fewer where passages times terms, and with it the basis at full
+rank, would pass BLOCK_CELLS. Only a single item of more passages makes a larger block.
 
 Results for odd input: null text counts as empty; null or empty items, and passages of under MIN_WORDS words, match
 nothing; passages under SHORT words count only in one piece; repeated rows each give their own results; an empty
@@ -34,8 +37,13 @@ from pyspark.sql import functions as F
 
 from chalkline.llm.batches import map_arrow, slices
 from chalkline.llm.common import text_of
+from chalkline.llm.shingles import GOLDEN, mixed
 
-PASSAGE, BLOCK_PASSAGES, RANK, ROUNDS = 64, 20_000, 256, 3
+PASSAGE, ROUNDS = 64, 3
+#: Passages that the driver reads at a time, passages and passages x terms of a block.
+READ_PASSAGES, BLOCK_PASSAGES, BLOCK_CELLS = 20_000, 1000, 1 << 24
+#: First rank, and the share of its norm that every passage keeps.
+RANK, KEEP = 256, 0.9
 WIDTHS = (8, 16, 32, 64)
 #: Share of a window's squared weight inside the benchmark's terms, and the cosine, that make a candidate.
 INSIDE, COSINE = 0.35, 0.35
@@ -69,7 +77,8 @@ class Passages:
     idf: np.ndarray = None
     unknown: float = 1.0
     basis: np.ndarray = None  # [term, rank]
-    latent: np.ndarray = None  # [rank, passage], divided by the passage's norm
+    latent: np.ndarray = None  # [rank, passage], divided by the projected passage's norm
+    anchors: tuple = None
     memo: dict = field(default_factory=dict)
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
@@ -98,17 +107,41 @@ class Passages:
         out *= self.idf
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
+    def anchor(self) -> None:
+        """Three words in a row of every passage, by their key; of a short passage, which counts in one piece, the first three."""
+        sizes = np.array([len(r) for r in self.rows])
+        starts = np.cumsum(sizes) - sizes
+        flat = np.concatenate(self.rows)
+        count = np.where(sizes < SHORT, 1, sizes - 2)
+        passage = np.repeat(np.arange(len(sizes)), count)
+        offset = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        key = trigrams(flat, starts[passage] + offset)
+        order = np.argsort(key, kind="stable")
+        keys, first = np.unique(key[order], return_index=True)
+        marks = np.zeros(1 << 20, bool)
+        marks[keys >> np.uint64(44)] = True
+        self.anchors = keys, np.append(first, len(key)), passage[order], offset[order], marks, flat, starts, sizes
+
+
+def trigrams(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit key of the three terms from each place."""
+    a, b, c = (ids[at + k].astype(np.uint64) for k in range(3))
+    return mixed((a * GOLDEN + b) * GOLDEN + c)
+
 
 def blocks(benchmark: DataFrame, item_col: str, text_col: str, answer_col: str | None) -> Iterator[Passages]:
     """The benchmark in blocks of bounded size."""
     answer = text_of(answer_col) if answer_col else F.lit("")
     rows = benchmark.select(F.col(item_col).cast("long").alias("item"), text_of(text_col).alias("text"), answer.alias("answer"))
     size = rows.agg(F.sum(F.greatest(F.lit(1), F.regexp_count("text", F.lit(r"\S+")) / (PASSAGE // 2)))).first()[0] or 0
-    n = max(1, math.ceil(size / BLOCK_PASSAGES))
+    n = max(1, math.ceil(size / READ_PASSAGES))
     for k in range(n):
         got = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).orderBy("item", "text").collect()
         vocab, items, terms, answers = {}, [], [], []
         for r in got:
+            if len(items) >= BLOCK_PASSAGES or len(items) * len(vocab) > BLOCK_CELLS:
+                yield Passages(vocab, items, terms, answers)
+                vocab, items, terms, answers = {}, [], [], []
             words = [t for t in (term(w.encode()) for w in r["text"].split()) if t]
             own = [t for t in (term(w.encode()) for w in r["answer"].split()) if t]
             for at in range(0, max(1, len(words) - PASSAGE // 2), PASSAGE // 2):
@@ -151,10 +184,10 @@ def weigh(p: Passages, docs: DataFrame, text_col: str) -> None:
 
 
 def decompose(p: Passages, docs: DataFrame) -> None:
-    """Leading right singular vectors of the passages' matrix by distributed subspace iteration."""
+    """Leading right singular vectors of the passages' matrix by distributed subspace iteration, as many as the passages need."""
     spark, v = docs.sparkSession, len(p.vocab)
-    rank = min(RANK, v, len(p.rows))
-    basis = np.linalg.qr(np.random.default_rng(5).normal(size=(v, rank)))[0]
+    full = min(v, len(p.rows))
+    rank = min(RANK, full)
     rows = spark.range(0, len(p.rows), 1, max(1, min(32, len(p.rows) // 500)))
 
     def product(batches: Iterator[pa.RecordBatch], z: np.ndarray, gram: bool) -> Iterator[pa.RecordBatch]:
@@ -171,12 +204,18 @@ def decompose(p: Passages, docs: DataFrame) -> None:
         parts = map_arrow(rows, lambda it: product(it, z, gram), "part binary").collect()  # at most 32 matrices of the block's terms by rank
         return sum(np.frombuffer(bytes(r["part"])) for r in parts).reshape((rank, rank) if gram else (v, rank))
 
-    for _ in range(ROUNDS):
-        basis = np.linalg.qr(summed(basis, False))[0]
-    values, turn = np.linalg.eigh(summed(basis, True))
-    basis = basis @ turn[:, np.argsort(values)[::-1]]
-    p.basis = basis.astype(np.float32)
-    p.latent = np.concatenate([(p.matrix(list(range(a, min(a + 256, len(p.rows))))) @ basis).astype(np.float32) for a in range(0, len(p.rows), 256)]).T
+    while True:
+        basis = np.linalg.qr(np.random.default_rng(5).normal(size=(v, rank)))[0]
+        for _ in range(ROUNDS):
+            basis = np.linalg.qr(summed(basis, False))[0]
+        values, turn = np.linalg.eigh(summed(basis, True))
+        basis = basis @ turn[:, np.argsort(values)[::-1]]
+        latent = np.concatenate([(p.matrix(list(range(a, min(a + 256, len(p.rows))))) @ basis).astype(np.float32) for a in range(0, len(p.rows), 256)])
+        kept = np.linalg.norm(latent, axis=1, keepdims=True)  # of 1
+        if rank == full or kept.min() >= KEEP:
+            break
+        rank = min(full, max(2 * rank, int(rank * (KEEP / max(float(kept.min()), 0.01)) ** 2)))
+    p.basis, p.latent = basis.astype(np.float32), (latent / np.maximum(kept, 1e-9)).T
 
 
 def lcs(masks: dict[int, int], n: int, words: list[int]) -> int:
@@ -241,8 +280,10 @@ def matches(p: Passages, texts: list[bytes]) -> list[tuple]:
         z = np.minimum(a + width, first[text + 1])
         keep = inside[z] - inside[a] >= INSIDE * (every[z] - every[a])
         a, z, text = a[keep], z[keep], text[keep]
-        for at in range(0, len(a), 2048):
-            _candidates(p, ids, weight, a[at : at + 2048], z[at : at + 2048], text[at : at + 2048], near)
+        most = max(1, 2048 * RANK // max(RANK, p.basis.shape[1]))  # windows x rank
+        for at in range(0, len(a), most):
+            _candidates(p, ids, weight, a[at : at + most], z[at : at + most], text[at : at + most], near)
+    _anchored(p, ids, row, first, near)
     out = []
     for (t, j), places in near.items():
         own = ids[first[t] : first[t + 1]].tolist()
@@ -256,6 +297,9 @@ def matches(p: Passages, texts: list[bytes]) -> list[tuple]:
             done = z - int(first[t])
         k = len(p.rows[j])
         if k < SHORT and best[0] == k or k >= SHORT and (best[0] >= LCS_SURE * k or best[0] >= LCS_DOUBT * k and best[1]):
+            if not cosine:  # found by its words
+                place = first[t] + np.array([[best[2]], [best[3]]])
+                cosine = float(_cosines(p, ids, weight, *place)[0, j])
             out.append((t, p.items[j], cosine, best[0], k, best[1], best[2], best[3]))
     # Of an item's passages the best stands for it.
     once: dict[tuple, tuple] = {}
@@ -264,9 +308,8 @@ def matches(p: Passages, texts: list[bytes]) -> list[tuple]:
     return [once[k] for k in sorted(once)]
 
 
-def _candidates(p: Passages, ids, weight, a, z, text, near) -> None:
-    if not len(a):
-        return
+def _cosines(p: Passages, ids, weight, a, z) -> np.ndarray:
+    """[window, passage] cosines of the words a..z of each window."""
     n = z - a
     win = np.repeat(np.arange(len(a)), n)
     at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
@@ -281,11 +324,44 @@ def _candidates(p: Passages, ids, weight, a, z, text, near) -> None:
     starts = np.flatnonzero(np.diff(r, prepend=-1))
     if len(starts):
         latent[r[starts]] = np.add.reduceat(x[:, None].astype(np.float32) * p.basis[t], starts, axis=0)
-    cos = latent @ p.latent / np.maximum(norm, 1e-9)[:, None].astype(np.float32)
+    return latent @ p.latent / np.maximum(norm, 1e-9)[:, None].astype(np.float32)
+
+
+def _candidates(p: Passages, ids, weight, a, z, text, near) -> None:
+    if not len(a):
+        return
+    cos = _cosines(p, ids, weight, a, z)
     for i, j in zip(*np.nonzero(cos >= COSINE)):
         near.setdefault((int(text[i]), int(j)), []).append((float(cos[i, j]), int(a[i]), int(z[i])))
 
 
+def _anchored(p: Passages, ids, row, first, near) -> None:
+    """Passages with three words in a row of a text, and as many of their words in it as a leak has."""
+    keys, starts, passage, offset, marks, flat, begin, sizes = p.anchors
+    at = np.flatnonzero((ids[:-2] >= 0) & (ids[1:-1] >= 0) & (ids[2:] >= 0) & (row[:-2] == row[2:]))
+    key = trigrams(ids, at)
+    maybe = marks[key >> np.uint64(44)]
+    at, key = at[maybe], key[maybe]
+    slot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    at, slot = at[keys[slot] == key], slot[keys[slot] == key]
+    has = np.zeros(len(p.vocab), bool)
+    for t in np.unique(row[at]):
+        a, z = np.searchsorted(at, first[t]), np.searchsorted(at, first[t + 1])
+        count = starts[slot[a:z] + 1] - starts[slot[a:z]]
+        post = np.repeat(starts[slot[a:z]] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        j, from_ = passage[post], np.repeat(at[a:z], count) - offset[post]
+        own = ids[first[t] : first[t + 1]]
+        has[own[own >= 0]] = True
+        which, back = np.unique(j, return_inverse=True)
+        n = sizes[which]
+        words = np.repeat(begin[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        there = np.add.reduceat(has[flat[words]].astype(np.int64), np.cumsum(n) - n)
+        has[own[own >= 0]] = False
+        enough = (there >= np.where(n < SHORT, n, LCS_DOUBT * n))[back]
+        for k, x in {(int(k), int(x)) for k, x in zip(j[enough], from_[enough])}:
+            near.setdefault((int(t), k), []).append((0.0, max(x, int(first[t])), min(x + int(sizes[k]), int(first[t + 1]))))
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None,
@@ -299,6 +375,7 @@ def leaks(
     for p in blocks(benchmark, item_col, item_text_col, answer_col):
         weigh(p, docs, text_col)
         decompose(p, docs)
+        p.anchor()
 
         def search(batches: Iterator[pa.RecordBatch], p: Passages = p) -> Iterator[pa.RecordBatch]:
             for b in batches:

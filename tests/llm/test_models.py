@@ -128,6 +128,27 @@ def test_paraphrases_and_clean_documents(spark, docs_of):
     assert len(want - got) <= 0.1 * len(want) and got <= want  # recall 0.9 at least, no clean document
 
 
+def test_verbatim_items_of_a_large_benchmark(spark, docs_of):
+    rnd = random.Random(11)
+    words = [f"word{k}" for k in range(5000)]
+    some = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    items = [(k, some(40)) for k in range(2000)]
+    rows = [(k, f"{some(60)} {items[k * 33][1]} {some(60)}", None, None) for k in range(60)] + [(1000 + k, some(200), None, None) for k in range(60)]
+    got = {(r.doc_id, r.item_id) for r in dc.leaks(docs_of(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(k, k * 33) for k in range(60)}
+
+
+def test_rank_follows_the_passages(spark, docs_of):
+    rnd = random.Random(12)
+    items = [(k, " ".join(f"word{rnd.randrange(3000)}" for _ in range(40))) for k in range(700)]
+    docs = docs_of([(1, "word1 word2", None, None)])
+    p = next(dc.blocks(spark.createDataFrame(items, "item_id long, text string"), "item_id", "text", None))
+    dc.weigh(p, docs, "text")
+    dc.decompose(p, docs)
+    a = p.matrix(list(range(len(p.rows))))
+    assert np.linalg.norm(a @ p.basis, axis=1).min() >= 0.9 and np.allclose(np.linalg.norm(p.latent, axis=0), 1, atol=1e-3)
+
+
 def test_odd_rows_and_items(spark, odd, empty, odd_rows):
     items = [(1, "the lazy dog and runs"), (2, None), (3, ""), (4, "!!! ..."), (None, "the lazy dog and runs"), (5, "base3 base4 base5 base6 base7 base8 base9 base10 base11"), (6, "no such words here at all in any text"), (7, "one two")]
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, body string")
