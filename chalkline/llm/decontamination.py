@@ -233,6 +233,11 @@ def _holds(words: list[int], piece: list[int]) -> bool:
     return any(words[i : i + k] == piece for i in range(len(words) - k + 1)) if k else False
 
 
+def is_leak(n: int, found: tuple) -> bool:
+    """Whether (longest common subsequence, answer found, ...) makes a leak of a passage of n words."""
+    return found[0] == n if n < SHORT else found[0] >= LCS_SURE * n or found[0] >= LCS_DOUBT * n and found[1]
+
+
 def verdict(p: Passages, j: int, ids: list[int], a: int, z: int) -> tuple[int, bool, int, int]:
     """(longest common subsequence of passage j near words a..z of a document, answer found, first and last word of the place)."""
     piece = p.rows[j].tolist()
@@ -249,10 +254,14 @@ def verdict(p: Passages, j: int, ids: list[int], a: int, z: int) -> tuple[int, b
         return 0, False, a, z
     if lcs(masks, n, ids[lo:hi]) < LCS_DOUBT * n:
         return 0, False, a, z
-    best = (0, False, a, z)
-    for i in range(lo, max(lo + 1, hi - width + 1), max(1, n // 8)):
-        here = ids[i : i + width]
-        best = max(best, (lcs(masks, n, here), _holds(here, answer), i, min(len(ids), i + width)), key=lambda x: x[:2])
+    best, last, k = (0, False, a, z), max(lo, hi - width), len(answer)
+    # The last words of the stretch have a window too, and so has every place of the answer, as its end and as its start.
+    starts = {last, *range(lo, last, max(1, n // 8))}
+    starts |= {min(last, max(lo, x)) for i in range(lo, hi - k + 1) if ids[i : i + k] == answer for x in (i + k - width, i)} if k else set()
+    for i in sorted(starts):
+        # The answer may adjoin the window.
+        found = lcs(masks, n, ids[i : i + width]), _holds(ids[max(0, i - k) : i + width + k], answer), i, min(len(ids), i + width)
+        best = max(best, found, key=lambda x: (is_leak(n, x), x[:2]))
     return best
 
 
@@ -287,16 +296,16 @@ def matches(p: Passages, texts: list[bytes]) -> list[tuple]:
     out = []
     for (t, j), places in near.items():
         own = ids[first[t] : first[t + 1]].tolist()
-        best, cosine = (0, False, 0, 0), 0.0
+        best, cosine, k = (0, False, 0, 0), 0.0, len(p.rows[j])
         done = -1
         for c, a, z in sorted(places, key=lambda x: x[1]):
             cosine = max(cosine, c)
             if z - int(first[t]) <= done:  # wholly inside a stretch that was compared already
                 continue
-            best = max(best, verdict(p, j, own, a - int(first[t]), z - int(first[t])), key=lambda x: x[:2])
+            found = verdict(p, j, own, a - int(first[t]), z - int(first[t]))
+            best = max(best, found, key=lambda x: (is_leak(k, x), x[:2]))
             done = z - int(first[t])
-        k = len(p.rows[j])
-        if k < SHORT and best[0] == k or k >= SHORT and (best[0] >= LCS_SURE * k or best[0] >= LCS_DOUBT * k and best[1]):
+        if is_leak(k, best):
             if not cosine:  # found by its words
                 place = first[t] + np.array([[best[2]], [best[3]]])
                 cosine = float(_cosines(p, ids, weight, *place)[0, j])

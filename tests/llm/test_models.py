@@ -149,6 +149,18 @@ def test_rank_follows_the_passages(spark, docs_of):
     assert np.linalg.norm(a @ p.basis, axis=1).min() >= 0.9 and np.allclose(np.linalg.norm(p.latent, axis=0), 1, atol=1e-3)
 
 
+def test_items_at_the_end_of_a_document(spark):
+    rnd = random.Random(13)
+    for n in range(24, 65):
+        piece = list(range(n))
+        p = dc.Passages({str(k): k for k in piece}, [1], [np.array(piece)], [np.array(piece[-4:])])
+        for share in (0.15, 0.3, 0.35):
+            lost = set(rnd.sample(range(n - 4), int(share * n)))
+            doc = [-1] * 150 + [-1 if k in lost else k for k in piece]
+            for a in (110, 130, 150):  # wherever the candidate's window lies
+                assert dc.verdict(p, 0, doc, a, min(len(doc), a + 64))[:2] == (n - len(lost), True)
+
+
 def test_odd_rows_and_items(spark, odd, empty, odd_rows):
     items = [(1, "the lazy dog and runs"), (2, None), (3, ""), (4, "!!! ..."), (None, "the lazy dog and runs"), (5, "base3 base4 base5 base6 base7 base8 base9 base10 base11"), (6, "no such words here at all in any text"), (7, "one two")]
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, body string")
