@@ -45,8 +45,8 @@ READ_PASSAGES, BLOCK_PASSAGES, BLOCK_CELLS = 20_000, 1000, 1 << 24
 #: First rank, and the share of its norm that every passage keeps.
 RANK, KEEP = 256, 0.9
 WIDTHS = (8, 16, 32, 64)
-#: Share of a window's squared weight inside the benchmark's terms, and the cosine, that make a candidate.
-INSIDE, COSINE = 0.35, 0.35
+#: The cosine that makes a candidate; a window with less than its square of squared weight inside the benchmark's terms has none.
+COSINE = 0.35
 LCS_SURE, LCS_DOUBT, ANSWER_WORDS, SHORT, MIN_WORDS = 0.8, 0.6, 4, 8, 3
 STRIP = string.punctuation + "¡¿«»“”„‘’…–—"
 RESULT = "item_id long, cosine double, lcs int, passage_words int, answer boolean, first_word int, last_word int"
@@ -265,6 +265,20 @@ def verdict(p: Passages, j: int, ids: list[int], a: int, z: int) -> tuple[int, b
     return best
 
 
+def repeats(ids: np.ndarray) -> np.ndarray:
+    """How often a word's term stands in as many words up to it as the widest window has.
+
+    In a window, a term that stands tf times there has tf squared, the sum of the first tf odd numbers, of its squared
+    weight. As the k-th of them counts k or more here, sums of 2 * repeats - 1 are never too small.
+    """
+    n = len(ids)
+    order = np.argsort(ids, kind="stable")
+    key = (ids[order] - ids[order[0]]) * (n + WIDTHS[-1]) + order
+    out = np.empty(n, np.int64)
+    out[order] = np.arange(n) - np.searchsorted(key, key - (WIDTHS[-1] - 1)) + 1
+    return out
+
+
 def matches(p: Passages, texts: list[bytes]) -> list[tuple]:
     """(text number, item, cosine, lcs, passage words, answer, first word, last word) of every leak."""
     words, sizes = split(texts)
@@ -276,7 +290,7 @@ def matches(p: Passages, texts: list[bytes]) -> list[tuple]:
         return []
     known = ids >= 0
     weight = np.where(known, p.idf[np.maximum(ids, 0)], p.unknown)
-    inside, every = (np.concatenate([[0.0], np.cumsum(x)]) for x in (np.where(known, weight, 0) ** 2, weight**2))
+    inside, outside = (np.concatenate([[0.0], np.cumsum(x)]) for x in (np.where(known, (2 * repeats(ids) - 1) * weight**2, 0), np.where(known, 0, weight**2)))
     first = np.searchsorted(row, np.arange(len(texts) + 1))
     near: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
     for width in WIDTHS:
@@ -287,7 +301,8 @@ def matches(p: Passages, texts: list[bytes]) -> list[tuple]:
         step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
         a = first[text] + step * (width // 2)
         z = np.minimum(a + width, first[text + 1])
-        keep = inside[z] - inside[a] >= INSIDE * (every[z] - every[a])
+        part = inside[z] - inside[a]
+        keep = (part > 0) & (part * (1 + 1e-9) >= COSINE**2 * (part + outside[z] - outside[a]))
         a, z, text = a[keep], z[keep], text[keep]
         most = max(1, 2048 * RANK // max(RANK, p.basis.shape[1]))  # windows x rank
         for at in range(0, len(a), most):

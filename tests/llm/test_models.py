@@ -161,6 +161,36 @@ def test_items_at_the_end_of_a_document(spark):
                 assert dc.verdict(p, 0, doc, a, min(len(doc), a + 64))[:2] == (n - len(lost), True)
 
 
+def test_windows_passed_over_have_no_candidate():
+    rnd = np.random.default_rng(14)
+    ids = rnd.integers(-3, 20, 3000)
+    weight = np.where(ids >= 0, 1.0 + ids % 7, 5.0)
+    bound = np.where(ids >= 0, (2 * dc.repeats(ids) - 1) * weight**2, 0)
+    for width in dc.WIDTHS:
+        for a in range(0, 2900, 37):
+            here, n = np.unique(ids[a : a + width], return_counts=True)
+            assert bound[a : a + width].sum() >= sum((k * (1.0 + i % 7)) ** 2 for i, k in zip(here, n) if i >= 0) - 1e-6
+
+
+def test_windows_within_the_cosine_are_projected(monkeypatch):
+    p = dc.Passages({f"a{k}": k for k in range(4)}, [1], [np.arange(4)], [np.arange(4)])
+    p.idf, p.unknown, p.others = np.full(4, 4.0), 7.0, np.full(1 << 16, 7.0)  # four words of eight have a cosine of 0.5 and a quarter of the squared weight
+    p.basis, p.latent = np.eye(4, dtype=np.float32), np.full((4, 1), 0.5, np.float32)
+    monkeypatch.setattr(dc, "_anchored", lambda *_: None, raising=False)
+    other = " ".join(f"b{k}" for k in range(40))
+    found = dc.matches(p, [f"{other} a0 a1 a2 a3 {other}".encode()])
+    assert [r[:2] for r in found] == [(0, 1)] and abs(found[0][2] - (4 / (4 + 4 * 49 / 16)) ** 0.5) < 1e-3
+
+
+def test_short_items_in_long_documents(spark, docs_of):
+    rnd = random.Random(15)
+    items = [(k, " ".join(f"item{k}x{i}" if i % 2 else f"word{rnd.randrange(40)}" for i in range(3 + k % 5))) for k in range(40)]
+    some = lambda n: " ".join(f"other{rnd.randrange(60)}" for _ in range(n))
+    rows = [(k, f"{some(300)} {t} {some(300)}", None, None) for k, t in items] + [(1000 + k, some(600), None, None) for k in range(60)]
+    got = {(r.doc_id, r.item_id) for r in dc.leaks(docs_of(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(k, k) for k, _ in items}
+
+
 def test_odd_rows_and_items(spark, odd, empty, odd_rows):
     items = [(1, "the lazy dog and runs"), (2, None), (3, ""), (4, "!!! ..."), (None, "the lazy dog and runs"), (5, "base3 base4 base5 base6 base7 base8 base9 base10 base11"), (6, "no such words here at all in any text"), (7, "one two")]
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, body string")
