@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 import string
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
@@ -48,6 +49,9 @@ WIDTHS = (8, 16, 32, 64)
 #: The cosine that makes a candidate; a window with less than its square of squared weight inside the benchmark's terms has none.
 COSINE = 0.35
 LCS_SURE, LCS_DOUBT, ANSWER_WORDS, SHORT, MIN_WORDS = 0.8, 0.6, 4, 8, 3
+#: Document frequencies count as this share at least, so that weights do not grow with the number of documents. Other
+#: terms than the block's are counted by hash (never too low), in so many places.
+RAREST, OTHERS = 1e-3, 1 << 16
 STRIP = string.punctuation + "¡¿«»“”„‘’…–—"
 RESULT = "item_id long, cosine double, lcs int, passage_words int, answer boolean, first_word int, last_word int"
 
@@ -75,14 +79,14 @@ class Passages:
     rows: list[np.ndarray]  # term numbers in order
     answers: list[np.ndarray]
     idf: np.ndarray = None
-    unknown: float = 1.0
+    others: np.ndarray = None  # weights of other terms by hash
     basis: np.ndarray = None  # [term, rank]
     latent: np.ndarray = None  # [rank, passage], divided by the projected passage's norm
     anchors: tuple = None
     memo: dict = field(default_factory=dict)
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        """Term numbers; -1 for other terms, -2 for words that are punctuation alone."""
+        """Term numbers; -10 and below for the hash of other terms, -2 for words that are punctuation alone."""
         memo = self.memo
         if len(memo) > 500_000:
             memo.clear()
@@ -92,7 +96,7 @@ class Passages:
             w = words[k]
             if w not in memo:
                 t = term(w)
-                memo[w] = self.vocab.get(t, -1) if t else -2
+                memo[w] = self.vocab.get(t, -10 - zlib.crc32(t.encode()) % OTHERS) if t else -2
             out[k] = memo[w]
         return out
 
@@ -156,16 +160,18 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, answer_col: str |
 
 
 def weigh(p: Passages, docs: DataFrame, text_col: str) -> None:
-    """Inverse document frequencies over all documents; terms outside the benchmark weigh like those that no document has."""
+    """Inverse document frequencies over all documents, by the share of documents; the block's terms each, others by hash."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n = np.zeros(len(p.vocab), np.int64), 0
+        seen, other, n = np.zeros(len(p.vocab), np.int64), np.zeros(OTHERS, np.int64), 0
         for b in batches:
             n += b.num_rows
             for a, z in slices(b.column("body"), most=1 << 20):
                 words, sizes = split(b.column("body")[a:z].to_pylist())
                 ids = p.numbers(words)
-                row = np.repeat(np.arange(z - a), sizes)[ids >= 0]
+                row = np.repeat(np.arange(z - a), sizes)
+                other += np.bincount(np.unique(row[ids <= -10] * OTHERS - 10 - ids[ids <= -10]) % OTHERS, minlength=OTHERS)
+                row = row[ids >= 0]
                 ids = ids[ids >= 0]
                 if (z - a) * len(p.vocab) <= 1 << 24:  # a small table of marks, else sorting
                     marks = np.zeros((z - a, len(p.vocab)), bool)
@@ -173,14 +179,15 @@ def weigh(p: Passages, docs: DataFrame, text_col: str) -> None:
                     seen += marks.sum(axis=0)
                 else:
                     seen += np.bincount(np.unique(row * len(p.vocab) + ids) % len(p.vocab), minlength=len(p.vocab))
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], n))], names=["term", "n"])
+        at, by = np.flatnonzero(seen), np.flatnonzero(other)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, [-1], -10 - by])), pa.array(np.concatenate([seen[at], [n], other[by]]))], names=["term", "n"])
 
     parts = map_arrow(docs.select(text_of(text_col).cast("binary").alias("body")), count, "term long, n long")
-    totals = {r["term"]: r["n"] for r in parts.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # one row a term of the block
+    totals = {r["term"]: r["n"] for r in parts.groupBy("term").agg(F.sum("n").alias("n")).toArrow().to_pylist()}  # one row a term of the block, and a hash
     n = totals.get(-1, 0)
     df = np.array([totals.get(i, 0) for i in range(len(p.vocab))])
-    p.idf, p.unknown = np.log((1 + n) / (1 + df)) + 0.1, float(np.log(1 + n) + 0.1)
+    other = np.array([totals.get(-10 - i, 0) for i in range(OTHERS)])
+    p.idf, p.others = (np.minimum(np.log((1 + n) / (1 + x)), -math.log(RAREST)) + 0.1 for x in (df, other))
 
 
 def decompose(p: Passages, docs: DataFrame) -> None:
@@ -289,7 +296,7 @@ def matches(p: Passages, texts: list[bytes]) -> list[tuple]:
     if not n:
         return []
     known = ids >= 0
-    weight = np.where(known, p.idf[np.maximum(ids, 0)], p.unknown)
+    weight = np.where(known, p.idf[np.maximum(ids, 0)], p.others[np.where(known, 0, -10 - ids)])
     inside, outside = (np.concatenate([[0.0], np.cumsum(x)]) for x in (np.where(known, (2 * repeats(ids) - 1) * weight**2, 0), np.where(known, 0, weight**2)))
     first = np.searchsorted(row, np.arange(len(texts) + 1))
     near: dict[tuple[int, int], list[tuple[float, int, int]]] = {}

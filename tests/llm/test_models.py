@@ -191,6 +191,30 @@ def test_short_items_in_long_documents(spark, docs_of):
     assert got == {(k, k) for k, _ in items}
 
 
+@pytest.mark.parametrize("n", [1_000, 1_000_000])
+def test_candidates_do_not_depend_on_the_number_of_documents(spark, docs_of, n, monkeypatch):
+    # Every word of the block stands in a hundredth of n documents, "stop" in all of them and other words in none.
+    rnd = random.Random(16)
+    items = [(k, " ".join(f"word{rnd.randrange(1500)}" for _ in range(40))) for k in range(60)]
+    p = next(dc.blocks(spark.createDataFrame(items, "item_id long, text string"), "item_id", "text", None))
+    counts = [(t, n // 100) for t in range(len(p.vocab))] + [(-1, n), (-10 - zlib.crc32(b"stop") % dc.OTHERS, n)]
+    monkeypatch.setattr(dc, "map_arrow", lambda *_: spark.createDataFrame(counts, "term long, n long"))
+    dc.weigh(p, docs_of([(1, "x", None, None)]), "text")
+    monkeypatch.undo()
+    assert p.others[zlib.crc32(b"stop") % dc.OTHERS] == pytest.approx(0.1, abs=1e-2) and max(p.idf.max(), p.others.max()) <= 7.1
+    dc.decompose(p, docs_of([(1, "x", None, None)]))
+    p.anchor()
+    monkeypatch.setattr(dc, "_anchored", lambda *_: None)  # the cosine alone
+    texts = []
+    for _, t in items:
+        w = t.split()
+        lost = set(rnd.sample(range(36), 14))  # 0.65 and the answer stay
+        w = [f"new{rnd.random()}" if k in lost else x for k, x in enumerate(w)]
+        texts.append(" ".join(["new%d" % rnd.randrange(10**9) for _ in range(30)] + w + ["stop new%d" % rnd.randrange(10**9) for _ in range(15)]).encode())
+    got = {(r[0], r[1]) for r in dc.matches(p, texts)}
+    assert len(got & {(k, p.items[k]) for k in range(60)}) >= 54 and p.items == list(range(60))
+
+
 def test_odd_rows_and_items(spark, odd, empty, odd_rows):
     items = [(1, "the lazy dog and runs"), (2, None), (3, ""), (4, "!!! ..."), (None, "the lazy dog and runs"), (5, "base3 base4 base5 base6 base7 base8 base9 base10 base11"), (6, "no such words here at all in any text"), (7, "one two")]
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, body string")
