@@ -12,7 +12,7 @@ document with a smaller id; windows are judged on the input.
 4. Segments are dealt to shards by name, so equal windows meet in one shard. Each shard builds an FM-index of its
    segments and streams them through it: backward search over the wavelet matrix gives matching statistics, and where a
    match reaches the window length its interval tells the least id. A name with very many different segments is dealt
-   by window instead, one window to a segment.
+   by window instead, one window to a segment and each different window once.
 5. Window starts whose least id is below the own id come back to the texts, and the covered words go.
 
 Words are compared as 64-bit hashes; a window is equal when all its words' hashes are.
@@ -215,7 +215,13 @@ def dedup_substrings(
     often = single.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") > name_segments).select("name")
     few = single.join(often, "name", "left_anti").select(F.col("name").alias("place"), "name", "digest", F.lit(0).alias("sub"), "owner", "words")
     many = _by_window(single.join(often, "name", "left_semi"), window)
-    found = staged(searched(few.unionByName(many), window, shards, shard_words), "substr-found")
+    # A different window enters an index once, with its least id (`sub` -1); what is found goes back to all its places.
+    once = many.groupBy("place", "words").agg(F.min("owner").alias("owner"))
+    once = once.select("place", F.col("place").alias("name"), F.unhex(F.md5("words")).alias("digest"), F.lit(-1).alias("sub"), "owner", "words")
+    results = staged(searched(few.unionByName(once), window, shards, shard_words), "substr-found")
+    least = results.where("sub < 0").select(F.col("name").alias("place"), F.col("digest").alias("window"), "least")
+    back = many.select("place", F.unhex(F.md5("words")).alias("window"), "name", "digest", "sub").join(least, ["place", "window"])
+    found = results.where("sub >= 0").unionByName(back.select("name", "digest", "sub", "least"))
 
     # Starts of the windows that a smaller id has, back at the texts.
     at = parts.drop("sub", "words").join(found, ["name", "digest"])

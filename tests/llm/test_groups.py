@@ -200,6 +200,16 @@ def test_substring_dedup(docs_of, odd, odd_rows, limits):
             assert hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 and sum(b - a for a, b in r.intervals) == r.n_removed
 
 
+def test_equal_windows_enter_an_index_once(docs_of, monkeypatch):
+    passage = [f"p{i}" for i in range(30)]
+    rows = [(i, " ".join([f"a{i}"] * 20 + passage + [f"b{i}"] * 20), None, None) for i in range(40)]
+    seen, search = [], sd.searched
+    monkeypatch.setattr(sd, "searched", lambda r, *a: seen.append(r.groupBy("place", "words").count().agg(F.max("count")).first()[0]) or search(r, *a))
+    got = sd.dedup_substrings(docs_of(rows), window=20, name_segments=2).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == removed([(i, t) for i, t, _, _ in rows], 20)
+    assert seen == [1]
+
+
 def test_substring_dedup_of_given_documents(given, given_docs, empty):
     got = sd.dedup_substrings(given_docs).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == removed(given, 50)
