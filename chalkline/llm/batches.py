@@ -48,9 +48,11 @@ def held_out(id_col: str) -> Column:
 
 def labelled_sample(rows: DataFrame, label: str, key: str, per_label: int, seed: int = 7) -> tuple[DataFrame, dict]:
     """About `per_label` rows of each label, by a hash of `key` (at most 1.3 times that and never more than 2), and the labels' counts."""
-    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(1000).collect()}
+    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).collect()}
     place = F.shiftrightunsigned(random_key(seed, F.col(key)), 33)  # 31 bits
-    wanted = F.lit(False)
-    for v, n in counts.items():
-        wanted = wanted | ((F.col(label) == F.lit(v)) & (place < F.lit(int(2**31 * min(1.0, 1.3 * per_label / n)))))
-    return rows.where(wanted).limit(2 * per_label * max(1, len(counts))), counts
+    # One row a label; like the counts, it is as long as there are labels.
+    most = [(v, int(2**31 * min(1.0, 1.3 * per_label / n))) for v, n in counts.items() if v is not None]
+    kind = rows.schema[label].dataType.simpleString()
+    bounds = F.broadcast(rows.sparkSession.createDataFrame(most, f"`__label` {kind}, `__below` long"))
+    wanted = rows.join(bounds, (F.col(label) == F.col("__label")) & (place < F.col("__below")), "left_semi")
+    return wanted.limit(2 * per_label * max(1, len(counts))), counts

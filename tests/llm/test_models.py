@@ -9,6 +9,7 @@ import pytest
 
 from chalkline.llm import decontamination as dc
 from chalkline.llm import language, quality
+from chalkline.llm.batches import labelled_sample
 
 
 def fold(i):
@@ -31,6 +32,12 @@ def test_language_of_held_out_documents(more):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_every_label_is_sampled(spark):
+    rows = spark.range(2400).selectExpr("id AS doc_id", "concat('l', id % 1200) AS lang")
+    sample, counts = labelled_sample(rows, "lang", "doc_id", 300)
+    assert len(counts) == 1200 and {r.lang for r in sample.collect()} == set(counts)
+
+
 def test_presence_is_a_set_of_ngrams():
     bits = language.presence([b"abc", b"abc abc", b"", b"b", b"a1!b", b"a b"])
     assert (bits[0] <= bits[1]).all() and bits[3].sum() >= 1
