@@ -28,7 +28,7 @@ hit AS (SELECT p.doc_id, p.i FROM p JOIN f USING (h) WHERE f.first_id < p.doc_id
 gone AS (SELECT doc_id, list_distinct(list(k)) AS ks FROM (SELECT doc_id, unnest(generate_series(i, i + 49)) AS k FROM hit) GROUP BY doc_id),
 kept AS (SELECT d.doc_id, len(w) AS n_words, coalesce(len(ks), 0) AS n_removed,
                 CASE WHEN ks IS NULL THEN array_to_string(w, ' ')
-                     ELSE array_to_string(list_transform(list_filter(generate_series(1, len(w)), k -> NOT list_contains(ks, k)), k -> w[k]), ' ') END AS t
+                     ELSE array_to_string(list_transform(list_filter(generate_series(1, len(w)), lambda k: NOT list_contains(ks, k)), lambda k: w[k]), ' ') END AS t
          FROM d LEFT JOIN gone USING (doc_id))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM kept
 """
