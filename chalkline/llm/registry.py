@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chalkline.llm import decontamination, exact_dedup, language, mixing, ngram_join, quality, sharding, substring_dedup, token_counts, token_files
+from chalkline.llm import decontamination, exact_dedup, language, mixing, ngram_join, quality, sharding, substring_dedup, token_counts, token_files, url_rules
 from chalkline.llm.common import documents
 
 DEDUP_SQL = r"""
@@ -34,6 +34,21 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS
 """
 
 
+#: The URL rules that the query applies: host, path, verdict.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+URL_SQL = r"""
+WITH u AS (SELECT row_number() OVER () AS i, page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT i, page_id, regexp_extract(rest, '^[^/?#]*') AS h, rest FROM u),
+q AS (SELECT i, page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM p),
+r AS (SELECT * FROM (VALUES RULES) AS t(rh, rp, rv)),
+m AS (SELECT i, rh || rp AS rule, rv FROM q JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+      QUALIFY row_number() OVER (PARTITION BY i ORDER BY length(rh || rp) DESC) = 1)
+SELECT page_id, host, path, rule, coalesce(rv, 'allow') AS verdict FROM q LEFT JOIN m USING (i)
+""".replace("RULES", ", ".join(map(str, URL_RULES)))
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
@@ -75,14 +90,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text64")
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_ngram_join, op4_substring_dedup, op5_sharding, op6_token_ids, op7_language_id, op8_mixing, op9_quality, op10_decontamination, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_ngram_join, op4_substring_dedup, op5_sharding, op6_token_ids, op7_language_id, op8_mixing, op9_quality, op10_decontamination, op11_url_filters, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
     own = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return own | {"op2_exact_dedup": DEDUP_SQL, "op4_substring_dedup": SUBSTRING_SQL, "op8_mixing": mixing.MIX_SQL}
+    return own | {"op2_exact_dedup": DEDUP_SQL, "op4_substring_dedup": SUBSTRING_SQL, "op8_mixing": mixing.MIX_SQL, "op11_url_filters": URL_SQL}

@@ -32,4 +32,4 @@ def test_entry_holds_all_queries():
 
     names = set(entry.queries())
     assert {"pipeline", *(n for n in names if n.startswith("op"))} <= set(registry.queries())
-    assert {int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 14))
