@@ -1,11 +1,17 @@
 """Phrase collocations by Rabin-Karp fingerprints (operator 12).
 
 Words get 64-bit hashes. Over the words of a run of texts, prefix polynomials with an odd base (modulo 2^64, where the
-base has an inverse) give the fingerprint of every n-gram from one cumulative sum. Each task adds up equal fingerprints
-and keeps a pointer (document, word) to one occurrence; within a task's run every occurrence is compared with the one
-pointed at, and where words differ, the run's row is split. Only the rows of fingerprints that reach the least count
-over all runs are kept, their pointers are looked up in the texts, and counts are added again by the phrase itself: so
-phrases whose fingerprints collide are told apart, and only frequent phrases ever become text outside a task's run.
+base has an inverse) give the fingerprint of every n-gram from one cumulative sum. Texts are read twice:
+
+1. Each run adds up the fingerprints of its words and word pairs; a shuffle adds up all runs. Those that reach the
+   least count are marked in a bit field of fixed size (FIELD_BITS, 8 MB), in which nothing frequent is missing.
+2. Each run keeps marked words and pairs, and longer n-grams whose pairs are all marked (any other cannot be frequent),
+   with a count and a pointer (document, word) to one occurrence. Within the run every occurrence is compared with the
+   one pointed at; where words differ, the run's row is split. A shuffle adds up the rows by fingerprint; the pointers
+   of frequent ones are looked up in the texts, and counts are added again by the phrase itself.
+
+So phrases whose fingerprints collide are told apart, and only frequent phrases ever become text outside a run. The bit
+field only saves shuffling: in a corpus with so many frequent phrases that it fills up, results are the same.
 
 Phrases are compared per language. Joins and sums are over (language, phrase), never over a language alone; the last
 ranking keeps the first rows of each language before it shuffles.
@@ -43,6 +49,8 @@ RUN_BYTES, RUN_TOKENS, CUT_CHARS = 8 << 20, 2_000_000, 4 << 20
 #: Odd base of the polynomials, and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+#: Size of the bit field of frequent fingerprints, and the bits that one of its pieces holds.
+FIELD_BITS, PIECE_BITS = 26, 15
 PARTS = "lang string, words int, print long, n long, doc long, text64 long, at long"
 
 
@@ -75,18 +83,19 @@ def fingerprints(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 class Run:
-    """Texts of one language: words as numbers of this run, their hashes, and where each word stands."""
+    """Texts of one language: their words, and where each stands."""
 
-    def __init__(self, mask: int):
-        self.mask = mask
+    def __init__(self, lang: str, mask: int):
+        self.salts = [np.uint64(xxhash.xxh64_intdigest(f"{k} {lang}")) for k in range(LONGEST + 1)]
+        self.mask = np.uint64(mask)
         self._start()
 
     def _start(self) -> None:
         self.tokens: list[str] = []
         self.counts: list[tuple[int, int, int]] = []  # document, words before in it, tokens of one stretch
 
-    def add(self, doc: int, text: str) -> Iterator[dict[str, np.ndarray]]:
-        """Take a text in; gives the parts of the run when it is full."""
+    def add(self, doc: int, text: str) -> Iterator[Run]:
+        """Take a text in; gives the run when it is full, and begins anew."""
         before = 0
         for part in stretches(text):
             tokens = TOKEN.findall(part)
@@ -95,33 +104,60 @@ class Run:
             if len(text) > CUT_CHARS:
                 before += sum(1 for t in tokens if not STOP.match(t))
             if len(self.tokens) > RUN_TOKENS:
-                yield self.parts()
+                yield self
                 self._start()
 
-    def parts(self) -> dict[str, np.ndarray]:
-        """words, print, n, doc (of this run), at (word of the document): one row per different n-gram of this run."""
+    def _read(self) -> None:
+        """codes (words as numbers of this run), hashes of them, piece, document and place of every word."""
         codes, words = pd.factorize(np.array(self.tokens, dtype=object))
-        stop = np.array([bool(STOP.match(w)) for w in words], bool) if len(words) else np.zeros(0, bool)
-        hashes = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
+        stop = np.array([bool(STOP.match(w)) for w in words], bool)
+        hashes = np.array([xxhash.xxh64_intdigest(w.encode()) for w in words], np.uint64)
         doc, before, n = (np.array(c, np.int64) for c in (zip(*self.counts) if self.counts else ((), (), ())))
-        is_word = ~stop[codes]
-        # Words counted from the start of their stretch.
+        is_word = ~stop[codes] if len(codes) else np.zeros(0, bool)
         upto = np.cumsum(is_word) - is_word
-        starts = np.cumsum(n) - n
-        first = np.concatenate([upto, [is_word.sum()]])[starts]
-        doc, at = np.repeat(doc, n), upto - np.repeat(first - before, n)
-        # Pieces, and places where a new stretch begins.
-        piece = np.cumsum(~is_word)
-        piece[1:] += np.cumsum(np.repeat(np.arange(len(n)), n)[1:] != np.repeat(np.arange(len(n)), n)[:-1]) if len(piece) else 0
-        codes, doc, at, piece = codes[is_word], doc[is_word], at[is_word], piece[is_word]
-        out = []
+        first = np.append(upto, is_word.sum())[np.cumsum(n) - n]
+        stretch = np.repeat(np.arange(len(n)), n)
+        # A piece ends with a stop, or with its stretch.
+        self.piece = (np.cumsum(~is_word) + stretch)[is_word]
+        self.at = (upto - (first - before)[stretch])[is_word]
+        self.doc, self.codes = doc[stretch][is_word], codes[is_word]
+        self.hashes = hashes[self.codes] if len(codes) else np.zeros(0, np.uint64)
+
+    def _prints(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(fingerprints, places) of all k-grams within pieces; length and language are part of a fingerprint."""
+        prints = (fingerprints(self.hashes, k) ^ self.salts[k]) & self.mask
+        at = np.flatnonzero(self.piece[: max(0, len(self.piece) - k + 1)] == self.piece[k - 1 :])
+        return prints[at], at
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """(fingerprint, count) of words and pairs."""
+        self._read()
+        return np.unique(np.concatenate([self._prints(k)[0] for k in (1, 2)]), return_counts=True)
+
+    def parts(self, field: np.ndarray) -> dict[str, np.ndarray]:
+        """words, print, n, doc, at: a row per n-gram that may be frequent, and one with words = 0 that counts all words."""
+        self._read()
+        if not len(self.codes):
+            return {}
+        pair = np.zeros(len(self.codes), bool)
+        out = [{"words": np.zeros(1, np.int32), "print": np.zeros(1, np.int64), "n": np.array([len(self.codes)]), "doc": self.doc[:1], "at": self.at[:1]}]
         for k in range(1, LONGEST + 1):
-            if len(codes) < k:
-                break
-            prints = fingerprints(hashes[codes], k) & np.uint64(self.mask)
-            starts = np.flatnonzero(piece[: len(piece) - k + 1] == piece[k - 1 :])
-            out.append(_folded(prints[starts], starts, codes, k, doc, at))
-        return {c: np.concatenate([o[c] for o in out]) for c in out[0]} if out else {}
+            prints, at = self._prints(k)
+            if k < 3:
+                here = marked(field, prints)
+                if k == 2:
+                    pair[at[here]] = True
+            else:
+                here = np.all([pair[at + i] for i in range(k - 1)], axis=0)
+            if here.any():
+                out.append(_folded(prints[here], at[here], self.codes, k, self.doc, self.at))
+        return {c: np.concatenate([o[c] for o in out]) for c in out[0]}
+
+
+def marked(field: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """Whether the bit of each fingerprint is set."""
+    bit = prints >> np.uint64(64 - FIELD_BITS)
+    return (field[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 def _folded(prints, starts, codes, k, doc, at) -> dict[str, np.ndarray]:
@@ -145,26 +181,54 @@ def _folded(prints, starts, codes, k, doc, at) -> dict[str, np.ndarray]:
     return {"words": np.full(len(first), k, np.int32), "print": p[first].view(np.int64), "n": n, "doc": doc[s[first]], "at": at[s[first]]}
 
 
-def _counted(mask: int):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs(b: pa.RecordBatch, mask: int) -> Iterator[tuple[str, Run]]:
+    """The texts of a batch in runs of one language and bounded size; a document is named by its row."""
+    for lo, hi in slices(b.column("text"), RUN_BYTES):
+        names, texts = b.column("lang")[lo:hi].to_pylist(), b.column("text")
+        for lang in dict.fromkeys(names):
+            run = Run(lang, mask)
+            for i in (i for i, v in enumerate(names, lo) if v == lang):
+                for full in run.add(i, texts[i].as_py()):
+                    yield lang, full
+            yield lang, run
+
+
+def _summed(mask: int):
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi in slices(b.column("text"), RUN_BYTES):
-                part = b.slice(lo, hi - lo)
-                names, texts = part.column("lang").to_pylist(), part.column("text")
-                docs, text64 = part.column("doc").to_numpy(), part.column("text64").to_numpy()
-                for lang in dict.fromkeys(names):
-                    run = Run(mask)
-                    full = (f for i, v in enumerate(names) if v == lang for f in run.add(i, texts[i].as_py()))
-                    for found in chain(full, (run.parts() for _ in range(1))):
-                        if not found:
-                            continue
-                        at = found.pop("doc")
-                        found |= {"doc": docs[at], "text64": text64[at]}
-                        for k in range(0, len(at), 1 << 16):
-                            rows = {c: found[c][k : k + (1 << 16)] for c in ("words", "print", "n", "doc", "text64", "at")}
-                            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(rows["n"]), pa.string())} | rows)
-
-    return count
+            for _, run in _runs(b, mask):
+                prints, n = run.sums()
+                for k in range(0, len(n), 1 << 16):
+                    yield pa.RecordBatch.from_pydict({"print": prints[k : k + (1 << 16)].view(np.int64), "n": n[k : k + (1 << 16)].astype(np.int32)})
+
+    return add
+
+
+def _pointed(mask: int, field):
+    def point(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(field.value, np.uint8)
+        for b in batches:
+            docs, text64 = b.column("doc").to_numpy(), b.column("text64").to_numpy()
+            for lang, run in _runs(b, mask):
+                found = run.parts(bits)
+                if found:
+                    at = found.pop("doc")
+                    found |= {"doc": docs[at], "text64": text64[at]}
+                    for k in range(0, len(at), 1 << 16):
+                        rows = {c: found[c][k : k + (1 << 16)] for c in ("words", "print", "n", "doc", "text64", "at")}
+                        yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(rows["n"]), pa.string())} | rows)
+
+    return point
+
+
+def _field(prints: DataFrame) -> bytes:
+    """A bit for the upper FIELD_BITS bits of every fingerprint; built by the executors in pieces of PIECE_BITS bits, 8 MB in all."""
+    bit = prints.select(F.shiftrightunsigned("print", 64 - FIELD_BITS).alias("bit"))
+    pieces = bit.groupBy(F.shiftright("bit", PIECE_BITS).alias("piece")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND((1 << PIECE_BITS) - 1)).alias("bits"))
+    field, size = bytearray(1 << (FIELD_BITS - 3)), 1 << (PIECE_BITS - 3)
+    for r in pieces.collect():
+        field[r.piece * size : (r.piece + 1) * size] = r.bits
+    return bytes(field)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,10 +253,14 @@ def phrase_counts(docs: DataFrame, least: int = 30, mask: int = (1 << 64) - 1, i
     """(lang, words, phrase, f) of all phrases with 1 to LONGEST words and f >= least, and (lang, n) with the words of each language."""
     text = _lower(text_of(text_col))
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), text.alias("text"))
+    # Runs have added up their own rows, so nothing is left to combine before this shuffle.
+    sums = map_arrow(rows.select("lang", "text"), _summed(mask), "print long, n int").repartition("print")
+    field = rows.sparkSession.sparkContext.broadcast(_field(sums.groupBy("print").agg(F.sum("n").alias("n")).where(F.col("n") >= least)))
     rows = rows.withColumn("text64", F.xxhash64("text"))
-    parts = staged(map_arrow(rows, _counted(mask), PARTS), "phrase-parts")
-    totals = parts.where("words = 1").groupBy("lang").agg(F.sum("n").alias("n"))
+    parts = staged(map_arrow(rows, _pointed(mask, field), PARTS), "phrase-parts")
+    totals = parts.where("words = 0").groupBy("lang").agg(F.sum("n").alias("n"))
     # Sums over all runs; every run's row of a frequent fingerprint is kept with its pointer.
+    parts = parts.where("words > 0")
     frequent = parts.groupBy("lang", "words", "print").agg(F.sum("n").alias("all")).where(F.col("all") >= least)
     pointers = parts.join(frequent.drop("all"), ["lang", "words", "print"], "left_semi")
     # A text that stands in many runs is pointed at once for each place.

@@ -5,6 +5,7 @@ import re
 import string
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from chalkline.llm import collocations as co
@@ -59,10 +60,10 @@ def test_long_texts_are_cut_between_pieces(spark, docs_of, monkeypatch):
     monkeypatch.setattr(co, "CUT_CHARS", 40)
     monkeypatch.setattr(co, "RUN_TOKENS", 100)
     assert list(co.stretches("a" * 60 + ".b c. " + "d" * 50)) == ["a" * 60 + ".", "b c. " + "d" * 50]
-    run, found = co.Run((1 << 64) - 1), []
+    run, found, every = co.Run("en", (1 << 64) - 1), [], np.full(1 << (co.FIELD_BITS - 3), 255, np.uint8)
     for i, r in enumerate(rows):
-        found += list(run.add(i, r[1] or ""))
-    found.append(run.parts())
+        found += [full.parts(every) for full in run.add(i, r[1] or "")]
+    found.append(run.parts(every))
     texts = [[t for t in co.TOKEN.findall(r[1] or "") if not co.STOP.match(t)] for r in rows]
     count = Counter()
     for part in found:
@@ -74,7 +75,14 @@ def test_long_texts_are_cut_between_pieces(spark, docs_of, monkeypatch):
         for piece in re.split(r"[.,;:!?\x0A-\x0D]", t or ""):
             w = re.findall(r"[^\x20\x09]+", piece)
             flat.update(" ".join(w[i : i + k]) for k in range(1, 5) for i in range(len(w) - k + 1))
-    assert count == flat
+    assert count.pop("") == sum(n for p, n in flat.items() if " " not in p) and count == flat
+
+
+def test_the_bit_field_holds_every_frequent_print(spark):
+    prints = [0, -1, 1 << 40, -(1 << 63), (1 << 63) - 1, 123456789 << 30]
+    field = np.frombuffer(co._field(spark.createDataFrame([(p,) for p in prints], "print long")), np.uint8)
+    assert co.marked(field, np.array(prints, np.int64).view(np.uint64)).all()
+    assert not co.marked(field, np.array([1 << 50, 5 << 50], np.uint64)).any() and np.unpackbits(field).sum() == len({(p & ((1 << 64) - 1)) >> 38 for p in prints})
 
 
 def test_scores_beyond_64_bits(spark):
