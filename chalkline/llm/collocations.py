@@ -1,20 +1,20 @@
 """Phrase collocations by Rabin-Karp fingerprints (operator 12).
 
 Words get 64-bit hashes. Over the words of a run of texts, prefix polynomials with an odd base (modulo 2^64, where the
-base has an inverse) give the fingerprint of every n-gram from one cumulative sum. Texts are read twice:
+base has an inverse) give the fingerprint of every n-gram from one cumulative sum; a second polynomial gives 32 check
+bits. Within a run each occurrence is compared with the words of the first one of its fingerprint, and differing ones
+stay apart. A run gives one row per different n-gram: fingerprint, check, count and a pointer to a document that holds
+it. A shuffle adds up the rows. Texts are read three times:
 
-1. Each run adds up the fingerprints of its words and word pairs; a shuffle adds up all runs. Those that reach the
-   least count are marked in a bit field of fixed size (FIELD_BITS, 8 MB), in which nothing frequent is missing.
-2. Each run keeps marked words and pairs, and longer n-grams whose pairs are all marked (any other cannot be frequent),
-   with a count and a pointer (document, word) to one occurrence. Within the run every occurrence is compared with the
-   one pointed at; where words differ, the run's row is split. A shuffle adds up the rows by fingerprint; the pointers
-   of frequent ones are looked up in the texts, and counts are added again by the phrase itself.
+1. Words and pairs are counted. The frequent ones are marked in a bit field of fixed size (FIELD_BITS, 8 MB), in which
+   nothing frequent is missing.
+2. Longer n-grams are counted, only those whose pairs are all marked (any other cannot be frequent).
+3. The documents that the pointers of frequent phrases name are read; a phrase becomes text where its words have the
+   fingerprint. Only frequent phrases are ever materialised.
 
-So phrases whose fingerprints collide are told apart, and only frequent phrases ever become text outside a run. The bit
-field only saves shuffling: in a corpus with so many frequent phrases that it fills up, results are the same.
-
-Phrases are compared per language. Joins and sums are over (language, phrase), never over a language alone; the last
-ranking keeps the first rows of each language before it shuffles.
+Sums over runs trust 96 bits of fingerprint. The bit field only saves shuffling: in a corpus with so many frequent
+phrases that it fills up, results are the same. Phrases are compared per language, which is part of the fingerprint;
+no sum or join is over a language alone, and the last ranking keeps the first rows of each before it shuffles.
 
 Results for odd input: a null text counts as empty, a null language as `und`; a null id is a value like others, and
 repeated rows count as often as they stand there; words are taken as they are, of any length; a piece is held whole by
@@ -26,7 +26,6 @@ from __future__ import annotations
 import re
 import string
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -44,14 +43,14 @@ LONGEST = 4
 #: Ends of pieces, or words.
 TOKEN = re.compile(r"[.,;:!?\x0A-\x0D]+|[^\x20\x09.,;:!?\x0A-\x0D]+")
 STOP = re.compile(r"[.,;:!?\x0A-\x0D]")
-#: Bytes of text and words that a run holds, and characters after which a long text is cut at the next end of a piece.
-RUN_BYTES, RUN_TOKENS, CUT_CHARS = 8 << 20, 2_000_000, 4 << 20
-#: Odd base of the polynomials, and its inverse modulo 2^64.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+#: Bytes of text taken in at once, words of a run, and characters after which a long text is cut at the next end of a piece.
+SLICE_BYTES, RUN_WORDS, CUT_CHARS = 8 << 20, 2_000_000, 4 << 20
+#: Odd bases of the two polynomials.
+BASE, CHECK_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 #: Size of the bit field of frequent fingerprints, and the bits that one of its pieces holds.
 FIELD_BITS, PIECE_BITS = 26, 15
-PARTS = "lang string, words int, print long, n long, doc long, text64 long, at long"
+GRAMS = "print long, check int, n int, doc long"
+PHRASES = "lang string, words int, phrase string, print long, check int, inner array<struct<at:int,words:int,print:bigint,check:int>>"
 
 
 def stretches(text: str) -> Iterator[str]:
@@ -73,152 +72,192 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def fingerprints(hashes: np.ndarray, n: int) -> np.ndarray:
+def fingerprints(hashes: np.ndarray, n: int, base: int = BASE) -> np.ndarray:
     """The fingerprint of each n-gram of a sequence of word hashes, from prefix polynomials."""
     size = len(hashes)
     if size < n:
         return np.zeros(0, np.uint64)
-    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers(BASE, size), dtype=np.uint64)])
-    return (prefix[n:] - prefix[:-n]) * powers(INVERSE, size - n + 1)
+    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers(base, size), dtype=np.uint64)])
+    return (prefix[n:] - prefix[:-n]) * powers(pow(base, -1, 1 << 64), size - n + 1)
 
 
-class Run:
-    """Texts of one language: their words, and where each stands."""
+class Printer:
+    """Fingerprints of one language: its name and the length of a phrase are part of them."""
 
     def __init__(self, lang: str, mask: int):
-        self.salts = [np.uint64(xxhash.xxh64_intdigest(f"{k} {lang}")) for k in range(LONGEST + 1)]
-        self.mask = np.uint64(mask)
-        self._start()
-
-    def _start(self) -> None:
-        self.tokens: list[str] = []
-        self.counts: list[tuple[int, int, int]] = []  # document, words before in it, tokens of one stretch
-
-    def add(self, doc: int, text: str) -> Iterator[Run]:
-        """Take a text in; gives the run when it is full, and begins anew."""
-        before = 0
-        for part in stretches(text):
-            tokens = TOKEN.findall(part)
-            self.tokens += tokens
-            self.counts.append((doc, before, len(tokens)))
-            if len(text) > CUT_CHARS:
-                before += sum(1 for t in tokens if not STOP.match(t))
-            if len(self.tokens) > RUN_TOKENS:
-                yield self
-                self._start()
-
-    def _read(self) -> None:
-        """codes (words as numbers of this run), hashes of them, piece, document and place of every word."""
-        codes, words = pd.factorize(np.array(self.tokens, dtype=object))
-        stop = np.array([bool(STOP.match(w)) for w in words], bool)
-        hashes = np.array([xxhash.xxh64_intdigest(w.encode()) for w in words], np.uint64)
-        doc, before, n = (np.array(c, np.int64) for c in (zip(*self.counts) if self.counts else ((), (), ())))
-        is_word = ~stop[codes] if len(codes) else np.zeros(0, bool)
-        upto = np.cumsum(is_word) - is_word
-        first = np.append(upto, is_word.sum())[np.cumsum(n) - n]
-        stretch = np.repeat(np.arange(len(n)), n)
-        # A piece ends with a stop, or with its stretch.
-        self.piece = (np.cumsum(~is_word) + stretch)[is_word]
-        self.at = (upto - (first - before)[stretch])[is_word]
-        self.doc, self.codes = doc[stretch][is_word], codes[is_word]
-        self.hashes = hashes[self.codes] if len(codes) else np.zeros(0, np.uint64)
-
-    def _prints(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(fingerprints, places) of all k-grams within pieces; length and language are part of a fingerprint."""
-        prints = (fingerprints(self.hashes, k) ^ self.salts[k]) & self.mask
-        at = np.flatnonzero(self.piece[: max(0, len(self.piece) - k + 1)] == self.piece[k - 1 :])
-        return prints[at], at
-
-    def sums(self) -> tuple[np.ndarray, np.ndarray]:
-        """(fingerprint, count) of words and pairs."""
-        self._read()
-        return np.unique(np.concatenate([self._prints(k)[0] for k in (1, 2)]), return_counts=True)
-
-    def parts(self, field: np.ndarray) -> dict[str, np.ndarray]:
-        """words, print, n, doc, at: a row per n-gram that may be frequent, and one with words = 0 that counts all words."""
-        self._read()
-        if not len(self.codes):
-            return {}
-        pair = np.zeros(len(self.codes), bool)
-        out = [{"words": np.zeros(1, np.int32), "print": np.zeros(1, np.int64), "n": np.array([len(self.codes)]), "doc": self.doc[:1], "at": self.at[:1]}]
-        for k in range(1, LONGEST + 1):
-            prints, at = self._prints(k)
-            if k < 3:
-                here = marked(field, prints)
-                if k == 2:
-                    pair[at[here]] = True
-            else:
-                here = np.all([pair[at + i] for i in range(k - 1)], axis=0)
-            if here.any():
-                out.append(_folded(prints[here], at[here], self.codes, k, self.doc, self.at))
-        return {c: np.concatenate([o[c] for o in out]) for c in out[0]}
+        self.salts, self.mask = [np.uint64(xxhash.xxh64_intdigest(f"{k} {lang}")) for k in range(LONGEST + 1)], np.uint64(mask)
 
+    def prints(self, hashes: np.ndarray, k: int) -> np.ndarray:
+        return (fingerprints(hashes, k) ^ self.salts[k]) & self.mask
 
-def marked(field: np.ndarray, prints: np.ndarray) -> np.ndarray:
-    """Whether the bit of each fingerprint is set."""
-    bit = prints >> np.uint64(64 - FIELD_BITS)
-    return (field[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    def checks(self, hashes: np.ndarray, k: int) -> np.ndarray:
+        return ((fingerprints(hashes, k, CHECK_BASE) ^ (self.salts[k] << np.uint64(32))) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _folded(prints, starts, codes, k, doc, at) -> dict[str, np.ndarray]:
-    """Occurrences of equal k-grams as one row with the first occurrence; equal fingerprints of other words stay apart."""
+def word_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode())
+
+
+class Run:
+    """Texts of one language as numbers: words, the pieces they stand in and their documents."""
+
+    def __init__(self, lang: str, mask: int):
+        self.printer = Printer(lang, mask)
+        self.empty()
+
+    def empty(self) -> None:
+        self.words: dict[str, int] = {}
+        self.hashes, self.stops = [], []
+        self.codes, self.pieces, self.docs, self.size, self.piece = [], [], [], 0, 0
+
+    def add(self, texts: list[str], keys: np.ndarray) -> Iterator[None]:
+        """Take texts in; stops where the run is full, and goes on when it is emptied."""
+        tokens: list[str] = []
+        sizes, docs, size = [], [], 0
+        for text, key in zip(texts, keys):
+            for part in stretches(text):
+                found = TOKEN.findall(part)
+                tokens += found
+                sizes.append(len(found))
+                docs.append(key)
+                size += len(part)
+                if size > SLICE_BYTES:
+                    self._take(tokens, sizes, docs)
+                    tokens, sizes, docs, size = [], [], [], 0
+                    if self.size > RUN_WORDS:
+                        yield
+        self._take(tokens, sizes, docs)
+        if self.size > RUN_WORDS:
+            yield
+
+    def _take(self, tokens: list[str], sizes: list[int], docs: list) -> None:
+        if not tokens:
+            return
+        codes, words = pd.factorize(np.array(tokens, dtype=object))
+        own = np.empty(len(words), np.int32)
+        for i, w in enumerate(words):
+            code = self.words.get(w)
+            if code is None:
+                code = self.words[w] = len(self.words)
+                self.hashes.append(word_hash(w))
+                self.stops.append(bool(STOP.match(w)))
+            own[i] = code
+        codes = own[codes]
+        stop = np.array(self.stops, bool)[codes]
+        stretch = np.repeat(np.arange(len(sizes)), sizes)
+        # A piece ends with a stop, or with its stretch.
+        piece = np.cumsum(stop) + stretch + self.piece
+        self.piece = int(piece[-1]) + 1
+        self.codes.append(codes[~stop])
+        self.pieces.append(piece[~stop].astype(np.int32))
+        self.docs.append(np.array(docs, np.int64)[stretch[~stop]])
+        self.size += int((~stop).sum())
+
+    def grams(self, sizes: tuple[int, ...], field: np.ndarray | None = None) -> Iterator[dict[str, np.ndarray]]:
+        """print, check, n, doc: a row per different n-gram of these lengths; of longer ones only where all pairs are marked."""
+        if not self.size:
+            return
+        codes, piece, doc = (np.concatenate(c) for c in (self.codes, self.pieces, self.docs))
+        hashes = np.array(self.hashes, np.uint64)[codes]
+        if field is not None:
+            pair = np.append(marked(field, self.printer.prints(hashes, 2)), False) if len(codes) > 1 else np.zeros(1, bool)
+        for k in sizes:
+            if len(codes) < k:
+                break
+            at = np.flatnonzero(piece[: len(piece) - k + 1] == piece[k - 1 :])
+            if field is not None:
+                at = at[np.all([pair[at + i] for i in range(k - 1)], axis=0)]
+            if len(at):
+                first, n = _folded(self.printer.prints(hashes, k)[at], at, codes, k)
+                # In the order of the documents: equal pointers stand together.
+                order = np.argsort(first, kind="stable")
+                first, n = first[order], n[order]
+                yield {"print": self.printer.prints(hashes, k)[first].view(np.int64), "check": self.printer.checks(hashes, k)[first], "n": n.astype(np.int32), "doc": doc[first]}
+
+
+def _folded(prints: np.ndarray, starts: np.ndarray, codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first occurrence, count) of every different k-gram: equal fingerprints whose words differ stay apart."""
     order = np.argsort(prints, kind="stable")
     p, s = prints[order], starts[order]
     new = np.ones(len(p), bool)
     new[1:] = p[1:] != p[:-1]
     first = np.flatnonzero(new)
-    group = np.cumsum(new) - 1
-    alike = np.ones(len(p), bool)
-    for i in range(k):
-        alike &= codes[s + i] == codes[s[first[group]] + i]
-    if not alike.all():
+    of = s[first][np.cumsum(new) - 1]
+    if not all((codes[s + i] == codes[of + i]).all() for i in range(k)):
         grams = np.stack([codes[s + i] for i in range(k)], axis=1)
         order = np.lexsort((s, *grams.T[::-1], p))
         p, s, grams = p[order], s[order], grams[order]
         new[1:] = (p[1:] != p[:-1]) | (grams[1:] != grams[:-1]).any(axis=1)
         first = np.flatnonzero(new)
-    n = np.diff(np.append(first, len(p)))
-    return {"words": np.full(len(first), k, np.int32), "print": p[first].view(np.int64), "n": n, "doc": doc[s[first]], "at": at[s[first]]}
+    return s[first], np.diff(np.append(first, len(p)))
 
 
-def _runs(b: pa.RecordBatch, mask: int) -> Iterator[tuple[str, Run]]:
-    """The texts of a batch in runs of one language and bounded size; a document is named by its row."""
-    for lo, hi in slices(b.column("text"), RUN_BYTES):
-        names, texts = b.column("lang")[lo:hi].to_pylist(), b.column("text")
-        for lang in dict.fromkeys(names):
-            run = Run(lang, mask)
-            for i in (i for i, v in enumerate(names, lo) if v == lang):
-                for full in run.add(i, texts[i].as_py()):
-                    yield lang, full
-            yield lang, run
-
+def marked(field: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """Whether the bit of each fingerprint is set."""
+    bit = prints >> np.uint64(64 - FIELD_BITS)
+    return (field[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
-def _summed(mask: int):
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for _, run in _runs(b, mask):
-                prints, n = run.sums()
-                for k in range(0, len(n), 1 << 16):
-                    yield pa.RecordBatch.from_pydict({"print": prints[k : k + (1 << 16)].view(np.int64), "n": n[k : k + (1 << 16)].astype(np.int32)})
 
-    return add
+def _counted(mask: int, sizes: tuple[int, ...], field=None):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if field is None else np.frombuffer(field.value, np.uint8)
+        runs: dict[str, Run] = {}
 
+        def rows(run: Run) -> Iterator[pa.RecordBatch]:
+            for found in run.grams(sizes, bits):
+                for k in range(0, len(found["n"]), 1 << 16):
+                    yield pa.RecordBatch.from_pydict({c: v[k : k + (1 << 16)] for c, v in found.items()})
+            run.empty()
 
-def _pointed(mask: int, field):
-    def point(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(field.value, np.uint8)
         for b in batches:
-            docs, text64 = b.column("doc").to_numpy(), b.column("text64").to_numpy()
-            for lang, run in _runs(b, mask):
-                found = run.parts(bits)
-                if found:
-                    at = found.pop("doc")
-                    found |= {"doc": docs[at], "text64": text64[at]}
-                    for k in range(0, len(at), 1 << 16):
-                        rows = {c: found[c][k : k + (1 << 16)] for c in ("words", "print", "n", "doc", "text64", "at")}
-                        yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(rows["n"]), pa.string())} | rows)
-
-    return point
+            for lo, hi in slices(b.column("text"), SLICE_BYTES):
+                langs, keys = b.column("lang")[lo:hi].dictionary_encode(), b.column("doc")[lo:hi].to_numpy()
+                texts = b.column("text")[lo:hi]
+                for code, lang in enumerate(langs.dictionary.to_pylist()):
+                    here = np.flatnonzero(langs.indices.to_numpy() == code)
+                    run = runs.setdefault(lang, Run(lang, mask))
+                    for _ in run.add(texts.take(pa.array(here)).to_pylist(), keys[here]):
+                        yield from rows(run)
+                # All languages together are held to the bound.
+                if sum(r.size for r in runs.values()) > RUN_WORDS:
+                    for run in runs.values():
+                        yield from rows(run)
+        for run in runs.values():
+            yield from rows(run)
+
+    return count
+
+
+def _read(mask: int):
+    """The phrases of a document that pointers name, with the fingerprints of all shorter ones inside."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("print", pa.int64()), ("check", pa.int32()),
+                            ("inner", pa.list_(pa.struct([("at", pa.int32()), ("words", pa.int32()), ("print", pa.int64()), ("check", pa.int32())])))])
+        for b in batches:
+            out = []
+            for lang, text, spots in zip(b.column("lang").to_pylist(), b.column("text"), b.column("spots")):
+                wanted, printer = {(s["print"], s["check"]) for s in spots.as_py()}, Printer(lang, mask)
+                for part in stretches(text.as_py()):
+                    tokens = TOKEN.findall(part)
+                    stop = np.array([bool(STOP.match(t)) for t in tokens], bool)
+                    words, piece = [t for t, s in zip(tokens, stop) if not s], np.cumsum(stop)[~stop]
+                    hashes = np.array([word_hash(w) for w in words], np.uint64)
+                    prints = {k: printer.prints(hashes, k).view(np.int64) for k in range(1, LONGEST + 1)}
+                    checks = {k: printer.checks(hashes, k) for k in range(1, LONGEST + 1)}
+                    for k in range(2, LONGEST + 1):
+                        if len(words) < k:
+                            break
+                        for i in np.flatnonzero(piece[: len(piece) - k + 1] == piece[k - 1 :]):
+                            name = (int(prints[k][i]), int(checks[k][i]))
+                            if name in wanted:
+                                wanted.discard(name)
+                                inner = [{"at": j, "words": m, "print": int(prints[m][i + j]), "check": int(checks[m][i + j])} for m in range(1, k) for j in range(k - m + 1)]
+                                out.append({"lang": lang, "words": k, "phrase": " ".join(words[i : i + k]), "print": name[0], "check": name[1], "inner": inner})
+            for k in range(0, len(out), 1 << 12):
+                yield pa.RecordBatch.from_pylist(out[k : k + (1 << 12)], schema)
+
+    return read
 
 
 def _field(prints: DataFrame) -> bytes:
@@ -231,79 +270,67 @@ def _field(prints: DataFrame) -> bytes:
     return bytes(field)
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The phrases that pointers into a document stand for."""
-    for b in batches:
-        for i in range(b.num_rows):
-            words = [t for t in TOKEN.findall(b.column("text")[i].as_py()) if not STOP.match(t)]
-            spots = b.column("spots")[i].values
-            langs, counts = spots.field("lang"), spots.field("n")
-            size, at = spots.field("words").to_pylist(), spots.field("at").to_pylist()
-            for k in range(0, len(spots), 1 << 14):
-                here = slice(k, k + (1 << 14))
-                phrases = [" ".join(words[a : a + n]) for n, a in zip(size[here], at[here])]
-                yield pa.RecordBatch.from_pydict({"lang": langs[here], "words": pa.array(size[here], pa.int32()), "phrase": pa.array(phrases, pa.string()), "n": counts[here]})
-
-
 def _lower(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
-def phrase_counts(docs: DataFrame, least: int = 30, mask: int = (1 << 64) - 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
-    """(lang, words, phrase, f) of all phrases with 1 to LONGEST words and f >= least, and (lang, n) with the words of each language."""
+def _words(rows: DataFrame) -> DataFrame:
+    """(lang, n): all words of each language, counted without leaving the engine."""
+    words = F.regexp_count("text", F.lit(r"[^\x20\x09.,;:!?\x0A-\x0D]+"))
+    return rows.groupBy("lang").agg(F.sum(words.cast("long")).alias("n")).where(F.col("n") > 0)
+
+
+def frequent_grams(docs: DataFrame, least: int = 30, mask: int = (1 << 64) - 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(counts, phrases, totals).
+
+    counts: print, check, f of all frequent n-grams; phrases: PHRASES and f of those with two words and more; totals: lang, n.
+    """
     text = _lower(text_of(text_col))
-    rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), text.alias("text"))
-    # Runs have added up their own rows, so nothing is left to combine before this shuffle.
-    sums = map_arrow(rows.select("lang", "text"), _summed(mask), "print long, n int").repartition("print")
-    field = rows.sparkSession.sparkContext.broadcast(_field(sums.groupBy("print").agg(F.sum("n").alias("n")).where(F.col("n") >= least)))
-    rows = rows.withColumn("text64", F.xxhash64("text"))
-    parts = staged(map_arrow(rows, _pointed(mask, field), PARTS), "phrase-parts")
-    totals = parts.where("words = 0").groupBy("lang").agg(F.sum("n").alias("n"))
-    # Sums over all runs; every run's row of a frequent fingerprint is kept with its pointer.
-    parts = parts.where("words > 0")
-    frequent = parts.groupBy("lang", "words", "print").agg(F.sum("n").alias("all")).where(F.col("all") >= least)
-    pointers = parts.join(frequent.drop("all"), ["lang", "words", "print"], "left_semi")
-    # A text that stands in many runs is pointed at once for each place.
-    pointers = pointers.groupBy("lang", "words", "print", "doc", "text64", "at").agg(F.sum("n").alias("n"))
-    spots = pointers.groupBy("doc", "text64").agg(F.collect_list(F.struct("lang", "words", "at", "n")).alias("spots"))
-    texts = rows.select("doc", "text64", "text").dropDuplicates(["doc", "text64"])
-    read = map_arrow(texts.join(spots, ["doc", "text64"]).select("text", "spots"), _read, "lang string, words int, phrase string, n long")
-    counts = read.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    return staged(counts, "phrases"), totals
-
-
-def _first_words(k: Column) -> Column:
-    return F.array_join(F.slice("w", F.lit(1), k), " ")
-
-
-def scored(counts: DataFrame) -> DataFrame:
-    """Phrases of two words and more with the cut that scores lowest: lang, words, phrase, a, l, r, score."""
-    w = F.split("phrase", " ")
-    cuts = counts.where("words > 1").select("lang", "words", "phrase", F.col("f").alias("a"), w.alias("w"), F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
-    cuts = cuts.select("lang", "words", "phrase", "a", "k", _first_words(F.col("k")).alias("left"), F.array_join(F.slice("w", F.col("k") + 1, F.col("words") - F.col("k")), " ").alias("right"))
-    f = counts.select("lang", "phrase", "f")
-    cuts = cuts.join(f.select("lang", F.col("phrase").alias("left"), F.col("f").alias("l")), ["lang", "left"])
-    cuts = cuts.join(f.select("lang", F.col("phrase").alias("right"), F.col("f").alias("r")), ["lang", "right"])
+    rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), text.alias("text"))
+    rows = rows.select("lang", F.xxhash64("id", "lang", "text").alias("doc"), "text")
+
+    def frequent(sizes: tuple[int, ...], field=None) -> DataFrame:
+        # Runs have added up their own rows, so nothing is left to combine before this shuffle.
+        grams = map_arrow(rows, _counted(mask, sizes, field), GRAMS).repartition("print", "check")
+        found = grams.groupBy("print", "check").agg(F.sum("n").alias("f"), F.min("doc").alias("doc")).where(F.col("f") >= least)
+        return staged(found, "frequent-grams")
+
+    short = frequent((1, 2))
+    field = rows.sparkSession.sparkContext.broadcast(_field(short))
+    counts = short.unionByName(frequent(tuple(range(3, LONGEST + 1)), field))
+    spots = counts.groupBy("doc").agg(F.collect_list(F.struct("print", "check")).alias("spots"))  # at most the n-grams of one document
+    # Rows that repeat everything are read once; the length tells apart documents whose keys collide.
+    texts = rows.withColumn("size", F.length("text")).dropDuplicates(["doc", "size"])
+    read = map_arrow(texts.join(spots, "doc").select("lang", "text", "spots"), _read(mask), PHRASES)
+    phrases = staged(read.join(counts.select("print", "check", "f"), ["print", "check"]).dropDuplicates(["print", "check"]), "phrases")
+    return counts.select("print", "check", "f"), phrases, _words(rows)
+
+
+def scored(phrases: DataFrame, counts: DataFrame) -> DataFrame:
+    """Phrases with the cut that scores lowest: print, check, lang, phrase, a, l, r, score, inner."""
+    # A cut has a left part that begins the phrase and a right part that takes the rest.
+    part = phrases.select("print", "check", F.col("f").alias("a"), "words", F.explode("inner").alias("i"))
+    begins, ends = F.col("i.at") == 0, F.col("i.at") + F.col("i.words") == F.col("words")
+    part = part.where(begins | ends).select("print", "check", "a", F.when(begins, F.col("i.words")).otherwise(F.col("i.at")).alias("k"), begins.alias("left"), F.col("i.print").alias("p"), F.col("i.check").alias("c"))
+    both = part.join(counts.select(F.col("print").alias("p"), F.col("check").alias("c"), "f"), ["p", "c"])
+    cuts = both.groupBy("print", "check", "k").agg(F.max("a").alias("a"), F.max(F.when(F.col("left"), F.col("f"))).alias("l"), F.max(F.when(~F.col("left"), F.col("f"))).alias("r"))
     score = F.expr("cast(a as decimal(20,0)) * 2000000 div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))")
-    lowest = F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("m")
-    return cuts.groupBy("lang", "words", "phrase").agg(lowest, F.first("a").alias("a")).select("lang", "words", "phrase", "a", "m.l", "m.r", "m.score")
+    lowest = cuts.groupBy("print", "check").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("m"))
+    return phrases.join(lowest, ["print", "check"]).select("print", "check", "lang", "words", "phrase", F.col("f").alias("a"), "m.l", "m.r", "m.score", "inner")
 
 
 def without_fragments(phrases: DataFrame, share: int = 80) -> DataFrame:
     """Phrases that no longer one with `share` hundredths of their count or more contains."""
-    w = F.split("phrase", " ")
-    longer = phrases.where("words > 2").select("lang", F.col("a").alias("b"), "words", w.alias("w"), F.explode(F.sequence(F.lit(2), F.col("words") - 1)).alias("size"))
-    inner = longer.select("lang", "b", "w", "size", F.explode(F.sequence(F.lit(1), F.col("words") - F.col("size") + 1)).alias("i"))
-    inner = inner.select("lang", F.array_join(F.slice("w", F.col("i"), F.col("size")), " ").alias("phrase"), "b")
-    most = inner.groupBy("lang", "phrase").agg(F.max("b").alias("b"))
+    inner = phrases.where("words > 2").select(F.col("a").alias("b"), F.explode("inner").alias("i")).where("i.words > 1")
+    most = inner.groupBy(F.col("i.print").alias("print"), F.col("i.check").alias("check")).agg(F.max("b").alias("b"))
     held = F.expr(f"cast(b as decimal(20,0)) * 100 >= cast(a as decimal(20,0)) * {share}")
-    return phrases.join(most, ["lang", "phrase"], "left").where(F.col("b").isNull() | ~held).drop("b")
+    return phrases.join(most, ["print", "check"], "left").where(F.col("b").isNull() | ~held).drop("b")
 
 
 def collocations(docs: DataFrame, least: int = 30, first: int = 2000, share: int = 80, mask: int = (1 << 64) - 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The `first` phrases of each language by score: lang, rank, phrase, a, l, r, n, score."""
-    counts, totals = phrase_counts(docs, least, mask, id_col, text_col, lang_col)
-    kept = without_fragments(scored(counts), share)
+    counts, phrases, totals = frequent_grams(docs, least, mask, id_col, text_col, lang_col)
+    kept = without_fragments(scored(phrases, counts), share)
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     top = kept.withColumn("rank", rank).where(F.col("rank") <= first)
     return top.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

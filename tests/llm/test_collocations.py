@@ -49,33 +49,41 @@ ODD = [(None, None, None, None), (None, "", "en", "a"), (3, " \t ", "en", "a"),
 def test_phrases(docs_of, monkeypatch, bits):
     """Also where nearly all fingerprints collide."""
     rows = made() + ODD
-    monkeypatch.setattr(co, "RUN_BYTES", 3000)
+    monkeypatch.setattr(co, "SLICE_BYTES", 3000)
+    monkeypatch.setattr(co, "RUN_WORDS", 400)
     for least, first in ((5, 2000), (30, 7)):
         got = co.collocations(docs_of(rows), least, first, 80, mask=(1 << bits) - 1)
         assert sorted(map(tuple, got.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect())) == plain(rows, least, first, 80)
 
 
-def test_long_texts_are_cut_between_pieces(spark, docs_of, monkeypatch):
+def test_long_texts_are_cut_between_pieces(monkeypatch):
     rows = made() + ODD
     monkeypatch.setattr(co, "CUT_CHARS", 40)
-    monkeypatch.setattr(co, "RUN_TOKENS", 100)
+    monkeypatch.setattr(co, "SLICE_BYTES", 200)
+    monkeypatch.setattr(co, "RUN_WORDS", 100)
     assert list(co.stretches("a" * 60 + ".b c. " + "d" * 50)) == ["a" * 60 + ".", "b c. " + "d" * 50]
-    run, found, every = co.Run("en", (1 << 64) - 1), [], np.full(1 << (co.FIELD_BITS - 3), 255, np.uint8)
-    for i, r in enumerate(rows):
-        found += [full.parts(every) for full in run.add(i, r[1] or "")]
-    found.append(run.parts(every))
-    texts = [[t for t in co.TOKEN.findall(r[1] or "") if not co.STOP.match(t)] for r in rows]
-    count = Counter()
-    for part in found:
-        if part:
-            for k, n, d, at in zip(part["words"], part["n"], part["doc"], part["at"]):
-                count[" ".join(texts[d][at : at + k])] += n
+    printer, count, names = co.Printer("en", (1 << 64) - 1), Counter(), {}
     flat = Counter()
     for _, t, _, _ in rows:
         for piece in re.split(r"[.,;:!?\x0A-\x0D]", t or ""):
             w = re.findall(r"[^\x20\x09]+", piece)
-            flat.update(" ".join(w[i : i + k]) for k in range(1, 5) for i in range(len(w) - k + 1))
-    assert count.pop("") == sum(n for p, n in flat.items() if " " not in p) and count == flat
+            flat.update(tuple(w[i : i + k]) for k in range(1, 5) for i in range(len(w) - k + 1))
+    for p in flat:
+        h = np.array([co.word_hash(w) for w in p], np.uint64)
+        names[int(printer.prints(h, len(p)).view(np.int64)[0]), int(printer.checks(h, len(p))[0])] = p
+    run, runs = co.Run("en", (1 << 64) - 1), 0
+
+    def take():
+        for part in run.grams((1, 2, 3, 4)):
+            for p, c, n in zip(part["print"], part["check"], part["n"]):
+                count[names[int(p), int(c)]] += int(n)
+
+    for _ in run.add([r[1] or "" for r in rows], np.arange(len(rows))):
+        runs += 1
+        take()
+        run.empty()
+    take()
+    assert count == flat and runs > 20
 
 
 def test_the_bit_field_holds_every_frequent_print(spark):
@@ -88,10 +96,12 @@ def test_the_bit_field_holds_every_frequent_print(spark):
 def test_scores_beyond_64_bits(spark):
     """Products pass 64 bits; the quotient is exact."""
     big = 9 * 10**18
-    counts = spark.createDataFrame([("en", 1, "a", big), ("en", 1, "b", big - 1), ("en", 2, "a b", big - 10)], "lang string, words int, phrase string, f long")
-    r = co.scored(counts).collect()[0]
-    assert r.score == 2000000 * (big - 10) // (2 * big - 1)
-    assert [x.phrase for x in co.without_fragments(co.scored(counts)).collect()] == ["a b"]
+    inner = [(0, 1, 1, 1), (1, 1, 2, 2)]
+    phrases = spark.createDataFrame([("en", 2, "a b", 3, 3, inner, big - 10)], co.PHRASES + ", f long")
+    counts = spark.createDataFrame([(1, 1, big), (2, 2, big - 1), (3, 3, big - 10)], "print long, check int, f long")
+    table = co.scored(phrases, counts)
+    assert table.collect()[0].score == 2000000 * (big - 10) // (2 * big - 1)
+    assert [x.phrase for x in co.without_fragments(table).collect()] == ["a b"]
 
 
 def test_no_documents(empty):
