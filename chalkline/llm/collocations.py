@@ -168,16 +168,17 @@ class Run:
             if field is not None:
                 at = at[np.all([pair[at + i] for i in range(k - 1)], axis=0)]
             if len(at):
-                first, n = _folded(self.printer.prints(hashes, k)[at], at, codes, k)
+                prints = self.printer.prints(hashes, k)
+                first, n = _folded(prints[at], at, codes, k)
                 # In the order of the documents: equal pointers stand together.
-                order = np.argsort(first, kind="stable")
+                order = np.argsort(first)
                 first, n = first[order], n[order]
-                yield {"print": self.printer.prints(hashes, k)[first].view(np.int64), "check": self.printer.checks(hashes, k)[first], "n": n.astype(np.int32), "doc": doc[first]}
+                yield {"print": prints[first].view(np.int64), "check": self.printer.checks(hashes, k)[first], "n": n.astype(np.int32), "doc": doc[first]}
 
 
 def _folded(prints: np.ndarray, starts: np.ndarray, codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first occurrence, count) of every different k-gram: equal fingerprints whose words differ stay apart."""
-    order = np.argsort(prints, kind="stable")
+    """(an occurrence, count) of every different k-gram: equal fingerprints whose words differ stay apart."""
+    order = np.argsort(prints)
     p, s = prints[order], starts[order]
     new = np.ones(len(p), bool)
     new[1:] = p[1:] != p[:-1]
@@ -238,6 +239,7 @@ def _read(mask: int):
             out = []
             for lang, text, spots in zip(b.column("lang").to_pylist(), b.column("text"), b.column("spots")):
                 wanted, printer = {(s["print"], s["check"]) for s in spots.as_py()}, Printer(lang, mask)
+                sought = np.array([p for p, _ in wanted], np.int64)
                 for part in stretches(text.as_py()):
                     tokens = TOKEN.findall(part)
                     stop = np.array([bool(STOP.match(t)) for t in tokens], bool)
@@ -248,7 +250,7 @@ def _read(mask: int):
                     for k in range(2, LONGEST + 1):
                         if len(words) < k:
                             break
-                        for i in np.flatnonzero(piece[: len(piece) - k + 1] == piece[k - 1 :]):
+                        for i in np.flatnonzero((piece[: len(piece) - k + 1] == piece[k - 1 :]) & np.isin(prints[k], sought)):
                             name = (int(prints[k][i]), int(checks[k][i]))
                             if name in wanted:
                                 wanted.discard(name)
