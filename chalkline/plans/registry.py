@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from chalkline.functions import fixed_values as fv
 from chalkline.functions import matching as mt
 from chalkline.functions.columns import KEY, heading_group, is_principal, subject_category
-from chalkline.operators import careers, class_view, dims, facts, marks, profile, quality, student_view, writes
+from chalkline.operators import careers, class_view, deltas, dims, facts, marks, profile, quality, student_view, writes
+from chalkline.plans import manifest
 from chalkline.plans.star import Star, StagedStar
 from chalkline.sources.order_school import OrderSchool
 
@@ -97,6 +98,16 @@ def academics_by_year(s: Star) -> DataFrame:
     return s.fact_academics
 
 
+@query
+def academics_by_deltas(s: Star) -> DataFrame:
+    """Two batches: newer revisions come before and after the ones they supersede."""
+    first, second = s.marks_raw.where("marks_id % 3 <> 0"), s.marks_raw.where("marks_id % 3 = 0")
+    held = s.stage_once("held_of_first_batch", lambda: deltas.held_revisions(first))
+    totals = deltas.totals_after(None, deltas.revision_deltas(first, None))
+    moved = s.stage_once("deltas_of_second_batch", lambda: deltas.revision_deltas(second, held))
+    return s.in_years(deltas.academics_from_totals(deltas.totals_after(totals, moved)))
+
+
 @query
 def academics_by_heading_name(s: Star) -> DataFrame:
     src = s.source
@@ -410,6 +421,35 @@ def run_log(s: Star) -> DataFrame:
     return counts.join(quality.years_note(s.years), "school_id", "full")
 
 
+class _Earlier(dict):
+    """The source as it was before some rows came in."""
+
+    def __init__(self, source, **tables: DataFrame):
+        super().__init__(tables)
+        self.source = source
+
+    def __missing__(self, table: str) -> DataFrame:
+        return self.source[table]
+
+
+@query
+def load_touched_partitions(s: Star) -> DataFrame:
+    """What a load has to write after new marks, attendance, parents, a subject and a school's first year came in."""
+    src = s.source
+    year = F.col("academic_yr")
+    before = _Earlier(
+        src,
+        student_marks=src["student_marks"].where(~((F.col("school_id") == 7) & (year == "2024-2025") & (F.col("exam_id") == 2))),
+        attendance_clean=src["attendance_clean"].where(~((F.col("school_id") == 1) & (year == "2021-2022") & (F.col("student_id") % 3 == 0))),
+        parent=src["parent"].where(~((F.col("school_id") == 7) & (F.col("parent_id") % 10 == 0))),
+        subject_master=src["subject_master"].where(~((F.col("school_id") == 1) & (F.col("sm_id") == 20))),
+        student=src["student"].where(~((F.col("school_id") == 1) & (year == "2019-2020"))),
+    )
+    changed = list(before)
+    then, now = (manifest.source_state(t, [*changed, "class"]) for t in (before, src))
+    return manifest.touched_partitions(then, now)
+
+
 def _event_log(s: Star) -> DataFrame:
     """Events read as finished or failed runs, one per event."""
     e = s.source.given("events")

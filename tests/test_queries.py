@@ -2,6 +2,8 @@
 
 import re
 
+from pathlib import Path
+
 import pytest
 
 from chalkline.plans.registry import queries
@@ -63,11 +65,14 @@ def test_a_changed_folder_is_read_anew(spark, small, tmp_path):
 
     from chalkline.plans import registry
 
+    # The given folder is read-only, and copies would keep its mode.
     folder = tmp_path / "data"
-    shutil.copytree(small, folder)
+    folder.mkdir()
+    for file in Path(small).iterdir():
+        shutil.copyfile(file, folder / file.name)
     first = registry._star(spark, str(folder))
     assert registry._star(spark, str(folder)) is first
-    shutil.copy(f"{small}/nation.parquet", folder / "more.parquet")
+    shutil.copyfile(f"{small}/nation.parquet", folder / "more.parquet")
     assert registry._star(spark, str(folder)) is not first
 
 
