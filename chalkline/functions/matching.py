@@ -68,7 +68,7 @@ def insight_careers(subject: Column) -> Column:
 
 
 # Each achievement word with the careers of its skills, in word, skill and career order.
-_WORD_CAREERS = [
+WORD_CAREERS = [
     (word, skill, career, reason)
     for word, skill in fv.ACHIEVEMENT_SKILLS
     for owner, career, reason in fv.SKILL_CAREERS
@@ -81,7 +81,7 @@ def achievement_careers(text: Column) -> Column:
 
     Skills follow the order of the word table; each career is kept once, at its first skill.
     """
-    table = literal_rows(_WORD_CAREERS, ["word", "skill", "career", "reason"])
+    table = literal_rows(WORD_CAREERS, ["word", "skill", "career", "reason"])
     options = bind(F.lower(text), lambda t: F.filter(table, lambda r: t.contains(r["word"])))
     return F.aggregate(
         options,
@@ -98,6 +98,14 @@ def required_subjects(goal: Column, match: str = "first") -> Column:
     return F.coalesce(lookup(dict(fv.GOAL_SUBJECTS), word), F.lit(""))
 
 
+def achievement_titles(text: Column) -> Column:
+    """The titles of an achievement list, without their years; none where the text only looks like one."""
+    items = F.filter(F.transform(F.split(text, r",(?=\s*\d{4}[-]|\s*[A-Z])"), lambda x: F.trim(x)), lambda x: x != "")
+    titles = F.transform(items, lambda x: F.trim(F.regexp_replace(x, r"^\d{4}-\d{4}\s*:\s*", "")))
+    blank = text.isNull() | F.trim(text).isin("", "nan", "None")
+    return F.when(blank, F.array().cast("array<string>")).otherwise(titles)
+
+
 def achievement_signals(text: Column) -> Column:
     """Array of (title, category, signal): each item takes the first word of an unseen category."""
     rules = literal_rows(fv.ACHIEVEMENT_CATEGORIES, ["word", "category", "signal"])

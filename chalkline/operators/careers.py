@@ -1,7 +1,8 @@
 """Rule-based careers, goals and insight text for all students at once.
 
 Subject words are matched once per row of the subject dimension; student rows then join the
-matches by subject id.  Texts (achievements, goals) are matched inside their own row.
+matches by subject id.  Other texts (achievements, goals, listed subjects) are matched once each, through
+an index of the rule words, and found again by a 64-bit id.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from pyspark.sql import functions as F
 from chalkline.functions import fixed_values as fv
 from chalkline.functions import matching as mt
 from chalkline.functions.columns import (
-    KEY, communication_style, fingerprint, is_senior_class, is_upper_school, not_null_like, percent_text,
+    KEY, communication_style, fingerprint, is_senior_class, is_upper_school, norm, not_null_like, percent_text,
     profile_word, split_outside_parentheses, subject_level, tenth_text, title_case, without_parentheses,
 )
+from chalkline.operators import word_index as wi
 from chalkline.operators.student_view import PERSON, history_trend
 
 GOAL_KEY = [*KEY, "career_goal"]
@@ -81,33 +83,54 @@ def insight_subject_careers(core: DataFrame) -> DataFrame:
 
     Works on the list rows' own text, which may differ from the dimension's names.
     """
-    rows = core.withColumn("subject", without_parentheses(F.col("subject_name")))
-    options = mt.insight_careers(F.col("subject_name"))
-    rows = rows.select(*KEY, "list_place", "subject", F.inline(options)).withColumnRenamed("ord", "rule_ord")
+    text = mt.subject_text(F.col("subject_name"))
+    hits = wi.word_hits(wi.distinct_texts(core, text), [r[0] for r in fv.INSIGHT_CAREERS], two_way=True)
+    rules = core.sparkSession.createDataFrame([(i, career, reason) for i, (_, career, reason) in enumerate(fv.INSIGHT_CAREERS)], "place int, career string, reason string")
+    options = hits.join(F.broadcast(rules), "place").select("text_id", F.col("place").alias("rule_ord"), "career", "reason")
+    rows = core.withColumn("text_id", wi.text_id(text)).withColumn("subject", without_parentheses(F.col("subject_name")))
+    rows = rows.select(*KEY, "list_place", "subject", "text_id").join(options, "text_id").drop("text_id")
     return _first_of_each_career(rows, ["list_place", "rule_ord"]).select(*KEY, "place", "career", "reason", "subject")
 
 
-def _once_per_text(profile: DataFrame, matched) -> DataFrame:
-    """Match each student's achievement text once and give the result to all of the student's years."""
-    text = ["school_id", "student_id", "achievement_list"]
-    found = profile.select(*text).distinct().withColumn("found", matched(F.col("achievement_list")))
-    return profile.select(*KEY, "achievement_list").join(found.filter(F.size("found") > 0), text)
+def _of_achievements(profile: DataFrame, found: DataFrame) -> DataFrame:
+    """What was found for each achievement text, for all student-years that have it."""
+    return profile.select(*KEY, wi.text_id(F.col("achievement_list")).alias("text_id")).join(found, "text_id").drop("text_id")
 
 
 def achievement_career_rows(profile: DataFrame) -> DataFrame:
-    rows = _once_per_text(profile, mt.achievement_careers).select(*KEY, F.posexplode("found").alias("i", "option"))
-    return rows.select(
-        *KEY, (F.col("i") + 1).alias("place"), F.col("option.career").alias("career"),
-        F.col("option.reason").alias("reason"), F.col("option.skill").alias("skill"),
-    )
+    """Careers by achievement words through skills; a career stays at its first word."""
+    texts = wi.distinct_texts(profile, F.col("achievement_list")).withColumn("text", F.lower("text"))
+    names = list(dict.fromkeys(word for word, *_ in mt.WORD_CAREERS))
+    hits = wi.word_hits(texts, names)
+    rules = [(i, names.index(word), skill, career, reason) for i, (word, skill, career, reason) in enumerate(mt.WORD_CAREERS)]
+    rules = profile.sparkSession.createDataFrame(rules, "ord int, place int, skill string, career string, reason string")
+    options = hits.join(F.broadcast(rules), "place")
+    first = options.groupBy("text_id", "career").agg(F.min(F.struct("ord", "reason", "skill")).alias("r"))
+    place = F.row_number().over(Window.partitionBy("text_id").orderBy("r.ord"))  # at most one row a career
+    found = first.select("text_id", place.alias("place"), "career", F.col("r.reason").alias("reason"), F.col("r.skill").alias("skill"))
+    return _of_achievements(profile, found)
 
 
 def achievement_category_rows(profile: DataFrame) -> DataFrame:
-    rows = _once_per_text(profile, mt.achievement_signals).select(*KEY, F.posexplode("found").alias("i", "s"))
-    return rows.select(
-        *KEY, (F.col("i") + 1).alias("place"), F.col("s.title").alias("title"),
-        F.col("s.category").alias("category"), F.col("s.signal").alias("career_signal"),
+    """Categories of an achievement list: each title, in order, takes the first word of a category not seen before."""
+    texts = wi.distinct_texts(profile, F.col("achievement_list"))
+    titles = texts.select("text_id", F.posexplode(mt.achievement_titles(F.col("text"))).alias("item", "title"))
+    lowered = F.lower("title")
+    hits = wi.word_hits(wi.distinct_texts(titles, lowered), [word for word, *_ in fv.ACHIEVEMENT_CATEGORIES])
+    rules = [(i, category, signal) for i, (_, category, signal) in enumerate(fv.ACHIEVEMENT_CATEGORIES)]
+    rules = profile.sparkSession.createDataFrame(rules, "place int, category string, career_signal string")
+    hits = hits.join(F.broadcast(rules), "place").withColumnRenamed("text_id", "title_id")
+    of_text = titles.withColumn("title_id", wi.text_id(lowered)).join(hits, "title_id")
+    # A text has as many candidates as titles x words that fit them.
+    each = F.array_sort(F.collect_list(F.struct("item", F.col("place").alias("ord"), "title", "category", "career_signal")))
+    kind = "array<struct<item:int,ord:int,title:string,category:string,career_signal:string>>"
+    taken = F.aggregate(
+        each, F.array().cast(kind),
+        lambda found, r: F.when(F.exists(found, lambda f: (f["item"] == r["item"]) | (f["category"] == r["category"])), found).otherwise(F.concat(found, F.array(r))),
     )
+    found = of_text.groupBy("text_id").agg(taken.alias("taken")).select("text_id", F.posexplode("taken").alias("i", "s"))
+    found = found.select("text_id", (F.col("i") + 1).alias("place"), F.col("s.title").alias("title"), F.col("s.category").alias("category"), F.col("s.career_signal").alias("career_signal"))
+    return _of_achievements(profile, found)
 
 
 # --- core and supporting subjects ------------------------------------------------------------------
@@ -123,7 +146,10 @@ def subject_list_rows(profile: DataFrame) -> DataFrame:
     )
     items = F.filter(F.transform(split_outside_parentheses(listed), lambda x: F.trim(x)), lambda x: x != "")
     rows = profile.select(*KEY, F.posexplode(items).alias("i", "subject_name"))
-    core = mt.is_core_subject(F.col("subject_name"))
+    base = F.lower(without_parentheses(F.col("subject_name")))
+    hits = wi.word_hits(wi.distinct_texts(rows, base), [w.lower() for w in fv.CORE_SUBJECT_WORDS])
+    core = F.col("core").isNotNull()
+    rows = rows.withColumn("text_id", wi.text_id(base)).join(hits.select("text_id", F.lit(1).alias("core")).distinct(), "text_id", "left")
     place = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("is_core"), "i"))
     return rows.withColumn("is_core", core.cast("int")).withColumn("list_place", place).select(
         *KEY, "list_place", "subject_name", "is_core"
@@ -142,6 +168,15 @@ def core_supporting(list_rows: DataFrame) -> DataFrame:
 # --- career goals -------------------------------------------------------------------------------------
 
 
+def with_required_subjects(goals: DataFrame, match: str, name: str) -> DataFrame:
+    """Goals with the subjects they need, '' where no goal word fits; every distinct goal is matched once."""
+    goal = norm(F.col("career_goal"))
+    hits = wi.word_hits(wi.distinct_texts(goals, goal), list(dict(fv.GOAL_SUBJECTS)), two_way=True)
+    needs = goals.sparkSession.createDataFrame([(i, subjects) for i, subjects in enumerate(dict(fv.GOAL_SUBJECTS).values())], f"place int, `{name}` string")
+    needs = wi.first_or_longest(hits, match).join(F.broadcast(needs), "place").select("text_id", name)
+    return goals.withColumn("text_id", wi.text_id(goal)).join(needs, "text_id", "left").withColumn(name, F.coalesce(name, F.lit(""))).drop("text_id")
+
+
 def goal_status(goals: DataFrame, careers: DataFrame, match: str = "first") -> DataFrame:
     """Each (student-year, goal) with the supporting career, if any, and the subjects it needs."""
     goal = F.lower("career_goal")
@@ -152,13 +187,11 @@ def goal_status(goals: DataFrame, careers: DataFrame, match: str = "first") -> D
         .groupBy(*GOAL_KEY)
         .agg(F.min(F.struct("place", "career", "reason", "subject")).alias("hit"))
     )
-    needed = mt.required_subjects(F.col("career_goal"), match)
     status = (
         F.when(F.col("hit").isNotNull(), "supported").when(F.col("required_subjects") != "", "not yet supported").otherwise("unclear match")
     )
     return (
-        wanted.join(hits, GOAL_KEY, "left")
-        .withColumn("required_subjects", needed)
+        with_required_subjects(wanted.join(hits, GOAL_KEY, "left"), match, "required_subjects")
         .withColumn("status", status)
         .withColumns({
             "goal_career": F.col("hit.career"), "goal_reason": F.col("hit.reason"), "goal_subject": F.col("hit.subject"),

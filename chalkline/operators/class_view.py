@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chalkline.functions import fixed_values as fv
 from chalkline.functions.columns import has_name, display_name, mean_double, tenth, tenth_text, whole
+from chalkline.operators.profile import with_parents
 
 GROUP = ["school_id", "academic_yr", "class_name", "section"]
 
@@ -219,7 +220,7 @@ def class_subjects(subject_map: DataFrame, subjects: DataFrame, marks: DataFrame
 
 
 def class_subject_marks(
-    subject_map: DataFrame, performance: DataFrame, demographics: DataFrame, parents: DataFrame, classes: DataFrame,
+    subject_map: DataFrame, performance: DataFrame, demographics: DataFrame, parents: DataFrame | None, classes: DataFrame,
     reference_scope: bool = False,
 ) -> DataFrame:
     """Marks of each class's subjects, one row per student and subject.
@@ -227,9 +228,7 @@ def class_subject_marks(
     By default a class shows its own students.  With ``reference_scope`` it shows every student of
     the school and year who has the subject, whichever class they are in.
     """
-    people = demographics.filter(has_name(F.col("student_name"))).join(
-        parents.select("school_id", "parent_id", "father_name"), ["school_id", "parent_id"], "left"
-    ).select(
+    people = with_parents(demographics, parents).filter(has_name(F.col("student_name"))).select(
         "school_id", "student_id", "academic_yr", "class_id",
         display_name(F.col("student_name"), F.col("father_name")).alias("student_name"),
     )

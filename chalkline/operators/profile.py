@@ -10,6 +10,7 @@ from chalkline.functions.columns import (
     KEY, attendance_band, display_name, engagement, first_word, has_name, has_real_name, learning_style,
     strength_axis, trend_label,
 )
+from chalkline.operators.joins import join_known
 from chalkline.operators.writes import first_rows
 
 
@@ -96,17 +97,21 @@ def _parents(parents: DataFrame) -> DataFrame:
     )
 
 
+def with_parents(demographics: DataFrame, parents: DataFrame | None) -> DataFrame:
+    """Demographics with their parents' columns; those of students without a parent are NULL. ``None``: they are there already."""
+    return demographics if parents is None else join_known(demographics, _parents(parents), ["school_id", "parent_id"])
+
+
 def ai_profile(
-    demographics: DataFrame, classes: DataFrame, sections: DataFrame, parents: DataFrame, profile: DataFrame,
+    demographics: DataFrame, classes: DataFrame, sections: DataFrame, parents: DataFrame | None, profile: DataFrame,
     strengths: DataFrame, signals: DataFrame,
 ) -> DataFrame:
     return (
-        demographics.join(profile.drop("class_id", "section_id", "reg_no"), KEY, "left")
+        with_parents(demographics, parents).join(profile.drop("class_id", "section_id", "reg_no"), KEY, "left")
         .join(strengths, KEY, "left")
         .join(signals, KEY, "left")
         .join(classes, ["school_id", "class_id"], "left")
         .join(sections, ["school_id", "section_id"], "left")
-        .join(_parents(parents), ["school_id", "parent_id"], "left")
         .select(
             "school_id", "student_id",
             display_name(F.col("student_name"), F.col("father_name")).alias("student_name"),
@@ -119,16 +124,15 @@ def ai_profile(
 
 
 def confidence_profile(
-    demographics: DataFrame, parents: DataFrame, profile: DataFrame, strengths: DataFrame, totals: DataFrame,
+    demographics: DataFrame, parents: DataFrame | None, profile: DataFrame, strengths: DataFrame, totals: DataFrame,
     confidence: DataFrame,
 ) -> DataFrame:
     """The earlier profile view: lifetime achievements and the career confidence index."""
     return (
-        demographics.join(profile.drop("class_id", "section_id", "reg_no", "achievements"), KEY, "left")
+        with_parents(demographics, parents).join(profile.drop("class_id", "section_id", "reg_no", "achievements"), KEY, "left")
         .join(strengths.select(*KEY, "strong_subjects"), KEY, "left")
         .join(confidence, KEY, "left")
         .join(totals, ["school_id", "student_id"], "left")
-        .join(_parents(parents), ["school_id", "parent_id"], "left")
         .withColumns({
             "achievements": F.coalesce("total_achievements", F.lit(0)),
             "achievement_list": F.coalesce("total_achievement_list", F.lit("")),
@@ -137,12 +141,11 @@ def confidence_profile(
     )
 
 
-def child_selector(demographics: DataFrame, parents: DataFrame, aliases: DataFrame) -> DataFrame:
+def child_selector(demographics: DataFrame, parents: DataFrame | None, aliases: DataFrame) -> DataFrame:
     """The latest year of each child of a parent; children are told apart by (aliased) first name."""
-    named = demographics.withColumn("raw_name", first_word(F.col("student_name")))
+    named = with_parents(demographics, parents).withColumn("raw_name", first_word(F.col("student_name")))
     joined = (
-        named.join(aliases.select("school_id", "parent_id", "raw_name", "canonical"), ["school_id", "parent_id", "raw_name"], "left")
-        .join(parents.select("school_id", "parent_id", "father_name"), ["school_id", "parent_id"], "left")
+        join_known(named, aliases.select("school_id", "parent_id", "raw_name", "canonical"), ["school_id", "parent_id", "raw_name"])
         .select(
             "school_id", "parent_id",
             display_name(F.col("student_name"), F.col("father_name")).alias("display_name"),
@@ -189,7 +192,7 @@ def career_confidence(profile: DataFrame, trend: DataFrame, strengths: DataFrame
 
 
 def student_profile(
-    demographics: DataFrame, classes: DataFrame, sections: DataFrame, parents: DataFrame, profile: DataFrame,
+    demographics: DataFrame, classes: DataFrame, sections: DataFrame, parents: DataFrame | None, profile: DataFrame,
     strengths: DataFrame, signals: DataFrame, achievements: DataFrame,
 ) -> DataFrame:
     """The student page's profile: every student-year with a real name.
@@ -202,17 +205,18 @@ def student_profile(
     ever = achievements.filter(F.col("academic_yr") == fv.LIFETIME).select(
         "school_id", "student_id", "achievement_count", "achievement_list"
     )
+    # Lifetime rows are met by the bare keys, so that the wide rows stay where they lie.
+    ever = demographics.select(*KEY).join(ever, ["school_id", "student_id"])
     zero, blank = F.lit(0), F.lit("")
     return (
-        demographics.filter(has_real_name(F.col("student_name")))
+        with_parents(demographics, parents).filter(has_real_name(F.col("student_name")))
         .join(profile.drop("class_id", "section_id", "achievements"), KEY, "left")
         .join(strengths, KEY, "left")
         .join(signals, KEY, "left")
         .join(year, KEY, "left")
-        .join(ever, ["school_id", "student_id"], "left")
+        .join(ever, KEY, "left")
         .join(classes, ["school_id", "class_id"], "left")
         .join(sections, ["school_id", "section_id"], "left")
-        .join(_parents(parents), ["school_id", "parent_id"], "left")
         .select(
             "school_id", "student_id",
             display_name(F.col("student_name"), F.col("father_name")).alias("student_name"),
@@ -230,18 +234,17 @@ def student_profile(
 
 
 def class_roster(
-    demographics: DataFrame, classes: DataFrame, sections: DataFrame, parents: DataFrame, profile: DataFrame,
+    demographics: DataFrame, classes: DataFrame, sections: DataFrame, parents: DataFrame | None, profile: DataFrame,
     signals: DataFrame, strengths: DataFrame,
 ) -> DataFrame:
     """Roster rows of every class and year."""
     return (
-        demographics.filter(has_name(F.col("student_name")))
+        with_parents(demographics, parents).filter(has_name(F.col("student_name")))
         .join(profile.select(*KEY, "avg_percent", "attendance_percentage", "achievements", "homework_assigned_count"), KEY, "left")
         .join(signals.select(*KEY, "attendance_band", "learning_style", "primary_strength_axis"), KEY, "left")
         .join(strengths.select(*KEY, "strong_subjects"), KEY, "left")
         .join(classes, ["school_id", "class_id"])
         .join(sections, ["school_id", "section_id"], "left")
-        .join(parents.select("school_id", "parent_id", "father_name"), ["school_id", "parent_id"], "left")
         .select(
             *KEY, "class_name", "section_name",
             display_name(F.col("student_name"), F.col("father_name")).alias("student_name"),

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chalkline.functions import fixed_values as fv
-from chalkline.functions import matching as mt
 from chalkline.functions.columns import KEY, heading_group, is_principal, subject_category
 from chalkline.operators import careers, class_view, deltas, dims, facts, marks, profile, quality, student_view, writes
 from chalkline.plans import manifest
@@ -79,8 +78,7 @@ def marks_latest(s: Star) -> DataFrame:
 
 @query
 def marks_unseen(s: Star) -> DataFrame:
-    raw = s.marks_raw
-    return marks.unseen_marks(raw, _fifth(raw)).select("school_id", "marks_id", "student_id", "academic_yr", "exam_id")
+    return marks.unseen_marks(s.marks_raw, _fifth(s.mark_ids)).select("school_id", "marks_id", "student_id", "academic_yr", "exam_id")
 
 
 @query
@@ -340,7 +338,7 @@ def career_confidence(s: Star) -> DataFrame:
 @query
 def confidence_profile(s: Star) -> DataFrame:
     return profile.confidence_profile(
-        s.dim_student_demographics, s.dim_parent, s.student_master_profile, s.student_subject_strengths,
+        s.people, None, s.student_master_profile, s.student_subject_strengths,
         facts.lifetime_totals(s.fact_achievements), s.student_career_profile,
     )
 
@@ -626,7 +624,7 @@ def eca_records(s: Star) -> DataFrame:
 @query
 def class_roster(s: Star) -> DataFrame:
     return profile.class_roster(
-        s.dim_student_demographics, s.dim_class, s.dim_section, s.dim_parent, s.student_master_profile,
+        s.people, s.dim_class, s.dim_section, None, s.student_master_profile,
         s.student_behavior_signals, s.student_subject_strengths,
     )
 
@@ -693,7 +691,7 @@ def needs_support(s: Star) -> DataFrame:
 
 def _class_marks(s: Star, reference_scope: bool) -> DataFrame:
     return class_view.class_subject_marks(
-        s.dim_class_subject_map, s.fact_student_subject_performance, s.dim_student_demographics, s.dim_parent, s.dim_class,
+        s.dim_class_subject_map, s.fact_student_subject_performance, s.people, None, s.dim_class,
         reference_scope,
     )
 
@@ -762,10 +760,7 @@ def _student_goals(s: Star) -> DataFrame:
 
 @query
 def goal_required_subjects(s: Star) -> DataFrame:
-    return s.source.goals().withColumns({
-        "required_first": mt.required_subjects(F.col("career_goal")),
-        "required_longest": mt.required_subjects(F.col("career_goal"), "longest"),
-    })
+    return careers.with_required_subjects(careers.with_required_subjects(s.source.goals(), "first", "required_first"), "longest", "required_longest")
 
 
 @query

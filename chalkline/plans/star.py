@@ -19,7 +19,7 @@ from chalkline.functions.columns import KEY
 from chalkline.operators import careers, class_view, dims, facts, marks, profile, student_view
 from chalkline.operators.writes import upsert, write_rows
 from chalkline.session import shared_folder
-from chalkline.sources.readers import write_table
+from chalkline.sources.readers import write_bucketed
 
 
 class Star:
@@ -77,6 +77,11 @@ class Star:
         fresh = marks.unseen_marks(self.of_schools("student_marks"), loaded)
         return fresh if loaded is None else loaded.unionByName(fresh, allowMissingColumns=True)
 
+    @cached_property
+    def mark_ids(self) -> DataFrame:
+        """What the check for unseen marks needs of the stored ones."""
+        return self.marks_raw.select("school_id", "marks_id", "student_id")
+
     @cached_property
     def heading_rows(self) -> DataFrame:
         return marks.heading_rows(marks.latest_marks(self.marks_raw))
@@ -111,6 +116,11 @@ class Star:
         fresh = dims.new_parents(self.of_schools("parent"), loaded)
         return fresh if loaded is None else loaded.unionByName(fresh)
 
+    @cached_property
+    def people(self) -> DataFrame:
+        """Demographics with the parents' columns; the parents are met once and not by every view."""
+        return profile.with_parents(self.dim_student_demographics, self.dim_parent)
+
     @cached_property
     def dim_teachers(self) -> DataFrame:
         return dims.teachers(self.of_schools("teacher"))
@@ -198,13 +208,13 @@ class Star:
     @cached_property
     def student_ai_profile(self) -> DataFrame:
         return profile.ai_profile(
-            self.dim_student_demographics, self.dim_class, self.dim_section, self.dim_parent, self.student_master_profile,
+            self.people, self.dim_class, self.dim_section, None, self.student_master_profile,
             self.student_subject_strengths, self.student_behavior_signals,
         )
 
     @cached_property
     def child_selector(self) -> DataFrame:
-        return profile.child_selector(self.dim_student_demographics, self.dim_parent, self.source["name_aliases"])
+        return profile.child_selector(self.people, None, self.source["name_aliases"])
 
     @cached_property
     def student_academic_trend(self) -> DataFrame:
@@ -219,7 +229,7 @@ class Star:
     @cached_property
     def student_profile(self) -> DataFrame:
         return profile.student_profile(
-            self.dim_student_demographics, self.dim_class, self.dim_section, self.dim_parent, self.student_master_profile,
+            self.people, self.dim_class, self.dim_section, None, self.student_master_profile,
             self.student_subject_strengths, self.student_behavior_signals, self.fact_achievements,
         )
 
@@ -252,10 +262,14 @@ class Star:
 
 
 # Tables many others are built from, in the order they depend on each other.
+# The first ones are small: once written, their size is known, and joins with them are planned as broadcasts at once.
 STAGED = (
-    "marks_raw", "heading_rows", "exam_sums", "fact_student_subject_performance", "fact_science_components",
-    "student_master_profile", "student_profile",
+    "active_schools", "years", "dim_class", "dim_section", "dim_subject",
+    "marks_raw", "mark_ids", "heading_rows", "exam_sums", "fact_student_subject_performance", "fact_science_components",
+    "student_clean", "people", "student_master_profile", "student_profile",
 )
+# What they are bucketed by, where that is not the student-year: joins and groupings on these columns move only the other side.
+BUCKETS = {"mark_ids": ["school_id", "marks_id"]}
 
 
 class StagedStar(Star):
@@ -263,18 +277,25 @@ class StagedStar(Star):
 
     Lazy branches push different filters below the latest-revision shuffle, so Spark could not
     share it and would read all marks once per branch.  A written table is read by every branch
-    and outlives a lost executor.
+    and outlives a lost executor.  The tables are bucketed by student-year, so the views' joins and
+    groupings on it read them as they lie.
     """
 
     def __init__(self, spark: SparkSession, source: Mapping[str, DataFrame], **options):
         super().__init__(source, **options)
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/star-{uuid.uuid4().hex}"
+        self.tables: list[str] = []
 
     def _stage(self, table: str, df: DataFrame) -> DataFrame:
-        path = f"{self.folder}/{table}"
-        write_table(df, path)
-        return self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
+        keys = BUCKETS.get(table, KEY)
+        if not set(keys) <= set(df.columns):
+            df.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/{table}")
+            return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{table}")
+        name = f"{self.folder.rsplit('/', 1)[-1].replace('-', '_')}_{table}"
+        stored = write_bucketed(df, name, f"{self.folder}/{table}", keys)
+        self.tables.append(name)
+        return stored.select(*df.columns)
 
     def stage_once(self, table: str, build) -> DataFrame:
         """A table of one query that the query reads more than once."""
@@ -284,6 +305,8 @@ class StagedStar(Star):
 
     def drop(self) -> None:
         """Remove the staged tables; the star is of no use afterwards."""
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS `{name}`")
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 

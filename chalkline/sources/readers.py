@@ -117,3 +117,16 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
         df.write.mode(mode).parquet(path)
         return
     df.hint("rebalance", *keys).write.mode(mode).partitionBy(*keys).parquet(path)
+
+
+def write_bucketed(df: DataFrame, name: str, path: str, keys: list[str], buckets: int | None = None) -> DataFrame:
+    """Write a table of the session's catalog in buckets of ``keys`` (one file each) below ``path``, and read it.
+
+    A join or grouping whose keys hold all bucket columns needs no shuffle of this table. There are as many buckets as
+    shuffle partitions, so that the other side of a join is dealt to as many tasks.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(buckets, *keys)
+    dealt.write.format("parquet").mode("overwrite").bucketBy(buckets, *keys).option("path", path).saveAsTable(name)
+    return spark.table(name)
