@@ -44,7 +44,7 @@ LONGEST = 4
 TOKEN = re.compile(r"[.,;:!?\x0A-\x0D]+|[^\x20\x09.,;:!?\x0A-\x0D]+")
 STOP = re.compile(r"[.,;:!?\x0A-\x0D]")
 #: Bytes of text taken in at once, words of a run, and characters after which a long text is cut at the next end of a piece.
-SLICE_BYTES, RUN_WORDS, CUT_CHARS = 8 << 20, 2_000_000, 4 << 20
+SLICE_BYTES, RUN_WORDS, CUT_CHARS = 4 << 20, 1_500_000, 4 << 20
 #: Odd bases of the two polynomials.
 BASE, CHECK_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 #: Size of the bit field of frequent fingerprints, and the bits that one of its pieces holds.
