@@ -44,3 +44,25 @@ def differing(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame
     for c in SUMS:
         same = same & F.col(f"{c}_left").eqNullSafe(F.col(f"{c}_right"))
     return both.where(~same).select(*by, F.col("n_left"), F.col("n_right"))
+
+
+def differing_rows(left: DataFrame, right: DataFrame, by: Sequence[str], key: Sequence[str], buckets: int = 64) -> DataFrame:
+    """Rows that one side has more often than the other: ``by``, ``key``, ``side`` ('left' or 'right') and ``copies``.
+
+    Both sides are summed up by group and key bucket, one pass each; only the rows of buckets whose checksums differ are
+    compared themselves. Equal tables move no row at all.
+    """
+    columns = sorted(left.columns)
+    if columns != sorted(right.columns):
+        raise ValueError("both sides need the same columns")
+    place = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+    sides = [df.select(*columns).withColumn("__bucket", place) for df in (left, right)]
+    groups = differing(*[checksums(df, [*by, "__bucket"]) for df in sides], [*by, "__bucket"])
+    only = groups.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__bucket").alias("__at"))
+    there = F.col("__bucket") == F.col("__at")
+    for c in by:
+        there = there & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    signed = [df.join(only, there, "left_semi").withColumn("__sign", F.lit(sign)) for df, sign in zip(sides, (1, -1))]
+    rows = signed[0].unionByName(signed[1]).groupBy(*columns).agg(F.sum("__sign").alias("__sign")).where("__sign <> 0")
+    side = F.when(F.col("__sign") > 0, "left").otherwise("right")
+    return rows.select(*by, *[c for c in key if c not in by], side.alias("side"), F.abs("__sign").alias("copies"))

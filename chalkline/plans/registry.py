@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from chalkline.functions import fixed_values as fv
 from chalkline.functions.columns import KEY, heading_group, is_principal, subject_category
-from chalkline.operators import careers, class_view, deltas, dims, facts, marks, profile, quality, student_view, writes
+from chalkline.operators import careers, class_view, deltas, dims, facts, marks, profile, quality, reconcile, student_view, writes
 from chalkline.plans import manifest
 from chalkline.plans.star import Star, StagedStar
 from chalkline.sources.order_school import OrderSchool
@@ -359,6 +359,29 @@ def missing_from_master(s: Star) -> DataFrame:
     return quality.missing_from_master(s.source["student"], partly)
 
 
+@query
+def reconcile_rows(s: Star) -> DataFrame:
+    """Planted differences between two states of master, attendance and marks: changed, absent and repeated rows."""
+    k = F.col("student_id")
+    by = ["school_id", "academic_yr"]
+    master = s.student_master_profile.select(*KEY, "avg_percent")
+    other_master = master.where(k % 89 != 0).withColumn("avg_percent", F.when(k % 97 != 0, F.col("avg_percent")))
+    days = s.fact_attendance.select(*KEY, "present_days")
+    other_days = days.withColumn("present_days", F.when(k % 83 == 0, F.col("present_days") + 1).otherwise(F.col("present_days")))
+    ids = s.marks_raw.select(*KEY, "marks_id", "exam_id")
+    other_ids = ids.unionByName(ids.where("marks_id % 4001 = 0"))
+
+    def found(name: str, left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+        rows = reconcile.differing_rows(left, right, by, [key])
+        return rows.select(F.lit(name).alias("table_name"), *by, F.col(key).cast("string").alias("row_key"), "side", "copies")
+
+    return (
+        found("student_master_profile", master, other_master, "student_id")
+        .unionByName(found("fact_attendance", days, other_days, "student_id"))
+        .unionByName(found("student_marks", ids, other_ids, "marks_id"))
+    )
+
+
 @query
 def ghost_students(s: Star) -> DataFrame:
     everyone = s.source["student"].select(*KEY, "is_delete")

@@ -144,6 +144,15 @@ add("verify_by_year", (
     "LEFT JOIN (SELECT school_id, academic_yr, count(DISTINCT student_id) AS have_attendance FROM t_att GROUP BY ALL) USING (school_id, academic_yr) "
     "LEFT JOIN (SELECT school_id, academic_yr, count(DISTINCT student_id) AS have_marks FROM t_perf GROUP BY ALL) USING (school_id, academic_yr)"))
 add("missing_from_master", f"SELECT {K}, student_name, parent_id FROM t_student WHERE is_delete = 'N' AND student_id % 5 = 0 AND {YEARS}")
+_rows = (
+    "SELECT 'student_master_profile' AS t, school_id, academic_yr, CAST(student_id AS VARCHAR) AS row_key, 'left' AS side, 1 AS n FROM t_profile "
+    "WHERE student_id % 89 = 0 OR (student_id % 97 = 0 AND avg_c IS NOT NULL) UNION ALL "
+    "SELECT 'student_master_profile', school_id, academic_yr, CAST(student_id AS VARCHAR), 'right', 1 FROM t_profile "
+    "WHERE student_id % 89 <> 0 AND student_id % 97 = 0 AND avg_c IS NOT NULL UNION ALL "
+    "SELECT 'fact_attendance', school_id, academic_yr, CAST(student_id AS VARCHAR), unnest(['left', 'right']), 1 FROM t_att WHERE student_id % 83 = 0 UNION ALL "
+    "SELECT 'student_marks', school_id, academic_yr, CAST(marks_id AS VARCHAR), 'right', 1 FROM t_marks WHERE marks_id % 4001 = 0"
+)
+add("reconcile_rows", f"SELECT t AS table_name, CAST(school_id AS BIGINT) AS school_id, academic_yr, row_key, side, CAST(n AS BIGINT) AS copies FROM ({_rows})")
 add("ghost_students", (
     f"SELECT s.school_id, s.student_id, s.academic_yr, d.student_name FROM t_student s LEFT JOIN t_demo d USING ({K}) WHERE (s.student_id % 37 = 0 OR s.is_delete = 'Y') AND s.{YEARS}"))
 add("duplicate_keys", f"SELECT {K}, 2::BIGINT AS cnt FROM t_clean WHERE student_id % 5 = 0")

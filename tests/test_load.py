@@ -1,5 +1,7 @@
 """The load into a warehouse folder: repeatable, incremental, whole."""
 
+import random
+from collections import Counter
 from collections.abc import Mapping
 from pathlib import Path
 
@@ -7,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chalkline.operators import quality
-from chalkline.operators.reconcile import checksums, differing
+from chalkline.operators.reconcile import checksums, differing, differing_rows
 from chalkline.plans.load import Warehouse, finished_runs, last_load, loaded_marks, read_log, run_load
 from chalkline.plans.manifest import RAW, Manifest, drop_unnamed
 from chalkline.sources.order_school import OrderSchool
@@ -115,6 +117,18 @@ def test_checksums_see_every_change(spark):
     assert gone([*rows[:4], (None, None, 3)]) == {None} and gone(rows[:4]) == {None} and gone([*rows, (3, "c", 1)]) == {3}
 
 
+@pytest.mark.parametrize("buckets", [1, 64])
+def test_differing_rows_equal_a_full_comparison(spark, buckets):
+    rnd = random.Random(buckets)
+    rows = [(rnd.choice([1, 2, None]), rnd.choice(["a", None]), rnd.randint(1, 40), rnd.choice([None, "x", "y", ""])) for _ in range(400)]
+    other = [r if rnd.random() > 0.05 else (*r[:3], "z") for r in rows[7:]] + rows[20:23]
+    make = lambda r: spark.createDataFrame(r, "s int, y string, k int, v string")
+    got = Counter((r.s, r.y, r.k, r.side) for r in differing_rows(make(rows), make(other), ["s", "y"], ["k"], buckets).collect() for _ in range(r.copies))
+    left, right = Counter(rows), Counter(other)
+    want = Counter((*r[:3], "left") for r in (left - right).elements()) + Counter((*r[:3], "right") for r in (right - left).elements())
+    assert got == want and differing_rows(make(rows), make(rows[::-1]), ["s", "y"], ["k"], buckets).isEmpty()
+
+
 def test_new_years_are_loaded_and_logged(spark, source, tmp_path):
     run_load(spark, source, str(tmp_path), "a")
     late = F.when(F.col("academic_yr") == "2025-2026", "2026-2027").otherwise(F.col("academic_yr"))
