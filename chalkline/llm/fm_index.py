@@ -57,11 +57,11 @@ class FMIndex:
         rank = np.where(inner, text + m, 0)
         rank[ends] = np.arange(m)
         longest = int(sizes.max(initial=0)) + 1
-        halves, h = [np.unique(rank, return_inverse=True)[1].reshape(-1)], 1
+        halves, h = [np.unique(rank, return_inverse=True)[1].reshape(-1).astype(np.int32)], 1
         while h < longest:
             nxt = np.zeros(n, np.int64)
             nxt[: n - h] = halves[-1][h:] + 1
-            halves.append(np.unique(halves[-1] * (n + 1) + nxt, return_inverse=True)[1].reshape(-1))
+            halves.append(np.unique(halves[-1].astype(np.int64) * (n + 1) + nxt, return_inverse=True)[1].reshape(-1).astype(np.int32))
             h *= 2
         order = np.argsort(halves[-1], kind="stable")
         # Longest common prefix of neighbours, from the ranks of halved lengths.
@@ -73,6 +73,7 @@ class FMIndex:
             step = np.where(same, 1 << k, 0)
             lcp[1:] += step
             at, before = at + step, before + step
+        del halves, rank, at, before
         bwt = text[order - 1]
         bwt[order == 0] = 0
         self.n = n

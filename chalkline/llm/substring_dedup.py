@@ -40,7 +40,7 @@ from chalkline.llm.shingles import GOLDEN, mixed, word_hashes
 
 WINDOW = 50
 #: Words of a shard's index, and different segments of one name above which it is dealt by window.
-SHARD_WORDS, NAME_SEGMENTS = 1_000_000, 10_000
+SHARD_WORDS, NAME_SEGMENTS = 250_000, 10_000
 NO_ID = (1 << 63) - 1
 SEGMENT = "name long, digest binary, sub int, start int, owner long, tid binary, words binary"
 
