@@ -4,9 +4,11 @@ Benchmark items are cut into passages. Document frequencies of their terms are c
 passages become TF-IDF rows of a matrix. Its leading right singular vectors come from a randomised SVD by subspace
 iteration: each round, tasks multiply their rows by the current basis and back, and the products are added up. Documents
 are read in windows of several widths. A window whose weight lies mostly outside the benchmark's terms cannot be
-close to a passage (its projection is no longer than its part inside) and is passed over; the others are projected,
-and passages within the cosine bound are candidates. The rank follows the block: it grows until every passage keeps
-KEEP of its norm, and cosines are taken with the projected passage. Passages that share three words in a row with a
+close to a passage (its projection is no longer than its part inside) and is passed over. As the projection is linear,
+each term has one row of products with all projected passages; rows are added up over cells of four words, and wider
+windows by adding their halves, so that a word is looked up once for all widths. Passages within the cosine bound are
+candidates. The rank follows the block: it grows until every passage keeps KEEP of its norm, and cosines are taken with
+the projected passage. Passages that share three words in a row with a
 document, and enough of their words for a leak, are candidates whatever their cosine, so no verbatim passage is missed.
 For candidates the longest common subsequence of words decides, with a check for the passage's answer where the
 subsequence alone leaves doubt. All of it happens in the pass that reads the documents; no text is shuffled.
@@ -28,11 +30,11 @@ import math
 import string
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import repeat
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,18 +58,19 @@ STRIP = string.punctuation + "¡¿«»“”„‘’…–—"
 RESULT = "item_id long, cosine double, lcs int, passage_words int, answer boolean, first_word int, last_word int"
 
 
-def term(word: bytes) -> str:
-    return word.decode(errors="replace").lower().strip(STRIP)
+def terms_of(words: pa.Array) -> pa.Array:
+    """The terms of words (strings): lower case, without outer punctuation; bytes that are no text become replacement signs."""
+    try:
+        return pc.utf8_trim(pc.utf8_lower(words), characters=STRIP)
+    except pa.ArrowInvalid:
+        return terms_of(pa.array([w.decode(errors="replace") for w in words.view(pa.binary()).to_pylist()], pa.string()))
 
 
-def split(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """(words of all texts one after the other, words of each)."""
-    words: list[bytes] = []
-    ends = np.empty(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        words += t.split()
-        ends[i] = len(words)
-    return words, np.diff(ends, prepend=0)
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(different words of all texts, their places for the words one after the other, words of each text)."""
+    lists = pc.ascii_split_whitespace(texts.view(pa.string()))
+    words = lists.flatten().dictionary_encode()
+    return words.dictionary, words.indices.to_numpy(), np.diff(lists.offsets.to_numpy())
 
 
 @dataclass
@@ -82,26 +85,26 @@ class Passages:
     others: np.ndarray = None  # weights of other terms by hash
     basis: np.ndarray = None  # [term, rank]
     latent: np.ndarray = None  # [rank, passage], divided by the projected passage's norm
+    products: np.ndarray = None  # [term, passage] of weighted terms and latent passages; the last row, of no term, is 0
     anchors: tuple = None
-    memo: dict = field(default_factory=dict)
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
+    def numbers(self, words: pa.Array) -> np.ndarray:
         """Term numbers; -10 and below for the hash of other terms, -2 for words that are punctuation alone."""
-        memo = self.memo
-        if len(memo) > 500_000:
-            memo.clear()
-        out = np.fromiter(map(memo.get, words, repeat(-3)), np.int64, len(words))
-        new = np.flatnonzero(out == -3)
-        for k in new:
-            w = words[k]
-            if w not in memo:
-                t = term(w)
-                memo[w] = self.vocab.get(t, -10 - zlib.crc32(t.encode()) % OTHERS) if t else -2
-            out[k] = memo[w]
+        terms = terms_of(words)
+        known = pc.index_in(terms, value_set=pa.array(list(self.vocab), pa.string()))
+        out = pc.fill_null(known, -2).to_numpy(zero_copy_only=False).astype(np.int64)
+        other = np.flatnonzero((out < 0) & (pc.binary_length(terms).to_numpy(zero_copy_only=False) > 0))
+        hashed = map(zlib.crc32, terms.take(pa.array(other)).view(pa.binary()).to_numpy(zero_copy_only=False))
+        out[other] = -10 - np.fromiter(hashed, np.int64, len(other)) % OTHERS
         return out
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": {}}
+        """What tasks need: the products take the place of the vectors that they come from."""
+        return self.__dict__ | ({"basis": None, "latent": None} if self.products is not None else {})
+
+    def multiply(self) -> None:
+        self.products = np.zeros((len(self.vocab) + 1, len(self.rows)), np.float32)
+        np.matmul(self.basis * self.idf[:, None].astype(np.float32), self.latent, out=self.products[:-1])
 
     def matrix(self, rows: list[int]) -> np.ndarray:
         """TF-IDF rows, each of length 1."""
@@ -146,8 +149,7 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, answer_col: str |
             if len(items) >= BLOCK_PASSAGES or len(items) * len(vocab) > BLOCK_CELLS:
                 yield Passages(vocab, items, terms, answers)
                 vocab, items, terms, answers = {}, [], [], []
-            words = [t for t in (term(w.encode()) for w in r["text"].split()) if t]
-            own = [t for t in (term(w.encode()) for w in r["answer"].split()) if t]
+            words, own = ([t for t in terms_of(pa.array(r[c].split(), pa.string())).to_pylist() if t] for c in ("text", "answer"))
             for at in range(0, max(1, len(words) - PASSAGE // 2), PASSAGE // 2):
                 piece = words[at : at + PASSAGE]
                 if len(piece) < MIN_WORDS or r["item"] is None:
@@ -167,8 +169,8 @@ def weigh(p: Passages, docs: DataFrame, text_col: str) -> None:
         for b in batches:
             n += b.num_rows
             for a, z in slices(b.column("body"), most=1 << 20):
-                words, sizes = split(b.column("body")[a:z].to_pylist())
-                ids = p.numbers(words)
+                words, at, sizes = split(b.column("body")[a:z])
+                ids = p.numbers(words)[at]
                 row = np.repeat(np.arange(z - a), sizes)
                 other += np.bincount(np.unique(row[ids <= -10] * OTHERS - 10 - ids[ids <= -10]) % OTHERS, minlength=OTHERS)
                 row = row[ids >= 0]
@@ -286,10 +288,12 @@ def repeats(ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def matches(p: Passages, texts: list[bytes]) -> list[tuple]:
+def matches(p: Passages, texts) -> list[tuple]:
     """(text number, item, cosine, lcs, passage words, answer, first word, last word) of every leak."""
-    words, sizes = split(texts)
-    ids = p.numbers(words)
+    if p.products is None:
+        p.multiply()
+    words, at, sizes = split(pa.array(texts, pa.binary()))
+    ids = p.numbers(words)[at]
     row, plain = np.repeat(np.arange(len(texts)), sizes), ids != -2
     ids, row = ids[plain], row[plain]
     n = len(ids)
@@ -300,6 +304,7 @@ def matches(p: Passages, texts: list[bytes]) -> list[tuple]:
     inside, outside = (np.concatenate([[0.0], np.cumsum(x)]) for x in (np.where(known, (2 * repeats(ids) - 1) * weight**2, 0), np.where(known, 0, weight**2)))
     first = np.searchsorted(row, np.arange(len(texts) + 1))
     near: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
+    windows = []
     for width in WIDTHS:
         length = np.diff(first)
         count = np.where(length <= width, (length > 0).astype(np.int64) * (width == WIDTHS[0]), -(-(length - width) // (width // 2)) + 1)
@@ -310,10 +315,11 @@ def matches(p: Passages, texts: list[bytes]) -> list[tuple]:
         z = np.minimum(a + width, first[text + 1])
         part = inside[z] - inside[a]
         keep = (part > 0) & (part * (1 + 1e-9) >= COSINE**2 * (part + outside[z] - outside[a]))
-        a, z, text = a[keep], z[keep], text[keep]
-        most = max(1, 2048 * RANK // max(RANK, p.basis.shape[1]))  # windows x rank
-        for at in range(0, len(a), most):
-            _candidates(p, ids, weight, a[at : at + most], z[at : at + most], text[at : at + most], near)
+        windows.append((a[keep], z[keep], text[keep]))
+    for a, z, text, j, product in _close(p, ids, weight, first, windows):
+        cosine = product / np.maximum(_norms(p, ids, weight, a, z), 1e-9)
+        for c, t, k, x, y in zip(*(v[cosine >= COSINE].tolist() for v in (cosine, text, j, a, z))):
+            near.setdefault((t, k), []).append((c, x, y))
     _anchored(p, ids, row, first, near)
     out = []
     for (t, j), places in near.items():
@@ -329,8 +335,9 @@ def matches(p: Passages, texts: list[bytes]) -> list[tuple]:
             done = z - int(first[t])
         if is_leak(k, best):
             if not cosine:  # found by its words
-                place = first[t] + np.array([[best[2]], [best[3]]])
-                cosine = float(_cosines(p, ids, weight, *place)[0, j])
+                a, z = first[t] + np.array([[best[2]], [best[3]]])
+                own = ids[a[0] : z[0]]
+                cosine = float(p.products[own[own >= 0], j].sum() / max(_norms(p, ids, weight, a, z)[0], 1e-9))
             out.append((t, p.items[j], cosine, best[0], k, best[1], best[2], best[3]))
     # Of an item's passages the best stands for it.
     once: dict[tuple, tuple] = {}
@@ -339,8 +346,10 @@ def matches(p: Passages, texts: list[bytes]) -> list[tuple]:
     return [once[k] for k in sorted(once)]
 
 
-def _cosines(p: Passages, ids, weight, a, z) -> np.ndarray:
-    """[window, passage] cosines of the words a..z of each window."""
+def _norms(p: Passages, ids, weight, a, z) -> np.ndarray:
+    """The length of the weights of the words a..z of each window."""
+    window, back = np.unique(a * (len(ids) + 1) + z, return_inverse=True)
+    a, z = window // (len(ids) + 1), window % (len(ids) + 1)
     n = z - a
     win = np.repeat(np.arange(len(a)), n)
     at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
@@ -348,22 +357,67 @@ def _cosines(p: Passages, ids, weight, a, z) -> np.ndarray:
     other = np.bincount(win[term_of < 0], weights=w[term_of < 0] ** 2, minlength=len(a))
     v = len(p.vocab)
     key, tf = np.unique(win[term_of >= 0] * v + term_of[term_of >= 0], return_counts=True)
-    r, t = key // v, key % v
-    x = tf * p.idf[t]
-    norm = np.sqrt(np.bincount(r, weights=x * x, minlength=len(a)) + other)
-    latent = np.zeros((len(a), p.basis.shape[1]), np.float32)
-    starts = np.flatnonzero(np.diff(r, prepend=-1))
-    if len(starts):
-        latent[r[starts]] = np.add.reduceat(x[:, None].astype(np.float32) * p.basis[t], starts, axis=0)
-    return latent @ p.latent / np.maximum(norm, 1e-9)[:, None].astype(np.float32)
-
-
-def _candidates(p: Passages, ids, weight, a, z, text, near) -> None:
-    if not len(a):
+    x = tf * p.idf[key % v]
+    return np.sqrt(np.bincount(key // v, weights=x * x, minlength=len(a)) + other)[back]
+
+
+def _close(p: Passages, ids, weight, first, windows) -> Iterator[tuple[np.ndarray, ...]]:
+    """(first word, end, text, passage, product) of windows that may be within the cosine; windows has three arrays a width.
+
+    Half the widest window is a span of eight cells. Spans with windows to compare lie one after the other, with an
+    empty span wherever the next one does not follow in the text. A window's norm is no less than if each of its words
+    stood alone in it; only what passes that bound is returned.
+    """
+    cell, span = WIDTHS[0] // 2, WIDTHS[-1] // 2
+    spans = -(-np.diff(first) // span)
+    base = np.cumsum(spans) - spans
+    text_of_span = np.repeat(np.arange(len(spans)), spans)
+    begin = first[text_of_span] + (np.arange(len(text_of_span)) - base[text_of_span]) * span
+    needed = np.zeros(len(begin) + 1, bool)
+    where = []
+    for a, z, text in windows:
+        s = base[text] + (a - first[text]) // span
+        needed[s] = True
+        needed[s[z > begin[s] + span] + 1] = True
+        where.append(s)
+    used = np.flatnonzero(needed[:-1])
+    if not len(used):
         return
-    cos = _cosines(p, ids, weight, a, z)
-    for i, j in zip(*np.nonzero(cos >= COSINE)):
-        near.setdefault((int(text[i]), int(j)), []).append((float(cos[i, j]), int(a[i]), int(z[i])))
+    last = np.append((np.diff(used) > 1) | (np.diff(text_of_span[used]) > 0), True)
+    row_of = np.zeros(len(begin), np.int64)
+    row_of[used] = np.arange(len(used)) + np.cumsum(last) - last
+    total = len(used) + int(last.sum())
+    place = begin[used][:, None] + np.arange(span)
+    own = place < first[text_of_span[used] + 1][:, None]
+    words = np.full((total, span // cell, cell), len(p.vocab), np.int64)
+    got = ids[np.where(own, place, 0)]
+    words[row_of[used]] = np.where(own & (got >= 0), got, len(p.vocab)).reshape(-1, span // cell, cell)
+    squares = np.concatenate([[0.0], np.cumsum(weight**2)])
+    bounds, numbers = [], []
+    for (a, z, text), s, width in zip(windows, where, WIDTHS):
+        slot = row_of[s], (a - begin[s]) // (width // 2)
+        bound = np.full((total, 2 * span // width), np.inf, np.float32)
+        bound[slot] = COSINE * (1 - 1e-4) * np.sqrt(squares[z] - squares[a])
+        number = np.zeros(bound.shape, np.int64)
+        number[slot] = np.arange(len(a))
+        bounds.append(bound)
+        numbers.append(number)
+    most = max(1, (1 << 19) // (span // cell * len(p.rows)))  # spans at a time, for 2 MB of products
+    for at in range(0, total - 1, most):
+        here = words[at : at + most + 1]  # with the span that follows
+        n = len(here) - 1
+        sums = p.products[here[:, :, 0]]
+        for k in range(1, cell):
+            sums += p.products[here[:, :, k]]
+        sums = sums.reshape(-1, len(p.rows))
+        for width, (a, z, text), bound, number in zip(WIDTHS, windows, bounds, numbers):
+            sums = sums[:-1] + sums[1:] if width == WIDTHS[0] else sums[:-2:2] + sums[2::2]
+            limit = bound[at : at + n].reshape(-1)
+            high = np.flatnonzero(sums[: len(limit)].max(axis=1) >= limit)
+            if len(high):
+                w, j = np.nonzero(sums[high] >= limit[high, None])
+                k = number[at : at + n].reshape(-1)[high[w]]
+                yield a[k], z[k], text[k], j, sums[high[w], j]
 
 
 def _anchored(p: Passages, ids, row, first, near) -> None:
@@ -406,12 +460,13 @@ def leaks(
     for p in blocks(benchmark, item_col, item_text_col, answer_col):
         weigh(p, docs, text_col)
         decompose(p, docs)
+        p.multiply()
         p.anchor()
 
         def search(batches: Iterator[pa.RecordBatch], p: Passages = p) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for a, z in slices(b.column("body"), most=1 << 20):
-                    found = matches(p, b.column("body")[a:z].to_pylist())
+                    found = matches(p, b.column("body")[a:z])
                     if found:
                         cols = list(zip(*found))
                         pick = pa.array([a + t for t in cols[0]])

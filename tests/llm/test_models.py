@@ -5,6 +5,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from chalkline.llm import decontamination as dc
@@ -98,7 +99,7 @@ def test_quality_of_odd_rows(spark, odd, odd_rows, empty):
 
 
 def normal(text):
-    return [t for t in (dc.term(w.encode()) for w in text.split()) if t]
+    return [t for t in dc.terms_of(pa.array(text.split(), pa.string())).to_pylist() if t]
 
 
 def holds(words, piece):
@@ -189,6 +190,36 @@ def test_windows_within_the_cosine_are_projected(monkeypatch):
     assert [r[:2] for r in found] == [(0, 1)] and abs(found[0][2] - (4 / (4 + 4 * 49 / 16)) ** 0.5) < 1e-3
 
 
+def test_sums_of_halves_find_every_window_within_the_cosine():
+    # Against one product per window, with texts of every length around the widths and between texts without a match.
+    rnd = np.random.default_rng(17)
+    v, passages = 60, 7
+    p = dc.Passages({f"a{k}": k for k in range(v)}, list(range(passages)), [np.arange(5)] * passages, [np.arange(2)] * passages)
+    p.idf, p.others = rnd.uniform(0.5, 7, v), np.full(1 << 16, 3.0)
+    p.basis = np.eye(v, 20, dtype=np.float32)
+    latent = rnd.random((20, passages)) ** 8
+    p.latent = (latent / np.linalg.norm(latent, axis=0)).astype(np.float32)
+    p.multiply()
+    sizes = np.array([1, 3, 4, 5, 8, 9, 31, 32, 33, 0, 63, 64, 65, 96, 97, 128, 500, 2, 1000])
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    ids = np.where(rnd.random(first[-1]) < 0.7, rnd.integers(0, v, first[-1]) // 3, -10)
+    weight = np.where(ids >= 0, p.idf[np.maximum(ids, 0)], 3.0)
+    windows, want = [], {}
+    for width in dc.WIDTHS:
+        at = [(a, min(a + width, int(first[t + 1])), t) for t in range(len(sizes)) for a in range(int(first[t]), int(first[t + 1]), width // 2) if rnd.random() < 0.6]
+        windows.append(tuple(np.array(x) for x in zip(*at)))
+        for a, z, t in at:
+            x = np.bincount(ids[a:z][ids[a:z] >= 0], minlength=v) * p.idf
+            cos = x @ p.basis @ p.latent / np.sqrt(x @ x + 9.0 * (ids[a:z] < 0).sum())
+            want |= {(width, a, z, t, j): cos[j] for j in np.flatnonzero(cos >= dc.COSINE)}
+    got = {}
+    for a, z, text, j, product in dc._close(p, ids, weight, first, windows):
+        cos = product / dc._norms(p, ids, weight, a, z)
+        got |= {k: c for *k, c in zip(a, z, text, j, cos) if c >= dc.COSINE for k in [tuple(map(int, k))]}
+    assert len(want) > 50 and {k[1:] for k in want} == set(got)
+    assert all(abs(got[k[1:]] - c) < 1e-4 for k, c in want.items())
+
+
 def test_short_items_in_long_documents(spark, docs_of):
     rnd = random.Random(15)
     items = [(k, " ".join(f"item{k}x{i}" if i % 2 else f"word{rnd.randrange(40)}" for i in range(3 + k % 5))) for k in range(40)]
