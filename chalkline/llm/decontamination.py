@@ -55,6 +55,8 @@ LCS_SURE, LCS_DOUBT, ANSWER_WORDS, SHORT, MIN_WORDS = 0.8, 0.6, 4, 8, 3
 #: terms than the block's are counted by hash (never too low), in so many places.
 RAREST, OTHERS = 1e-3, 1 << 16
 STRIP = string.punctuation + "¡¿«»“”„‘’…–—"
+#: Bytes of text that a task compares at a time.
+SLICE = 1 << 21
 RESULT = "item_id long, cosine double, lcs int, passage_words int, answer boolean, first_word int, last_word int"
 
 
@@ -168,7 +170,7 @@ def weigh(p: Passages, docs: DataFrame, text_col: str) -> None:
         seen, other, n = np.zeros(len(p.vocab), np.int64), np.zeros(OTHERS, np.int64), 0
         for b in batches:
             n += b.num_rows
-            for a, z in slices(b.column("body"), most=1 << 20):
+            for a, z in slices(b.column("body"), most=SLICE):
                 words, at, sizes = split(b.column("body")[a:z])
                 ids = p.numbers(words)[at]
                 row = np.repeat(np.arange(z - a), sizes)
@@ -231,8 +233,8 @@ def lcs(masks: dict[int, int], n: int, words: list[int]) -> int:
     """Length of the longest common subsequence with a sequence of n words whose places are given as bits of each word."""
     full = (1 << n) - 1
     row = full
-    for w in words:
-        u = row & masks.get(w, 0)
+    for places in filter(None, map(masks.get, words)):  # other words change nothing
+        u = row & places
         row = ((row + u) | (row - u)) & full
     return n - row.bit_count()
 
@@ -281,10 +283,9 @@ def repeats(ids: np.ndarray) -> np.ndarray:
     weight. As the k-th of them counts k or more here, sums of 2 * repeats - 1 are never too small.
     """
     n = len(ids)
-    order = np.argsort(ids, kind="stable")
-    key = (ids[order] - ids[order[0]]) * (n + WIDTHS[-1]) + order
+    key = np.sort((ids - ids.min()) * (n + WIDTHS[-1]) + np.arange(n))
     out = np.empty(n, np.int64)
-    out[order] = np.arange(n) - np.searchsorted(key, key - (WIDTHS[-1] - 1)) + 1
+    out[key % (n + WIDTHS[-1])] = np.arange(n) - np.searchsorted(key, key - (WIDTHS[-1] - 1)) + 1
     return out
 
 
@@ -465,7 +466,7 @@ def leaks(
 
         def search(batches: Iterator[pa.RecordBatch], p: Passages = p) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for a, z in slices(b.column("body"), most=1 << 20):
+                for a, z in slices(b.column("body"), most=SLICE):
                     found = matches(p, b.column("body")[a:z])
                     if found:
                         cols = list(zip(*found))
