@@ -1,4 +1,4 @@
-"""Joins that keep rows without a key out of the shuffle."""
+"""Joins that keep rows without a key out of the shuffle, and large sides out of the driver."""
 
 from __future__ import annotations
 
@@ -22,3 +22,9 @@ def join_known(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFr
     kinds = dict(right.dtypes)
     absent = left.where(missing).select("*", *[F.lit(None).cast(kinds[c]).alias(c) for c in more]).select(*order)
     return known.unionByName(absent)
+
+
+def join_large(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """A join with a side of a row per student-year, which is never broadcast: its stored files look small but
+    hold many times their size in rows, and a broadcast passes all of them through the driver."""
+    return left.join(right.hint("merge"), list(keys), how)

@@ -10,7 +10,7 @@ from chalkline.functions.columns import (
     KEY, attendance_band, display_name, engagement, first_word, has_name, has_real_name, learning_style,
     strength_axis, trend_label,
 )
-from chalkline.operators.joins import join_known
+from chalkline.operators.joins import join_known, join_large
 from chalkline.operators.writes import first_rows
 
 
@@ -25,16 +25,15 @@ def master_profile(
     """
     if lifetime:
         side = achievements.filter(F.col("academic_yr") == fv.LIFETIME).drop("academic_yr")
-        joined = students.join(side, ["school_id", "student_id"], "left")
+        joined = join_large(students, side, ["school_id", "student_id"])
         extra = [F.coalesce("achievement_list", F.lit("")).alias("achievement_list")]
     else:
         side = achievements.filter(F.col("academic_yr") != fv.LIFETIME).select(*KEY, "achievement_count")
-        joined, extra = students.join(side, KEY, "left"), []
+        joined, extra = join_large(students, side, KEY), []
+    for more in (academics, attendance.select(*KEY, "attendance_percentage"), homework):
+        joined = join_large(joined, more, KEY)
     return (
-        joined.join(academics, KEY, "left")
-        .join(attendance.select(*KEY, "attendance_percentage"), KEY, "left")
-        .join(homework, KEY, "left")
-        .select(
+        joined.select(
             *KEY, "reg_no", "class_id", "section_id", "avg_percent", "written_avg", "oral_avg", "exams_taken",
             "attendance_percentage",
             F.coalesce("achievement_count", F.lit(0)).alias("achievements"),
@@ -82,7 +81,7 @@ def subject_strengths(performance: DataFrame, subjects: DataFrame, components: D
     science = F.concat(F.lit("Science ("), F.coalesce("science_components", F.lit("combined")), F.lit(")"))
     spelled = F.when(F.col("subject_name") == fv.SCIENCE_NAME, science).otherwise(F.col("subject_name"))
     return (
-        names.join(science_text(components), KEY, "left")
+        join_large(names, science_text(components), KEY)
         .groupBy(*KEY)
         .agg(
             _best_first(F.col("subject_name")).alias("strong_subjects"),
@@ -106,11 +105,11 @@ def ai_profile(
     demographics: DataFrame, classes: DataFrame, sections: DataFrame, parents: DataFrame | None, profile: DataFrame,
     strengths: DataFrame, signals: DataFrame,
 ) -> DataFrame:
+    rows = with_parents(demographics, parents)
+    for side in (profile.drop("class_id", "section_id", "reg_no"), strengths, signals):
+        rows = join_large(rows, side, KEY)
     return (
-        with_parents(demographics, parents).join(profile.drop("class_id", "section_id", "reg_no"), KEY, "left")
-        .join(strengths, KEY, "left")
-        .join(signals, KEY, "left")
-        .join(classes, ["school_id", "class_id"], "left")
+        rows.join(classes, ["school_id", "class_id"], "left")
         .join(sections, ["school_id", "section_id"], "left")
         .select(
             "school_id", "student_id",
@@ -206,16 +205,13 @@ def student_profile(
         "school_id", "student_id", "achievement_count", "achievement_list"
     )
     # Lifetime rows are met by the bare keys, so that the wide rows stay where they lie.
-    ever = demographics.select(*KEY).join(ever, ["school_id", "student_id"])
+    ever = join_large(demographics.select(*KEY), ever, ["school_id", "student_id"], "inner")
     zero, blank = F.lit(0), F.lit("")
+    rows = with_parents(demographics, parents).filter(has_real_name(F.col("student_name")))
+    for side in (profile.drop("class_id", "section_id", "achievements"), strengths, signals, year, ever):
+        rows = join_large(rows, side, KEY)
     return (
-        with_parents(demographics, parents).filter(has_real_name(F.col("student_name")))
-        .join(profile.drop("class_id", "section_id", "achievements"), KEY, "left")
-        .join(strengths, KEY, "left")
-        .join(signals, KEY, "left")
-        .join(year, KEY, "left")
-        .join(ever, KEY, "left")
-        .join(classes, ["school_id", "class_id"], "left")
+        rows.join(classes, ["school_id", "class_id"], "left")
         .join(sections, ["school_id", "section_id"], "left")
         .select(
             "school_id", "student_id",

@@ -62,7 +62,8 @@ def differing_rows(left: DataFrame, right: DataFrame, by: Sequence[str], key: Se
     there = F.col("__bucket") == F.col("__at")
     for c in by:
         there = there & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    signed = [df.join(only, there, "left_semi").withColumn("__sign", F.lit(sign)) for df, sign in zip(sides, (1, -1))]
+    # As long as there are groups and buckets; known at once, so that no side is shuffled to find its rows.
+    signed = [df.join(F.broadcast(only), there, "left_semi").withColumn("__sign", F.lit(sign)) for df, sign in zip(sides, (1, -1))]
     rows = signed[0].unionByName(signed[1]).groupBy(*columns).agg(F.sum("__sign").alias("__sign")).where("__sign <> 0")
     side = F.when(F.col("__sign") > 0, "left").otherwise("right")
     return rows.select(*by, *[c for c in key if c not in by], side.alias("side"), F.abs("__sign").alias("copies"))

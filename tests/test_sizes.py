@@ -104,3 +104,37 @@ def test_heading_rows_read_no_lambda(spark):
         (1, 1, "Y", "7.00", "20.00"), (1, 1, "Y", "7.00", "20.00"), (1, None, None, "3.00", None), (1, 2, None, None, "10.00"),
         (2, 1, None, "7.00", None),
     ], key=str)
+
+
+def test_no_student_side_is_broadcast(spark, small):
+    """Files of student-years look small; their rows must not pass through the driver."""
+    star = registry._star(spark, small)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for table in ("people", "student_master_profile", "fact_science_components", "dim_class", "dim_section", "dim_subject"):
+        getattr(star, table)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        from chalkline.plans.star import Star
+
+        for name in ("student_profile", "student_ai_profile", "student_master_profile"):
+            plan = Star.__dict__[name].func(star)._jdf.queryExecution().executedPlan().toString()
+            built = [x for x in plan.split("\n") if "BroadcastHashJoin" in x and "academic_yr" in x.split("LeftOuter")[0] and "LeftOuter" in x]
+            assert not built and "SortMergeJoin" in plan, (name, built)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_differing_rows_are_found_without_a_shuffle_of_both_sides(spark):
+    from pyspark.sql import functions as F
+
+    from chalkline.operators.reconcile import differing_rows
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    rows = spark.range(1000).select((F.col("id") % 2).alias("school"), "id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = differing_rows(rows, rows.unionByName(rows.where("id = 7")), ["school"], ["id"])
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and [tuple(r) for r in found.collect()] == [(1, 7, "right", 1)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
