@@ -5,6 +5,7 @@ from pathlib import Path
 
 import pytest
 
+from chalkline.functions.columns import DEALT
 from chalkline.operators import marks
 from chalkline.plans import registry
 from chalkline.plans.star import StagedStar
@@ -137,3 +138,37 @@ def test_pairs_of_one_class_spread_over_tasks(spark):
     seen = visible_to_teachers(pupils, staff)
     tasks = [r[1] for r in seen.groupBy(F.spark_partition_id()).count().collect()]
     assert seen.count() == seen.distinct().count() == 40_000 == sum(tasks) and max(tasks) < 20_000
+
+
+def test_marks_are_dealt_once(spark, small):
+    """Lines move to the tasks of their student-year and are grouped and stored there; the wide rows do not move."""
+    star = StagedStar(spark, OrderSchool(spark, small, 24), 24, all_schools=True)
+    dealt = star.source["student_marks"].repartition(24, *DEALT)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "24)" in x]
+    above, below = plan.split("Exchange hashpartitioning(student_id")
+    assert len(moved) == 1 and "HashAggregate" in above and "HashAggregate" not in below
+    star.drop()
+
+
+def test_absent_and_repeated_lines_of_a_group(spark, tmp_path):
+    """Headings without a line, with several, absent in one of them, and line numbers and marks that are missing."""
+    from datetime import date
+
+    day = date(1996, 3, 1)
+    spark.createDataFrame([(1, 3)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(5, 1, day)], "o_orderkey long, o_custkey long, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(1, 10.0, "N"), (1, 12.0, "R"), (3, None, "R"), (7, 4.0, None), (None, 9.0, "R"), (9, 9.0, "R")]
+    spark.createDataFrame(
+        [(5, 40, 30, n, q, f, "F", day) for n, q, f in lines],
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string, l_shipdate date",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    row = OrderSchool(spark, str(tmp_path))["student_marks"].collect()
+    assert len(row) == 1
+    assert (row[0].present, row[0].mark_obtained, row[0].highest_marks) == (
+        '{"1":"N","3":"N","7":"Y"}', '{"1":"12","7":"4"}', '{"1":"50","7":"50"}')
+
+
+def test_both_states_of_a_load_come_from_one_pass(spark, small):
+    plan = registry.queries()["load_touched_partitions"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem.parquet" not in plan  # the large sources are stored once, not derived for each state
