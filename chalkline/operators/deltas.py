@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chalkline.functions.columns import KEY, percent
-from chalkline.operators.marks import REVISION_KEY, exam_sums, heading_rows, latest_marks
+from chalkline.operators.marks import REVISION_KEY, heading_rows_of_all, latest_marks, measures
 from chalkline.operators.writes import missing_rows, upsert
 
 MEASURES = ("m", "top", "written_m", "written_top", "internal_m", "internal_top")
@@ -22,19 +22,26 @@ _READABLE = ("m", "written_m", "internal_m")
 
 
 def held_revisions(marks: DataFrame) -> DataFrame:
-    """The newest revision per key with its sums; ``counted`` is 0 where it is unpublished or has no present heading."""
-    newest = latest_marks(marks)
-    sums = exam_sums(heading_rows(newest)).withColumn("counted", F.lit(1))
-    rows = newest.select(*REVISION_KEY, "marks_id").join(sums, REVISION_KEY, "left")
-    return rows.withColumn("counted", F.coalesce("counted", F.lit(0))).select(*REVISION_KEY, "marks_id", *MEASURES, "counted")
+    """The newest revision per key with its sums; ``counted`` is 0 where it is unpublished, has no present heading or
+    lacks a part of its key.
+
+    There is one newest revision per key, so its headings are summed where they lie: no join, and one ranking.
+    """
+    rows = heading_rows_of_all(latest_marks(marks))
+    counts = F.coalesce(F.col("is_present") == "Y", F.lit(False))
+    for c in REVISION_KEY:
+        counts = counts & F.col(c).isNotNull()
+    sums = rows.groupBy(*REVISION_KEY, "marks_id").agg(*measures(counts), F.max(counts.cast("int")).alias("counted"))
+    return sums.select(*REVISION_KEY, "marks_id", *MEASURES, "counted")
 
 
-def revision_deltas(batch: DataFrame, held: DataFrame | None) -> DataFrame:
+def revision_deltas(batch: DataFrame | None, held: DataFrame | None, fresh: DataFrame | None = None) -> DataFrame:
     """What a batch changes: its rows that replace the held revision or are the first of their key.
 
     Beside the new values stand the differences to the held ones (``d_…``). Older revisions and repeated marks give no row.
+    ``fresh`` is ``held_revisions`` of the batch where that is at hand.
     """
-    fresh = held_revisions(batch)
+    fresh = held_revisions(batch) if fresh is None else fresh
     names = ["marks_id", *MEASURES, "counted"]
     if held is None:
         both = fresh.select("*", *[F.lit(None).cast("bigint").alias(f"old_{c}") for c in names])

@@ -108,7 +108,7 @@ def academics_by_deltas(s: Star) -> DataFrame:
     """Two batches: newer revisions come before and after the ones they supersede."""
     first, second = s.marks_raw.where("marks_id % 3 <> 0"), s.marks_raw.where("marks_id % 3 = 0")
     held = s.stage_once("held_of_first_batch", lambda: deltas.held_revisions(first))
-    totals = deltas.totals_after(None, deltas.revision_deltas(first, None))
+    totals = s.stage_once("totals_of_first_batch", lambda: deltas.totals_after(None, deltas.revision_deltas(first, None, held)))
     moved = s.stage_once("deltas_of_second_batch", lambda: deltas.revision_deltas(second, held))
     return s.in_years(deltas.academics_from_totals(deltas.totals_after(totals, moved)))
 

@@ -76,3 +76,27 @@ def test_only_keys_of_the_batch_are_read(spark, tmp_path):
     files = {f.rsplit("/", 2)[1] for f in part.inputFiles()}
     assert files == {"academic_yr=2020-x"} and moved.count() == 1
     assert len(stored.of("marks_held")) == 7
+
+
+def test_held_revisions_are_ranked_once_and_not_joined(spark):
+    """A revision that is unpublished, has no present heading or lacks a part of its key is held with no sums."""
+    schema = ("school_id int, student_id bigint, subject_id string, exam_id int, academic_yr string, marks_id bigint, publish string, "
+              "present string, mark_obtained string, highest_marks string")
+    one, twenty = '{"1":"7","2":"5"}', '{"1":"20","2":"20"}'
+    rows = [
+        (1, 1, "5", 1, "2023-2024", 1, "Y", '{"1":"Y","2":"Y"}', one, twenty),
+        (1, 1, "5", 1, "2023-2024", 2, "Y", '{"1":"Y","2":"N"}', one, twenty),
+        (1, 2, "5", 1, "2023-2024", 3, "N", '{"1":"Y"}', one, twenty),
+        (1, 3, "5", 1, "2023-2024", 4, "Y", '{"1":"N"}', one, twenty),
+        (1, 4, "5", 1, "2023-2024", 5, "Y", '{"1":"Y"}', None, twenty),
+        (1, 5, None, 1, "2023-2024", 6, "Y", '{"1":"Y"}', one, twenty),
+        (1, 6, "5", 1, "2023-2024", 7, None, '{"1":"Y"}', one, twenty),
+        (1, 7, "5", 1, "2023-2024", None, "Y", '{"1":"Y"}', '{"1":"x"}', twenty),
+    ]
+    held = deltas.held_revisions(spark.createDataFrame(rows, schema))
+    plan = held._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and len([x for x in plan.split("\n") if "Window [" in x]) == 1
+    got = {r.student_id: (r.marks_id, r.m, r.top, r.written_m, r.counted) for r in held.collect()}
+    none = {k: (n, None, None, None, 0) for k, n in ((2, 3), (3, 4), (4, 5), (5, 6), (6, 7))}
+    assert {k: v for k, v in got.items() if k in none} == none and len(got) == 7
+    assert got[1][:3] == (2, 700, 2000) and got[1][4] == 1 and got[7][:3] == (None, None, 2000) and got[7][4] == 1
