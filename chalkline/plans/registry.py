@@ -462,8 +462,12 @@ class _Earlier(dict):
 
 @query
 def load_touched_partitions(s: Star) -> DataFrame:
-    """What a load has to write after new marks, attendance, parents, a subject and a school's first year came in."""
-    src = s.source
+    """What a load has to write after new marks, attendance, parents, a subject and a school's first year came in.
+
+    Both states are summed up from the same rows; the large ones are derived once and stored.
+    """
+    large = {t: s.stage_once(f"{t}_of_both_states", lambda t=t: s.source[t]) for t in ("student_marks", "attendance_clean")}
+    src = _Earlier(s.source, **large)
     year = F.col("academic_yr")
     before = _Earlier(
         src,
