@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +35,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged_for_now(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
+    """As ``staged``, with a call that deletes the table, for when nothing reads it any more."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+
+    def drop() -> None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    return spark.read.schema(df.schema).parquet(path), drop
+
+
 def same(left: Column, right: Column) -> Column:
     """Equality that also holds between two nulls."""
     return left.eqNullSafe(right)

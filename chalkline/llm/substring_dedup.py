@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chalkline.llm.batches import map_arrow, slices
-from chalkline.llm.common import join_on, staged, text_of
+from chalkline.llm.common import join_on, staged, staged_for_now, text_of
 from chalkline.llm.fm_index import FMIndex
 from chalkline.llm.shingles import GOLDEN, mixed, word_hashes
 
@@ -207,9 +207,12 @@ def dedup_substrings(
     bodies = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("owner"), F.xxhash64(text_of(text_col)).alias("text64"), text_of(text_col).cast("binary").alias("body"))
     candidates = staged(bodies.join(wanted, ["owner", "text64"]).select("tid", "owner", "shared", "body").dropDuplicates(["tid"]), "substr-candidates")
 
-    parts = staged(segments(candidates, window), "substr-segments")
-    single = parts.groupBy("name", "digest").agg(F.min(F.struct("owner", "words")).alias("s")).select("name", "digest", "s.*")
-    single = staged(single, "substr-single")
+    # The words of the segments are most of what is stored: they go as soon as the next table holds what it needs of them.
+    cut, drop_cut = staged_for_now(segments(candidates, window), "substr-segments")
+    single = cut.groupBy("name", "digest").agg(F.min(F.struct("owner", "words")).alias("s")).select("name", "digest", "s.*")
+    single, drop_single = staged_for_now(single, "substr-single")
+    parts = staged(cut.drop("sub", "words"), "substr-places")
+    drop_cut()
     size = single.agg(F.sum(F.octet_length("words") / 8)).first()[0] or 0
     shards = max(1, int(-(-size // shard_words)))
     often = single.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") > name_segments).select("name")
@@ -221,10 +224,11 @@ def dedup_substrings(
     results = staged(searched(few.unionByName(once), window, shards, shard_words), "substr-found")
     least = results.where("sub < 0").select(F.col("name").alias("place"), F.col("digest").alias("window"), "least")
     back = many.select("place", F.unhex(F.md5("words")).alias("window"), "name", "digest", "sub").join(least, ["place", "window"])
-    found = results.where("sub >= 0").unionByName(back.select("name", "digest", "sub", "least"))
+    found = results.where("sub >= 0").unionByName(staged(back.select("name", "digest", "sub", "least"), "substr-back"))
+    drop_single()
 
     # Starts of the windows that a smaller id has, back at the texts.
-    at = parts.drop("sub", "words").join(found, ["name", "digest"])
+    at = parts.join(found, ["name", "digest"])
     starts = at.select("tid", F.expr("transform(filter(sequence(0, size(least) - 1), i -> least[i] < owner), i -> start + sub + i)").alias("at")).where(F.size("at") > 0)
     starts = starts.groupBy("tid").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"))  # no longer than the text
 

@@ -238,3 +238,16 @@ def test_no_pairs_of_a_group_are_written(spark, docs_of):
     rows = [(i, " ".join(f"w{k}" for k in range(100)) + f" end{i}", None, None) for i in range(400)]
     got = nj.near_duplicates(docs_of(rows), unit_texts=64)
     assert got.agg(F.min("n_text_links"), F.max("n_text_links"), F.countDistinct("class_id")).first() == (399, 399, 1)
+
+
+def test_segments_do_not_stay_on_disk(spark, docs_of, tmp_path, monkeypatch):
+    """The words of the segments are stored only while the next step reads them."""
+    from chalkline.llm import common
+
+    monkeypatch.setattr(common, "shared_folder", lambda _: str(tmp_path))
+    passage = [f"p{i}" for i in range(30)]
+    rows = [(i, " ".join([f"a{i}"] * 20 + passage + [f"b{i}"] * 20), None, None) for i in range(40)]
+    got = sd.dedup_substrings(docs_of(rows), window=20, name_segments=2)
+    kept = {p.name.rsplit("-", 1)[0] for p in (tmp_path / "llm").iterdir()}
+    assert not kept & {"substr-segments", "substr-single"} and "substr-places" in kept
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == removed([(i, t) for i, t, _, _ in rows], 20)
