@@ -9,24 +9,53 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chalkline.llm.common import random_key
 
 
+#: Rows of whole texts that are handed to Python at once. Spark's own 10,000 rows are some 20 MB of text and more where texts
+#: are long; a task holds them several times over, as Arrow in the JVM and in Python and as what is made of them.
+TEXT_ROWS = 1024
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
+_batch: dict[str, tuple[int, int]] = {}
 
 
-def map_arrow(rows: DataFrame, function: Callable, schema) -> DataFrame:
-    """`mapInArrow`, with this package sent to the executors once per application (Spark's own file server deals it out)."""
+def batches_of(spark: SparkSession, rows: int | None) -> None:
+    """Plans made from now on hand Python `rows` rows at once, or the session's own number where that is smaller or `rows` is None."""
+    app, now = spark.sparkContext.applicationId, int(spark.conf.get(BATCH))
+    own, last = _batch.get(app, (now, now))
+    own = now if now != last else own  # the session's own number was changed meanwhile
+    most = own if rows is None or 0 < own < rows else rows
+    spark.conf.set(BATCH, str(most))
+    _batch[app] = own, most
+
+
+def released(function: Callable) -> Callable:
+    """`function`, after which the memory that Arrow keeps for later goes back to the system: workers outlive their tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
+def map_arrow(rows: DataFrame, function: Callable, schema, batch_rows: int | None = None) -> DataFrame:
+    """`mapInArrow`, with this package sent to the executors once per application (Spark's own file server deals it out).
+
+    `batch_rows` bounds the rows of a batch; it is a session setting, which holds from here to the next call.
+    """
     context = rows.sparkSession.sparkContext
+    batches_of(rows.sparkSession, batch_rows)
     if context.applicationId not in _shipped:
         package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         archive = os.path.join(tempfile.mkdtemp(prefix="package-"), os.path.basename(package))
         context.addPyFile(shutil.make_archive(archive, "zip", os.path.dirname(package), os.path.basename(package)))
         _shipped.add(context.applicationId)
-    return rows.mapInArrow(function, schema)
+    return rows.mapInArrow(released(function), schema)
 
 
 def slices(texts: pa.Array, most: int = 8 << 20, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:

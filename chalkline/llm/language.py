@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chalkline.llm.batches import held_out, labelled_sample, map_arrow, slices
+from chalkline.llm.batches import TEXT_ROWS, held_out, labelled_sample, map_arrow, slices
 from chalkline.llm.common import text_of
 
 #: Hashed n-grams, longest n-gram, landmarks of a language, and training rows of a language (the bound of the sample).
@@ -102,11 +102,11 @@ def fit(bits: np.ndarray, labels: list[str]) -> Model:
 def _bits_of(rows: DataFrame, label: str) -> DataFrame:
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a, z in slices(b.column("body"), rows=256):
+            for a, z in slices(b.column("body"), most=1 << 20, rows=256):
                 bits = np.packbits(presence(b.column("body")[a:z].to_pylist()), axis=1)
                 yield pa.RecordBatch.from_arrays([b.column(label)[a:z], b.column("place")[a:z], pa.array([x.tobytes() for x in bits], pa.binary())], names=[label, "place", "bits"])
 
-    return map_arrow(rows, packed, f"{label} string, place long, bits binary")
+    return map_arrow(rows, packed, f"{label} string, place long, bits binary", TEXT_ROWS)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = TRAIN_PER_LANG) -> Model | None:
@@ -135,7 +135,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
         for b in batches:
             body = b.column(b.num_columns - 1)
             lang, share = [], []
-            for a, z in slices(body.fill_null(b""), rows=256):
+            for a, z in slices(body.fill_null(b""), most=1 << 20, rows=256):
                 texts = body[a:z].to_pylist()
                 if model is None:
                     lang += ["und"] * len(texts)
@@ -148,7 +148,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(share, pa.float64())], names=[*fields, "__lang", "__score"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
-    return map_arrow(rows, score, schema)
+    return map_arrow(rows, score, schema, TEXT_ROWS)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

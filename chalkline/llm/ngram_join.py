@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.batches import map_arrow, slices
+from chalkline.llm.batches import TEXT_ROWS, map_arrow, slices
 from chalkline.llm.common import join_on, staged, text_of
 from chalkline.llm.components import components
 from chalkline.llm.shingles import band_hashes, bands_and_rows, shingle_hashes, word_hashes
@@ -48,7 +48,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int, id_col: str, text
                     names=["row_no", "doc_id", "text64", "tid", "n_shingles", "bands"])
 
     kind = base.schema["doc_id"].dataType.simpleString()
-    return map_arrow(base, sign, f"row_no long, doc_id {kind}, text64 long, tid binary, n_shingles long, bands array<long>")
+    return map_arrow(base, sign, f"row_no long, doc_id {kind}, text64 long, tid binary, n_shingles long, bands array<long>", TEXT_ROWS)
 
 
 def buckets(texts: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def verified(texts: DataFrame, threshold: tuple[int, int], unit_texts: int, unit
             yield done(held)
 
     dealt = texts.select("grp", "tid", "copies", "shingles").repartition("grp").sortWithinPartitions("grp")
-    return map_arrow(dealt, verify, LINKS)
+    return map_arrow(dealt, verify, LINKS, TEXT_ROWS)
 
 
 def verified_by_bucket(texts: DataFrame, members: DataFrame, threshold: tuple[int, int], unit_texts: int, unit_shingles: int) -> DataFrame:
@@ -187,7 +187,7 @@ def verified_by_bucket(texts: DataFrame, members: DataFrame, threshold: tuple[in
             yield _out([r["tid"] for r in g], *_unit([np.frombuffer(r["shingles"], "<u8") for r in g], np.array([r["copies"] for r in g]), threshold, owned))
 
     keys = ["band", "bucket", "i", "j"]
-    return map_arrow(rows.repartition(*keys).sortWithinPartitions(*keys), verify, LINKS)
+    return map_arrow(rows.repartition(*keys).sortWithinPartitions(*keys), verify, LINKS, TEXT_ROWS)
 
 
 def near_duplicates(
@@ -222,7 +222,7 @@ def near_duplicates(
                     names=["grp", "tid", "copies", "n_set", "shingles"])
 
     found = join_on(bodies, wanted, ["doc_id", "text64"], "inner").select("grp", "tid", "copies", "body")
-    full = staged(map_arrow(found, sets, "grp binary, tid binary, copies long, n_set long, shingles binary").dropDuplicates(["tid"]), "join-sets")
+    full = staged(map_arrow(found, sets, "grp binary, tid binary, copies long, n_set long, shingles binary", TEXT_ROWS).dropDuplicates(["tid"]), "join-sets")
     size = full.groupBy("grp").agg(F.count("*").alias("n"), F.sum("n_set").alias("s"))
     large = size.where((F.col("n") > unit_texts) | (F.col("s") > unit_shingles)).select("grp")
     small = verified(full.join(large, "grp", "left_anti"), threshold, unit_texts, unit_shingles)

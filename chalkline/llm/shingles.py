@@ -14,7 +14,7 @@ class WordHashes(dict):
     """word -> 64-bit hash; what one worker remembers is bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

@@ -6,9 +6,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from chalkline.llm import batches
 from chalkline.llm import exact_dedup as ed
 from chalkline.llm import ngram_join as nj
 from chalkline.llm import substring_dedup as sd
@@ -251,3 +253,20 @@ def test_segments_do_not_stay_on_disk(spark, docs_of, tmp_path, monkeypatch):
     kept = {p.name.rsplit("-", 1)[0] for p in (tmp_path / "llm").iterdir()}
     assert not kept & {"substr-segments", "substr-single"} and "substr-places" in kept
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == removed([(i, t) for i, t, _, _ in rows], 20)
+
+
+def test_python_holds_few_whole_texts_at_once(spark, docs_of):
+    def rows_of(found):
+        for b in found:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    own = spark.conf.get(batches.BATCH)
+    rows = spark.range(0, 3000, 1, 1)
+    held = [r["n"] for r in batches.map_arrow(rows, rows_of, "n long", batches.TEXT_ROWS).collect()]
+    assert sum(held) == 3000 and max(held) <= batches.TEXT_ROWS
+    docs = docs_of([(1, "one two", "en", "a")])
+    batches.map_arrow(rows, rows_of, "n long")
+    nj.signatures(docs, 18, 4, 5, "doc_id", "text")
+    assert spark.conf.get(batches.BATCH) == str(batches.TEXT_ROWS)
+    assert [r["n"] for r in batches.map_arrow(rows, rows_of, "n long").collect()] == [3000]
+    assert spark.conf.get(batches.BATCH) == own
