@@ -124,8 +124,9 @@ def exam_report(breakdown: DataFrame) -> DataFrame:
         F.count("*").alias("component_count"),
         F.min(F.struct("exam_type", "exam_name", "subject_name", "exam_id")).alias("first"),
     )
-    # A student-year has few exams and subjects, so both windows are over a handful of rows of one shuffle.
-    placed = totals.repartition(*KEY).withColumn("exam_first", F.min("first").over(Window.partitionBy(*KEY, "exam")))
+    # A student-year has few exams and subjects, so both windows are over a handful of rows. Staged heading rows lie by
+    # student-year and so do the totals: they are not dealt again.
+    placed = totals.withColumn("exam_first", F.min("first").over(Window.partitionBy(*KEY, "exam")))
     placed = placed.withColumn("exam_place", F.dense_rank().over(Window.partitionBy(*KEY).orderBy("exam_first", "exam")))
     return placed.select(
         *KEY, "exam", "exam_place", "subject_name",

@@ -138,3 +138,8 @@ def test_a_changed_folder_is_read_anew(spark, small, tmp_path):
 def test_exam_report_evaluates_the_breakdown_once(spark, small):
     plan = queries()["exam_report"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("/heading_rows") == 1  # scans of that folder
+
+
+def test_exam_report_deals_no_totals_again(spark, small):
+    plan = queries()["exam_report"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" not in plan
