@@ -12,6 +12,8 @@ from chalkline.session import shared_folder
 
 WHITE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Whether Spark deletes the shuffle files of a query as it ends (from 4.1 on), and not only when the driver's memory is cleaned up.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,17 +30,28 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
+def write_apart(df: DataFrame, path: str) -> None:
+    """Write a table whose shuffles nothing reads again; their files go as soon as it is written."""
+    conf = df.sparkSession.conf
+    own = conf.get(CLEAN, None)
+    conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(CLEAN) if own is None else conf.set(CLEAN, own)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    write_apart(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def staged_for_now(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
     """As ``staged``, with a call that deletes the table, for when nothing reads it any more."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    write_apart(df, path)
 
     def drop() -> None:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -205,7 +205,9 @@ def dedup_substrings(
     shared = spread.join(common, "name").groupBy("tid").agg(F.collect_list("name").alias("shared"))  # no longer than the text
     wanted = texts.drop("names").join(shared, "tid")
     bodies = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("owner"), F.xxhash64(text_of(text_col)).alias("text64"), text_of(text_col).cast("binary").alias("body"))
-    candidates = staged(bodies.join(wanted, ["owner", "text64"]).select("tid", "owner", "shared", "body").dropDuplicates(["tid"]), "substr-candidates")
+    # Rows that repeat id and text go before the join, so that it gives one row per text and the texts are shuffled once.
+    bodies = bodies.dropDuplicates(["owner", "text64"])
+    candidates = staged(bodies.join(wanted, ["owner", "text64"]).select("tid", "owner", "shared", "body"), "substr-candidates")
 
     # The words of the segments are most of what is stored: they go as soon as the next table holds what it needs of them.
     cut, drop_cut = staged_for_now(segments(candidates, window), "substr-segments")
@@ -215,7 +217,8 @@ def dedup_substrings(
     drop_cut()
     size = single.agg(F.sum(F.octet_length("words") / 8)).first()[0] or 0
     shards = max(1, int(-(-size // shard_words)))
-    often = single.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") > name_segments).select("name")
+    # Stored, the few names that are dealt by window have a size known to the planner: the words stay where they are for the next joins.
+    often = staged(single.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") > name_segments).select("name"), "substr-often")
     few = single.join(often, "name", "left_anti").select(F.col("name").alias("place"), "name", "digest", F.lit(0).alias("sub"), "owner", "words")
     many = _by_window(single.join(often, "name", "left_semi"), window)
     # A different window enters an index once, with its least id (`sub` -1); what is found goes back to all its places.

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from chalkline.llm import batches
+from chalkline.llm import batches, common
 from chalkline.llm import exact_dedup as ed
 from chalkline.llm import ngram_join as nj
 from chalkline.llm import substring_dedup as sd
@@ -212,6 +213,30 @@ def test_equal_windows_enter_an_index_once(docs_of, monkeypatch):
     assert seen == [1]
 
 
+def test_staged_tables_leave_no_shuffle_files(spark, docs_of, tmp_path):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in map(str, (files.apply(i) for i in range(files.size()))) if f.endswith(".data")}
+
+    own, before = spark.conf.get(common.CLEAN, None), shuffled()
+    table = common.staged(docs_of([(i, f"t{i}", "en", "a") for i in range(100)]).groupBy("text").count(), "counts")
+    wait = time.time() + 20  # the files go in the background
+    while shuffled() - before and time.time() < wait:
+        time.sleep(0.1)
+    assert not shuffled() - before and table.count() == 100 and spark.conf.get(common.CLEAN, None) == own
+
+
+def test_words_of_segments_are_dealt_once(docs_of, monkeypatch):
+    passage = [f"p{i}" for i in range(30)]
+    rows = [(i, " ".join([f"a{i}"] * 20 + passage + [f"b{i}"] * 20), None, None) for i in range(40)]
+    plans, search = [], sd.searched
+    monkeypatch.setattr(sd, "searched", lambda r, *a: plans.append(r._jdf.queryExecution().executedPlan().toString()) or search(r, *a))
+    got = sd.dedup_substrings(docs_of(rows), window=20).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == removed([(i, t) for i, t, _, _ in rows], 20)
+    few = plans[0].split("Union")[1].split("MapInArrow")[0]
+    assert "LeftAnti" in few and "Exchange hashpartitioning(name" not in few
+
+
 def test_substring_dedup_of_given_documents(given, given_docs, empty):
     got = sd.dedup_substrings(given_docs).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == removed(given, 50)
