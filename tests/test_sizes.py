@@ -140,6 +140,31 @@ def test_pairs_of_one_class_spread_over_tasks(spark):
     assert seen.count() == seen.distinct().count() == 40_000 == sum(tasks) and max(tasks) < 20_000
 
 
+def test_pairs_are_met_in_lists_and_dealt_as_the_sizes_ask(spark, monkeypatch):
+    """Lists of a bounded length bring every pair: accounts that are null or come twice, and none for a missing class."""
+    from collections import Counter
+
+    from chalkline.operators import student_view
+
+    monkeypatch.setattr(student_view, "LISTED", 4)
+    places = [(1, 3, 2), (1, 3, 4), (7, 3, 2), (1, None, 2)]
+    pupils = [(s, k, "2023-2024", c, d) for s, c, d in places for k in (1, 2, 2, None)]
+    staff = [(s, u, c, d) for s, c, d in places[:2] + places[3:] for u in [None, None, "t1", "t1", *(f"u{i}" for i in range(7))]]
+    profile = spark.createDataFrame(pupils, "school_id int, student_id long, academic_yr string, class_id int, section_id int")
+    access = spark.createDataFrame(staff, "school_id int, user_id string, class_id int, section_id int")
+    spark.conf.set(readers.START, "40")
+    try:
+        seen = student_view.visible_to_teachers(profile, access)
+        plan = seen._jdf.queryExecution().executedPlan().toString()
+        found = Counter(tuple(r) for r in seen.collect())
+    finally:
+        spark.conf.unset(readers.START)
+    pairs = [(s, k, y, u) for s, k, y, c, d in pupils for t, u, e, f in staff if c is not None and (s, c, d) == (t, e, f)]
+    assert found == Counter(pairs) and len(pairs) == 2 * 4 * 11
+    assert plan.index("Generate explode(user_ids") < plan.index("SortMergeJoin") < plan.index("collect_list(struct(user_id")
+    assert plan.count(", 40), REPARTITION_BY_NUM") == 2 == plan.count("Exchange") - 1
+
+
 def test_marks_are_dealt_once(spark, small):
     """Lines move to the tasks of their student-year and are grouped and stored there; the wide rows do not move."""
     star = StagedStar(spark, OrderSchool(spark, small, 24), 24, all_schools=True)
